@@ -24,6 +24,8 @@ N_BEST = 4
 #: Words whose segmentations a task remembers.
 MEMO_WORDS = 200_000
 UNKNOWN_PENALTY = 10.0
+#: Pieces that a model never makes have a score below this.
+UNUSED = -1e8
 
 
 @functools.cache
@@ -54,7 +56,7 @@ class PieceLattice:
                 self.texts.append(piece.replace(MARK, " ").encode())
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
-        self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.unknown = min(x for x in self.scores.values() if x > UNUSED) - UNKNOWN_PENALTY
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.memo: dict[str, tuple] = {}
         self.others: dict[str, list] = {}

@@ -21,7 +21,7 @@ from .common import texts_of, written
 #: Expected number of labelled rows that the lexicon and the calibration are learnt from, and the most entries of the lexicon.
 TRAINING_ROWS, ENTRIES = 20_000, 5_000
 #: Lengths of word beginnings that may become entries; likelihood-ratio statistic that an entry must reach.
-STEMS, EVIDENCE = (5, 6, 7), 20.0
+STEMS, EVIDENCE = (4, 5, 6, 7), 15.0
 #: Phrases in which an entry does not count.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid simple")
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
