@@ -3,7 +3,7 @@
 All of it is DataFrame expressions. A word is folded to its surface form (long letter runs become one letter of
 their case, digits one digit), so that n-grams of a huge vocabulary stay dense in ``BUCKETS`` hashed classes.
 Two multinomials over these classes are counted in one pass: the raw corpus (every document) and the trusted
-target (documents that a bounded sample of labels marks as good). A document's score is the mean over its n-grams
+target (documents that a bounded sample of labels marks as good). A document's score is the mean over its bigrams of forms
 of log p_target - log p_raw; it is kept when the score is at least ``THRESHOLD``.
 """
 
@@ -27,7 +27,7 @@ LOWER, UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def surface(text: Column) -> Column:
@@ -37,15 +37,11 @@ def surface(text: Column) -> Column:
     return words(F.regexp_replace(folded, "[0-9]+", "0"))
 
 
-def ngram_classes(forms: Column, buckets: int) -> Column:
-    """Hashed classes of the form unigrams and bigrams of a text (bigrams start with a begin mark)."""
-    return F.concat(
-        F.transform(forms, lambda f: F.pmod(F.xxhash64(f), F.lit(buckets)).cast("int")),
-        F.transform(
-            F.zip_with(forms, F.concat(F.array(F.lit("^")), F.slice(forms, 1, F.greatest(F.size(forms) - 1, F.lit(0)))), lambda f, g: F.pmod(F.xxhash64(g, f), F.lit(buckets)).cast("int")),
-            lambda x: x,
-        ),
-    )
+def ngram_classes(docs: DataFrame, buckets: int) -> DataFrame:
+    """``docs`` with ``classes``: the hashed class of each form of its text with the form before it (for the first, a begin mark)."""
+    formed = docs.withColumn("forms", surface(F.coalesce(F.col("text"), F.lit(""))))
+    before = F.slice(F.concat(F.array(F.lit("^")), F.col("forms")), F.lit(1), F.size("forms"))
+    return formed.withColumn("classes", F.zip_with("forms", before, lambda f, g: F.pmod(F.xxhash64(f, g), F.lit(buckets)).cast("int"))).drop("forms")
 
 
 def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -54,49 +50,34 @@ def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     ``carried``: further columns of ``docs`` to hand on.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    w = docs.select("doc_id", text.alias("text"), *carried).withColumn("w", words(F.col("text")))
+    w = F.col("w")
+    n = F.size(w)
+    x = docs.select("doc_id", text.alias("text"), *carried).withColumn("w", words(F.col("text")))
+    triples = F.when(n >= 3, F.transform(F.slice(w, F.lit(1), n - 2), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("w")
-    triples = F.when(
-        n >= 3,
-        F.zip_with(
-            F.zip_with(F.slice("w", 1, n - 2), F.slice(F.col("w"), F.lit(2), n - 2), lambda a, b: F.concat(a, F.lit(" "), b)),
-            F.slice(F.col("w"), F.lit(3), n - 2),
-            lambda ab, c: F.xxhash64(ab, c),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    x = w.withColumns({"lines": lines, "t": triples})
-    # Only a text with a repeated window needs its windows sorted with their places.
-    has = F.size(F.array_distinct("t")) < F.size("t")
-    placed = F.array_sort(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    x = x.withColumn("s", F.when(has, placed))
-    m = F.size("s")
-    twice = F.array_sort(
-        F.transform(
-            F.filter(
-                F.zip_with(
-                    F.col("s"),
-                    F.zip_with(F.concat(F.array(F.lit(None).cast("bigint")), F.slice(F.col("s.h"), F.lit(1), m - 1)), F.concat(F.slice(F.col("s.h"), F.lit(2), m - 1), F.array(F.lit(None).cast("bigint"))), lambda p, q: F.struct(p.alias("p"), q.alias("q"))),
-                    lambda a, b: F.struct(a["i"].alias("i"), (a["h"].eqNullSafe(b["p"]) | a["h"].eqNullSafe(b["q"])).alias("r")),
-                ),
-                lambda y: y["r"],
-            ),
-            lambda y: y["i"],
-        )
-    )
-    x = x.withColumn("r", F.when(has, twice))
-    k = F.size("r")
-    covered = F.aggregate(
-        F.zip_with(F.col("r"), F.concat(F.slice(F.col("r"), F.lit(2), k - 1), F.array(F.lit(2**30))), lambda a, b: F.least(b - a, F.lit(3))),
-        F.lit(0), lambda acc, y: acc + y,
+    x = x.withColumns({"lines": lines, "t": triples})
+    x = x.withColumn("has", F.size(F.array_distinct("t")) < F.size("t"))
+    # Only a text with a repeated window needs its windows sorted, with their places.
+    x = x.withColumn("s", F.when(F.col("has"), F.array_sort(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col("s")
+    twice = F.filter(
+        F.transform(s, lambda y, i: F.struct(y["i"].alias("i"), (y["h"].eqNullSafe(F.get(s, i - 1)["h"]) | y["h"].eqNullSafe(F.get(s, i + 1)["h"])).alias("r"))),
+        lambda y: y["r"],
     )
+    x = x.withColumn("r", F.when(F.col("has"), F.sort_array(F.transform(twice, lambda y: y["i"]))))
+    r = F.col("r")
+    # Words from each repeated window's first up to the next repeated window, three at most.
+    covered = F.aggregate(F.transform(r, lambda p, i: F.least(F.coalesce(F.get(r, i + 1), F.lit(2**30)) - p, F.lit(3))), F.lit(0), lambda acc, y: acc + y)
+    without = F.col("text")
+    for sign in "#*$%&|<>":
+        without = F.replace(without, F.lit(sign), F.lit(""))
     return x.select(
         "doc_id", "text", *carried,
         n.cast("long").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda acc, y: acc + F.length(y)).alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        (F.octet_length("text") - F.octet_length(without)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(has, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("has"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -111,7 +92,7 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log p_target - log p_raw of each hashed class. The counts cover every document; ``buckets`` bounds the result."""
     good = trusted.withColumn("good", F.lit(1))
-    classes = docs.select("doc_id", F.explode(ngram_classes(surface(F.coalesce(F.col("text"), F.lit(""))), buckets)).alias("c"))
+    classes = ngram_classes(docs.select("doc_id", "text"), buckets).select("doc_id", F.explode_outer("classes").alias("c")).filter("c IS NOT NULL")
     counts = (
         classes.join(F.broadcast(good), "doc_id", "left").groupBy("c")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()
@@ -136,11 +117,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     table = ratio_table(docs, trusted_ids(labels, trusted_rows), buckets)
     weights = F.from_json(F.lit("[" + ",".join(map(repr, table)) + "]"), "array<double>")
     counted = base_counts(docs, carried)
-    classes = ngram_classes(surface(F.col("text")), buckets)
-    total = F.aggregate(classes, F.lit(0.0), lambda acc, c: acc + F.get(weights, c))
-    judged = counted.withColumn("llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))).otherwise(F.lit(0.0))).drop("text")
+    counted = ngram_classes(counted, buckets)
+    total = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + F.get(weights, c))
+    judged = counted.withColumn("llr", F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(F.lit(0.0))).drop("text", "classes")
+    # Not deterministic to the optimizer, so that a filter on the verdict isn't pushed below the columns it is worked out from
+    # (it would work them out many times over).
+    once = F.spark_partition_id() >= 0
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    return judged.withColumn("base_failed", failed).withColumn("kept", once & ~failed & (F.col("llr") >= threshold))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
