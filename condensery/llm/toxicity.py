@@ -20,8 +20,8 @@ from .common import texts_of, written
 
 #: Expected number of labelled rows that the lexicon and the calibration are learnt from, and the most entries of the lexicon.
 TRAINING_ROWS, ENTRIES = 20_000, 5_000
-#: Lengths of word beginnings that may become entries; likelihood-ratio statistic that an entry must reach.
-STEMS, EVIDENCE = (4, 5, 6, 7), 15.0
+#: Lengths of word beginnings that may become entries; the share of toxic texts among those that have an entry.
+STEMS, PRECISION = (4, 5, 6, 7), 0.6
 #: Phrases in which an entry does not count.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid simple")
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
@@ -152,10 +152,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
         return (), [math.log((bad + 0.5) / (n - bad + 0.5)), 0.0, 0.0]
     base = bad / n
     counts = chosen.mapInArrow(terms, "term string, y long").groupBy("term").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).filter("pos > 2")
+    counts = written(counts, "toxic-terms")
+    # Entries that chance alone would give among so many terms: fewer than one.
+    evidence_needed = 2 * math.log(2 * max(1, counts.count()))
     neg = F.col("n") - F.col("pos")
     ratio = 2 * (F.col("pos") * F.log(F.col("pos") / (F.col("n") * base)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - base)))).otherwise(0.0))
     weight = F.log((F.col("pos") + 0.5) / (bad + 1)) - F.log((neg + 0.5) / (n - bad + 1))
-    picked = counts.filter(F.col("pos") > 2 * base * F.col("n")).withColumn("ratio", ratio).filter(F.col("ratio") >= EVIDENCE).withColumn("weight", F.round(weight, 6))
+    picked = counts.filter(F.col("pos") > max(base, PRECISION) * F.col("n")).withColumn("ratio", ratio).filter(F.col("ratio") >= evidence_needed).withColumn("weight", F.round(weight, 6))
     entries = tuple((r["term"], r["weight"]) for r in picked.orderBy(F.desc("ratio"), "term").limit(ENTRIES).collect())
     seen = evidence(chosen, ["y"], entries, exceptions).select("y", "weight", "n_words").toPandas()
     return entries, logistic(features(seen["weight"].to_numpy(), seen["n_words"].to_numpy()), seen["y"].to_numpy(np.float64))
