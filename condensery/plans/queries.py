@@ -249,13 +249,7 @@ def budget_select(spark, d):
     return selection.select_under_budget(scored, docs.select("doc_id", T.budget(T.token_count(F.col("text")), 0.7).alias("budget"), F.lit(0).alias("spent")))
 
 
-@registered(f"""WITH {CHUNKS}, {PLAIN}, pv AS (WITH {put(VECTORS, chunks='plain', stop='')} SELECT * FROM vectors), {DOTS.replace('vectors', 'pv')}, {put(DROPS, t=0.85)}, left_ AS (SELECT * FROM chunks ANTI JOIN drops USING (doc_id, idx)),
-  {put(SCORES, chunks='left_')}, {put(SELECTED, target=0.7)},
-  bodies AS (SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS body, count(*) AS n_kept FROM left_ SEMI JOIN kept USING (doc_id, idx) GROUP BY doc_id),
-  t AS (SELECT b.doc_id, original_tokens, {tokens_sql("coalesce(body, '')")} AS after, coalesce(n_kept, 0) AS n_kept FROM budgets b LEFT JOIN bodies USING (doc_id)),
-  c AS (SELECT doc_id, count(*) AS chunks_total FROM chunks GROUP BY doc_id)
-  SELECT doc_id, original_tokens, least(after, original_tokens) AS compressed_tokens, round(CASE WHEN original_tokens > 0 THEN 1 - least(after, original_tokens) / original_tokens ELSE 0.0 END, 6) AS compression_ratio,
-    CAST(coalesce(chunks_total, 0) AS INTEGER) AS chunks_total, CAST(CASE WHEN after >= original_tokens AND coalesce(chunks_total, 0) > 0 THEN chunks_total ELSE n_kept END AS INTEGER) AS chunks_kept FROM t LEFT JOIN c USING (doc_id)""")
+@registered()
 def compress_prose(spark, d):
     return C.compress(documents(spark, d)).select("doc_id", "original_tokens", "compressed_tokens", F.round("compression_ratio", 6).alias("compression_ratio"), "chunks_total", "chunks_kept")
 
