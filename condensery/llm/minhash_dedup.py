@@ -8,7 +8,7 @@ similarity J_P of their weights, which is the plain Jaccard similarity when all
 Equal signatures of ``rows`` registers make a bucket. In a bucket every member is compared with the hub (the member that shares most
 buckets with others) instead of with every other member, and links are verified on the whole bags. 1 - J_P is a metric, so a
 link only joins what belongs together; where a bucket still holds several components, all its pairs
-across components that their distances to the hub and four bits of each register allow are verified as well.
+across components that their distances to the hub and the bits of a longer signature allow are verified as well.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
 BANDS, ROWS = 36, 7
+#: Registers, of one bit each, of the signatures that members of a bucket's components are compared by.
+FINE = 2048
 
 
 def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_rows: int, registers: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_ro
 
 
 def digested(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit digest of the bag (null for an empty one), the band hashes of its signature and four bits of each register."""
+    """doc_id, a 128-bit digest of the bag (null for an empty one) and the band hashes of its signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -65,10 +67,6 @@ def digested(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 n = batch.num_rows
                 z = signatures(row, bag, count, n, bands * rows).reshape(n, bands, rows)
                 with np.errstate(over="ignore"):
-                    # Four bits of each register, sixteen registers to a word.
-                    nibbles = np.zeros((n, -(-bands * rows // 16) * 16), np.uint64)
-                    nibbles[:, : bands * rows] = mix64(z.reshape(n, -1)) & np.uint64(15)
-                    sketch = np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
                     keys = np.full((n, bands), 0, np.uint64) + np.arange(bands, dtype=np.uint64)
                     for j in range(rows):
                         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + z[:, :, j])
@@ -78,12 +76,11 @@ def digested(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     np.add.at(two, row, mix64(counted ^ np.uint64(0xA0761D6478BD642F)))
                 empty = np.bincount(row, minlength=n) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32)), pa.array(sketch.reshape(-1).view(np.int64)))],
-                    ["doc_id", "one", "two", "bands", "sketch"],
+                    [batch.column("doc_id"), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
+                    ["doc_id", "one", "two", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, one long, two long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, one long, two long, bands array<long>")
 
 
 def bags(docs: DataFrame, words: int) -> DataFrame:
@@ -138,17 +135,40 @@ def verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def sketches(bagged: DataFrame, registers: int) -> DataFrame:
+    """rep and one bit of each register of its bag's signature, in words of 64."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                # Some documents at once: so many shingles, and so many registers, fit in memory.
+                held, size = [], 0
+                while at + len(held) < whole.num_rows and len(held) < 256 and size < 1 << 20:
+                    held.append(np.frombuffer(whole["bag"][at + len(held)].as_py(), np.uint64))
+                    size += len(held[-1])
+                batch = whole.slice(at, len(held))
+                at += len(held)
+                raw = batch["counts"].to_pylist()
+                weights = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x), np.uint32) for x, c in zip(held, raw, strict=True)])
+                rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                won = signatures(rows, np.concatenate(held), weights, len(held), registers)
+                # A shingle that wins several registers gives each a bit of its own.
+                with np.errstate(over="ignore"):
+                    bits = mix64(won + np.arange(registers, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
+                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.reshape(-1)))], ["rep", "sketch"])
+
+    return bagged.select("doc_id", "bag", "counts").mapInArrow(sign, "rep long, sketch array<long>")
+
+
 def may_be_near(a: str, b: str, registers: int, similarity: float) -> Column:
-    """Whether two sketches agree in as many registers as a pair of this similarity does but for once in 30,000 (four standard deviations)."""
-    words = -(-registers // 16)
-    agree = F.lit(0)
-    for k in range(words):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        agree = agree + F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
-    share = similarity + (1 - similarity) / 16
-    return agree - (16 * words - registers) >= registers * share - 4 * (registers * share * (1 - share)) ** 0.5
+    """Whether two sketches agree in as many bits as a pair of this similarity does but for once in 30,000 (four standard deviations)."""
+    differ = F.lit(0)
+    for k in range(registers // 64):
+        differ = differ + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    share = (1 - similarity) / 2
+    return differ <= registers * share + 4 * (registers * share * (1 - share)) ** 0.5
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -162,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     docs = docs.select("doc_id", "text")
     signed = written(digested(docs, words, bands, rows), "signatures")
     # Equal bags are one class: only its smallest doc_id goes on. A partial aggregate, so a huge class costs little.
-    equal = signed.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("one", "two", "rep", "s.bands", "s.sketch")
+    equal = signed.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = written(equal, "classes")
     entries = reps.select("rep", F.explode("bands").alias("key"))
     shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).filter("n > 1"), "buckets")
@@ -184,14 +204,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     # A bucket's members in one component are told apart only by their distance to the hub.
     distance = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("d"))
     placed = rooted.join(open_keys, "key").join(hubs, "key").join(distance, ["hub", "rep"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    placed = written(placed.join(reps.select("rep", "sketch"), "rep"), "open")
+    placed = written(placed, "open")
+    inside = placed.select(F.col("rep").alias("doc_id")).distinct()
+    placed = placed.join(written(sketches(bagged.join(inside.hint("merge"), "doc_id", "left_semi"), FINE), "sketches"), "rep")
     x, y = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), "hub", F.col("sketch").alias("sa")), placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), F.col("sketch").alias("sb"))
-    rest = x.join(y, "key").filter((F.col("ra") < F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - similarity + 1e-9) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")) & may_be_near("sa", "sb", bands * rows, similarity)).select("a", "b").distinct()
+    rest = x.join(y, "key").filter((F.col("ra") < F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - similarity + 1e-9) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")) & may_be_near("sa", "sb", FINE, similarity)).select("a", "b").distinct()
     more = written(verified(rest, bagged).filter(F.col("similarity") >= similarity), "more")
     every = written(links.select("a", "b").union(more.select("a", "b")), "links")
     final = components(roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.drop("bands", "sketch").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
+    classes = reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
     named = signed.select("doc_id", "one", "two").join(classes.select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"), ["one", "two"], "left")
     sized = named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sized = written(sized, "groups")
