@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ MEMO_WORDS = 200_000
 UNKNOWN_PENALTY = 10.0
 #: Pieces that a model never makes have a score below this.
 UNUSED = -1e8
+#: Stands for a string that begins no piece.
+NO_SPAN = object()
 
 
 @functools.cache
@@ -57,31 +60,31 @@ class PieceLattice:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
         self.unknown = min(x for x in self.scores.values() if x > UNUSED) - UNKNOWN_PENALTY
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: Scores of pieces, and None for beginnings of pieces that are none themselves.
+        self.spans: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
         self.memo: dict[str, tuple] = {}
         self.others: dict[str, list] = {}
 
-    def forward(self, word: str) -> tuple[list[list[tuple[int, float, str]]], list[float], list[int]]:
-        """The edges that end at each place, the best score up to it, and the begin of the best last edge."""
-        n = len(word)
-        into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    def forward(self, word: str) -> tuple[list[tuple[int, int, float]], list[float], list[int]]:
+        """The edges (begin, end, score) in order of their begins, the best score up to each place, and the begin of the best last edge."""
+        n, edges, spans = len(word), [], self.spans
         best, last = [0.0] + [-1e300] * n, [0] * (n + 1)
-        starts, scores = self.starts, self.scores
         for i in range(n):
-            here, j, single = best[i], i + 1, False
-            while j <= n and (piece := word[i:j]) in starts:
-                score = scores.get(piece)
-                if score is not None:
-                    into[j].append((i, score, piece))
-                    if here + score > best[j]:
-                        best[j], last[j] = here + score, i
-                    single = single or j == i + 1
-                j += 1
-            if not single:
-                into[i + 1].append((i, self.unknown, word[i]))
+            here = best[i]
+            if spans.get(word[i]) is None:
+                edges.append((i, i + 1, self.unknown))
                 if here + self.unknown > best[i + 1]:
                     best[i + 1], last[i + 1] = here + self.unknown, i
-        return into, best, last
+            for j in range(i + 1, n + 1):
+                score = spans.get(word[i:j], NO_SPAN)
+                if score is NO_SPAN:
+                    break
+                if score is not None:
+                    edges.append((i, j, score))
+                    score += here
+                    if score > best[j]:
+                        best[j], last[j] = score, i
+        return edges, best, last
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -92,36 +95,32 @@ class PieceLattice:
 
     def best(self, word: str) -> tuple[float, bytes, float]:
         """Best score, its ids, and how much less the second-best segmentation scores (infinite if there is none)."""
-        into, best, last = self.forward(word)
+        edges, best, last = self.forward(word)
         n = len(word)
+        total, gap, then, path, j = best[n], float("inf"), [0] * (n + 1), [], n
+        while j:
+            i = last[j]
+            path.append(word[i:j])
+            then[i], j = j, i
         # Best scores from each place to the end: an edge off the best path loses what its two halves do.
         back = [-1e300] * n + [0.0]
-        for j in range(n, 0, -1):
-            b = back[j]
-            if b > -1e299:
-                for i, score, _ in into[j]:
-                    if score + b > back[i]:
-                        back[i] = score + b
-        path, j = [], n
-        while j:
-            path.append(word[last[j] : j])
-            j = last[j]
-        total, gap, on = best[n], float("inf"), n
-        chosen = set()
-        while on:
-            chosen.add((last[on], on))
-            on = last[on]
-        for j in range(1, n + 1):
-            for i, score, _ in into[j]:
-                if (i, j) not in chosen:
-                    loss = total - best[i] - score - back[j]
-                    if loss < gap:
-                        gap = loss
-        return total, np.array(self.ids_of(path[::-1]), "<u4").tobytes(), gap
+        for i, j, score in reversed(edges):
+            rest = score + back[j]
+            if rest > back[i]:
+                back[i] = rest
+            if then[i] != j:
+                loss = total - best[i] - score - back[j]
+                if loss < gap:
+                    gap = loss
+        ids = self.ids_of(path[::-1])
+        return total, struct.pack(f"<{len(ids)}I", *ids), gap
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[str]]]:
         """Up to n segmentations, best first: A-star from the end, guided by the exact forward scores."""
-        into, best, _ = self.forward(word)
+        edges, best, _ = self.forward(word)
+        into: list[list[tuple[int, float, str]]] = [[] for _ in range(len(word) + 1)]
+        for i, j, score in edges:
+            into[j].append((i, score, word[i:j]))
         agenda, out, order = [(-best[len(word)], 0, len(word), 0.0, ())], [], 0
         while agenda and len(out) < n:
             _, _, place, done, tail = heapq.heappop(agenda)
