@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64, texts_of, written
@@ -89,11 +90,12 @@ def sampled(data: np.ndarray, names: Names, length: int, gram: int) -> tuple[np.
     return owner[first], first, np.append(first[1:], len(owner)) - 1
 
 
-def segments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(batch: pa.RecordBatch, length: int, margin: int = 0, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of consecutive texts in pieces of bounded size: (bytes, row of each text in it, where it begins there, where that is in its text).
 
-    A text longer than a piece goes on in the next, ``length`` - 1 bytes before its cut, so that each window lies whole in one.
+    A text longer than a piece goes on in the next, ``length`` - 1 bytes before its cut, so that each window lies whole in one, and ``margin`` bytes before that.
     """
+    segment = segment or SEGMENT
     texts = texts_of(batch)
     buffers = texts.buffers()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -101,13 +103,14 @@ def segments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, n
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        if offsets[row + 1] - offsets[row] > SEGMENT:
-            for at in range(0, int(offsets[row + 1] - offsets[row]) - length + 1, SEGMENT - length + 1):
+        if offsets[row + 1] - offsets[row] > segment:
+            for at in range(0, int(offsets[row + 1] - offsets[row]) - length + 1, segment - length + 1):
+                before = min(at, margin)
                 begin = offsets[row] + at
-                yield data[begin : min(begin + SEGMENT, offsets[row + 1])], np.array([row]), np.zeros(1, np.int64), np.array([at])
+                yield data[begin - before : min(begin + segment, offsets[row + 1])], np.array([row]), np.zeros(1, np.int64), np.array([at - before])
             row += 1
             continue
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + segment, "right")) - 1)
         yield data[offsets[row] : offsets[to]], np.arange(row, to), offsets[row:to] - offsets[row], np.zeros(to - row, np.int64)
         row = to
 
@@ -129,16 +132,24 @@ def runs_of(data: np.ndarray, names: Names, begins: np.ndarray, length: int, gra
     return which[inside], place[inside], low[inside], high[inside]
 
 
-def stretches(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def stretches(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """(row, low, size, shift, sample, stretch): ``size`` windows from ``low`` on share the sampled position low + shift, named ``sample``;
-    ``stretch`` names all that they cover."""
+    ``stretch`` names all that they cover. One row for each sampled position: the piece that the position falls to sees its run whole."""
+    # A run's windows begin at most so far before its position; a piece's own positions are more.
+    margin, segment = length - gram, max(segment, 2 * length)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = batch.column("row").to_numpy()
-            for data, rows, begins, at in segments(batch, length):
+            sizes = pc.binary_length(texts_of(batch)).to_numpy()
+            for data, rows, begins, at in segments(batch, length, margin, segment):
                 names = Names(data)
                 which, place, low, high = runs_of(data, names, begins, length, gram)
+                if sizes[rows[0]] > segment:
+                    own = (place >= margin) | (at[0] == 0)
+                    if at[0] + len(data) < sizes[rows[0]]:
+                        own &= place <= len(data) - length
+                    which, place, low, high = which[own], place[own], low[own], high[own]
                 columns = [pa.array(numbers[rows][which], pa.int64()), pa.array(low - begins[which] + at[which], pa.int32()), pa.array(high - low + 1, pa.int16()), pa.array(place - low, pa.int16()), pa.array(names.of(place, place + gram).view(np.int64)), pa.array(stretch_names(names, place, low, high, length).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "low", "size", "shift", "sample", "stretch"])
 
@@ -182,7 +193,7 @@ def of_each(batch: pa.RecordBatch, column: str, *fields: str) -> Iterator[tuple[
         yield k, np.frombuffer(texts[k].as_buffer() or b"", np.uint8), [v[ends[k] : ends[k + 1]] for v in values]
 
 
-def blocks(asked: DataFrame, length: int) -> DataFrame:
+def blocks(asked: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
     """(row, low, size, alone, sample, stretch) of the offset blocks of asked runs: ``size`` windows from ``low`` on; the
     sample is what all windows of the block's offsets share, the stretch all that they cover. alone: not known to recur."""
 
@@ -200,11 +211,11 @@ def blocks(asked: DataFrame, length: int) -> DataFrame:
                 begin, end = place[run] - BLOCK * j - BLOCK + 1, place[run] - BLOCK * j
                 from_, to = np.maximum(begin, low[run]), np.minimum(end, high[run])
                 core, whole = np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
-                for at in range(0, len(raw), SEGMENT):
-                    own = (end >= at) & (end < at + SEGMENT)
+                for at in range(0, len(raw), segment):
+                    own = (end >= at) & (end < at + segment)
                     if own.any():
                         start = max(0, at - length)
-                        names = Names(raw[start : at + SEGMENT + length])
+                        names = Names(raw[start : at + segment + length])
                         a, b = np.maximum(begin[own] - start, 0), np.minimum(end[own] + length, len(raw)) - start
                         core[own] = mix64(names.of(end[own] - start, np.minimum(begin[own] + length, len(raw)) - start) + j[own].astype(np.uint64))
                         clipped = (end[own] - start - a).astype(np.uint64)
@@ -218,7 +229,7 @@ def blocks(asked: DataFrame, length: int) -> DataFrame:
     return asked.select("row", "text", "runs").mapInArrow(name, "row long, low int, size short, alone boolean, sample long, stretch long")
 
 
-def windows(asked: DataFrame, length: int) -> DataFrame:
+def windows(asked: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
     """(row, start, alone, window) of each window of the asked blocks."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +240,10 @@ def windows(asked: DataFrame, length: int) -> DataFrame:
                 block = np.repeat(np.arange(len(low)), size)
                 start = low[block] + np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
                 window = np.zeros(len(start), np.uint64)
-                for at in range(0, len(raw), SEGMENT):
-                    own = (start >= at) & (start < at + SEGMENT)
+                for at in range(0, len(raw), segment):
+                    own = (start >= at) & (start < at + segment)
                     if own.any():
-                        window[own] = Names(raw[at : at + SEGMENT + length]).of(start[own] - at, start[own] - at + length)
+                        window[own] = Names(raw[at : at + segment + length]).of(start[own] - at, start[own] - at + length)
                 for column, value in zip(out, (np.full(len(start), rows[k]), start, alone[block] > 0, window.view(np.int64)), strict=True):
                     column.append(value)
             if out[0]:
@@ -279,30 +290,30 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(whole.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def repeated(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def repeated(texts: DataFrame, length: int, gram: int, segment: int = SEGMENT) -> DataFrame:
     """(row, spans): for each document that has any, the runs of starts of windows that start somewhere else too."""
-    found = written(stretches(texts, length, gram), "samples")
+    found = written(stretches(texts, length, gram, segment), "samples")
     # Lists of one document's runs or blocks are bounded by its length.
     runs = written(named_apart(found, "runs"), "runs")
     by_row = runs.filter(F.col("flag").bitwiseAND(ASK) > 0).groupBy("row").agg(F.collect_list(F.struct("low", "size", "shift", "flag")).alias("runs"))
-    split = written(blocks(texts.join(by_row, "row"), length), "blocks")
+    split = written(blocks(texts.join(by_row, "row"), length, segment), "blocks")
     parts = written(named_apart(split, "blocks"), "parts")
     open_parts = parts.filter(F.col("flag").bitwiseAND(ASK) > 0).select("row", "low", "size", (F.col("alone") & (F.col("flag").bitwiseAND(WHOLE) == 0)).alias("alone"))
-    single = written(windows(texts.join(open_parts.groupBy("row").agg(F.collect_list(F.struct("low", "size", "alone")).alias("blocks")), "row"), length), "windows")
+    single = written(windows(texts.join(open_parts.groupBy("row").agg(F.collect_list(F.struct("low", "size", "alone")).alias("blocks")), "row"), length, segment), "windows")
     twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
     starts = single.filter("alone").join(twice, "window").select("row", F.col("start").alias("low"), F.lit(1).cast("short").alias("size"))
     whole = runs.filter(F.col("flag").bitwiseAND(WHOLE) > 0).select("row", "low", "size").union(parts.filter(F.col("alone") & (F.col("flag").bitwiseAND(WHOLE) > 0)).select("row", "low", "size"))
     return written(whole.union(starts).groupBy("row").agg(F.collect_list(F.struct("low", "size")).alias("spans")), "spans")
 
 
-def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes and judged as given; a null text counts as empty. Matches never cross documents and may overlap. A null doc_id
     stays null; repeated rows are copies of each other. Texts under ``length`` bytes lose nothing. An empty table gives no rows.
     """
     texts = numbered(docs.select("doc_id", "text")).drop("_doc")
-    return removed(texts.join(repeated(texts, length, gram), "row", "left"), length, False).drop("row", "kept")
+    return removed(texts.join(repeated(texts, length, gram, segment), "row", "left"), length, False).drop("row", "kept")
 
 
 def drop_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -119,6 +119,24 @@ def test_passages_over_segments(spark, monkeypatch):
     assert sorted(starts) == list(range(len(data) - 199))
 
 
+def test_passages_across_segments(spark):
+    # Long texts alone, with a copied passage, and one whose passage lies over a cut; the small segment goes to the tasks as an argument.
+    shared = " ".join(words(98, 300))
+    long = [" ".join(words(300 + i, 1500)) for i in range(6)]
+    rows = [*long, long[0][:4000] + shared + long[1][:3000], " ".join(words(320, 400)) + shared, "ab" * 2000, "", None]
+    raw = [(t or "").encode() for t in rows]
+    seen = collections.Counter(b[s : s + 200] for b in raw for s in range(len(b) - 199))
+    for segment in (500, 777, 1000):
+        got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.passages(table(spark, rows), segment=segment).collect()}
+        for i, b in enumerate(raw):
+            gone = np.zeros(len(b), bool)
+            for s in range(len(b) - 199):
+                if seen[b[s : s + 200]] > 1:
+                    gone[s : s + 200] = True
+            assert got[i] == int(gone.sum()), (segment, i)
+    assert got[2] == 0
+
+
 def test_quality(spark, texts):
     junk = ["BUY NOW!!! ### $$$ " * 40, "| A | B | " * 60]
     good = [" ".join(words(200 + i, 90)) for i in range(30)]
