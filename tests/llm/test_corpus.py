@@ -286,6 +286,45 @@ def test_piece_lattice(spark, texts):
     assert rows[texts.index("tiny text")]["n_best"] == pytest.approx([round(s, 4) for s, _ in whole])
 
 
+def test_segmentations_match_brute_force(spark):
+    path = P.path("piece_bpe_32k.model")
+    search = piece_lattice.lattice(path)
+
+    def every(rest):
+        if not rest:
+            yield 0.0, []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in search.scores:
+                for s, tail in every(rest[k:]):
+                    yield s + search.scores[rest[:k]], [search.ids[rest[:k]], *tail]
+            elif k == 1:
+                for s, tail in every(rest[k:]):
+                    yield s + search.unknown, [*(search.bytes[b] for b in rest[:k].encode()), *tail]
+
+    rows = ["tiny text", "a a a a a", "the thing is it", "so  aa\nbb", "on \U0001f9ff it", "x", "é\U0001f9ff", " to be ", "", None]
+    got = {r["doc_id"]: r for r in piece_lattice.segmentations(table(spark, rows), path).collect()}
+    judged = {r["doc_id"]: r for r in piece_lattice.n_best_texts(table(spark, rows), path).collect()}
+    for i, t in enumerate(rows):
+        want = {(): 0.0}
+        for w in piece_lattice.split_words(" " + t) if t else []:
+            own = list(every(w.replace(" ", piece_lattice.MARK)))
+            want = {(*ids, *more): s + x for ids, s in want.items() for x, more in own}
+            # Prefixes beyond the four best and their equals can be in none of the four best.
+            least = sorted(want.values(), reverse=True)[:4][-1] - 1e-9
+            want = {ids: s for ids, s in want.items() if s >= least}
+        ids = [tuple(x) for x in got[i]["ids"]]
+        assert len(set(ids)) == len(ids) == min(4, len(want))
+        assert got[i]["scores"] == pytest.approx(sorted(want.values(), reverse=True)[:4])
+        assert [want[x] for x in ids] == pytest.approx(got[i]["scores"])
+        r = judged[i]
+        assert r["n_best_crc32"] == [zlib.crc32(np.array(x, "<u4")) for x in ids] and r["ids_crc32"] == r["n_best_crc32"][0] and r["n_pieces"] == len(ids[0]) and r["round_trip"]
+    flat = piece_lattice.segmentations(table(spark, rows), path).selectExpr("doc_id", "text AS was", "explode(ids) AS ids")
+    back = piece_lattice.decoded(flat, path).collect()
+    assert len(back) == sum(len(r["ids"]) for r in got.values()) and all(r["text"] == (r["was"] or "") for r in back)
+    odd = spark.createDataFrame([(1, [search.bytes[0xC3]]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r["text"] for r in piece_lattice.decoded(odd, path).orderBy("doc_id").collect()] == ["\ufffd", None, ""]
+
+
 def test_null_ids_and_empty_tables(spark, texts):
     docs = table(spark, ["same text here " * 30, "same text here " * 30]).union(spark.createDataFrame([(None, "same text here " * 30, None, None, None, None, None)] * 2, SCHEMA))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
