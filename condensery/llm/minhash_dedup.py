@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import hashed_words, mix64, shingles, slices, texts_of, written
 from .components import components
+from .suffix_dedup import numbered
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
@@ -177,9 +178,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Words are lower-cased runs between white space; bags hold their ``words``-word shingles with counts (a shorter text is one
     shingle). Documents with equal bags are one class from the start; classes are the components of the links with J_P of at least ``similarity``.
     n_links counts the verified links of the document's bag. A null text counts as empty; texts without words are never near
-    anything. A null doc_id gets a null group. Repeated rows of one doc_id come back as often. An empty table gives no rows. The smallest doc_id of a class stays.
+    anything. A null doc_id gets a null group. Repeated rows of one doc_id come back as often, each in the class of its own text. An empty table gives
+    no rows. The smallest doc_id of a class stays.
     """
     docs = docs.select("doc_id", "text")
+    if own_ids(docs):
+        return classes_of(docs, words, similarity, bands, rows)
+    return by_row(numbered(docs).drop("_doc"), words=words, similarity=similarity, bands=bands, rows=rows).drop("row")
+
+
+def own_ids(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1").isEmpty()
+
+
+def by_row(texts: DataFrame, **options) -> DataFrame:
+    """``near_duplicates`` with row, of rows told apart by row: their doc_ids may be null or repeated, with equal or other texts."""
+    known = texts.select(F.col("row").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))
+    found = classes_of(known, **options).select(F.col("doc_id").alias("row"), F.col("group_id").alias("root"), "group_size", "n_links")
+    named = texts.select("row", "doc_id").join(found, "row")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return named.join(least, "root").select("row", "doc_id", "group_id", "group_size", "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+
+
+def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` of documents with ids of their own."""
     signed = written(digested(docs, words, bands, rows), "signatures")
     # Equal bags are one class: only its smallest doc_id goes on. A partial aggregate, so a huge class costs little.
     equal = signed.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
@@ -225,6 +248,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    losers = written(near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct(), "near-losers")
+    if not own_ids(docs):
+        texts = numbered(docs)
+        losers = written(by_row(texts.drop("_doc"), **options).filter(~F.col("kept")).select(F.col("row").alias("_drop_row")), "near-losers")
+        return texts.join(losers, F.col("row") == F.col("_drop_row"), "left_anti").select("_doc.*")
+    losers = written(classes_of(docs.select("doc_id", "text"), **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")), "near-losers")
     whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"))
     return whole.join(losers, F.col("_doc_id") == F.col("_drop_id"), "left_anti").select("_doc.*")

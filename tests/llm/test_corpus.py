@@ -73,6 +73,19 @@ def test_near_duplicates(spark, texts):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    base, other, third = (" ".join(words(500 + i, 120)) for i in range(3))
+    near = base.replace(base.split()[50], "changed")
+    rows = [(1, base), (5, near), (5, other), (7, third), (5, third), (None, base), (8, other + " one two"), (9, base), (9, "alone"), (9, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 7, 9) for i, t in rows], SCHEMA)
+    got = collections.Counter(tuple(r)[:3] + (r["kept"],) for r in minhash_dedup.near_duplicates(docs).collect())
+    want = [(1, 1, 3, True), (5, 1, 3, False), (5, 5, 2, True), (7, 5, 2, False), (5, 5, 2, True), (None, None, 1, True), (8, 5, 2, False), (9, 1, 3, False), (9, 9, 2, True), (9, 9, 2, True)]
+    assert got == collections.Counter(want)
+    left = minhash_dedup.drop_near(docs)
+    assert left.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left.collect()) == collections.Counter(x for x, w in zip(rows, want, strict=True) if w[3])
+
+
 def test_signatures_estimate_jp():
     rng = np.random.default_rng(1)
     x, y = rng.integers(1, 5, 200), rng.integers(1, 5, 200)
