@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import slices, texts_of, written
-from .tokenise import encoder
+from .tokenise import SLICE_BYTES, encoder
 
 CAPACITY, END_ID = 1024, 2
 #: Search effort: nodes that the branch and bound visits, and fillings tried at a node, before the incumbent is taken.
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
         encode, part, places = encoder(vocabulary, True).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE_BYTES):
                 ids, offsets = encode(texts_of(batch))
                 rows = [[] for _ in range(6)]
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):

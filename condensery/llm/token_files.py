@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import slices, texts_of
-from .tokenise import encoder
+from .tokenise import SLICE_BYTES, encoder
 
 END_ID = 1
 #: Ids to a group: decoding can begin at any group.
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, leading_space: boo
             return pa.RecordBatch.from_pylist([{"first_doc": first, "block": block, "n_ids": len(ids), "doc_ids": doc_ids, "n_tokens": sizes, "payload": encode_block(ids)}], schema)
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE_BYTES):
                 ids, offsets = encode(texts_of(batch))
                 own = batch.column("doc_id").to_pylist()
                 if not block and not sizes:

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of frequent words in each task.
 
 Both public vocabularies used here cut a text at white space before anything else, so a text's ids are the ids of
-its words one after the other. A task asks the library once for each distinct word of a batch and keeps the ids of up to ``MEMO_WORDS`` words for later batches. Texts for which that cutting is not certain
+its words one after the other. A task asks the library once for each distinct word of a batch and keeps the ids of words that come again, up to ``MEMO_BYTES``, for later batches. Texts for which that cutting is not certain
 (white space beside white space, unusual spaces) go to the library whole.
 """
 
@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a task remembers; bounds its memory.
-MEMO_WORDS = 300_000
+#: Memory for the ids that a task remembers, and what one word takes beside its letters and ids.
+MEMO_BYTES, WORD_BYTES = 24 << 20, 200
+#: Text that is cut and encoded at once: the arrays of its words and ids are many times its size.
+SLICE_BYTES = 1 << 20
 EMPTY = np.zeros(0, np.uint32)
 #: Stands for a line break before a word while texts are cut.
 BREAK = "\x01"
@@ -45,6 +47,7 @@ class WordEncoder:
         self.break_ids = self.ids(["\n"])[0].tobytes()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.memo: dict[str, bytes] = {}
+        self.room = MEMO_BYTES
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,9 +75,12 @@ class WordEncoder:
                 rest.append(i)
         for i, ids in zip(rest, self.ids([words[i] for i in rest]), strict=True):
             out[i] = ids.tobytes()
-        room = MEMO_WORDS - len(memo)
-        if room > 0:
-            memo.update([(words[i], out[i]) for i in missing if often[i] > 1][:room])
+        for i in missing:
+            if self.room <= 0:
+                break
+            if often[i] > 1:
+                memo[words[i]] = out[i]
+                self.room -= WORD_BYTES + len(words[i]) + len(out[i])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +95,7 @@ class WordEncoder:
             lists = pc.split_pattern(texts, " ")
         else:
             lists = pc.ascii_split_whitespace(texts)
-        flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy().astype(np.int32)
         coded = flat.dictionary_encode()
         names, codes = coded.dictionary, coded.indices.to_numpy()
         head = pc.match_substring_regex(names, f"^[{BREAK}{JOIN}]")
@@ -116,14 +122,15 @@ class WordEncoder:
         often = np.bincount(codes, minlength=2 * k)
         need = np.flatnonzero(often)
         strings = bare.take(pa.array(np.where(need < k, need, need - k)))
+        del flat, coded, lists
         if self.leading_space:
             strings = pc.binary_join_element_wise(pa.array(np.where(need < k, " ", "")), strings, "")
         got = self.words(strings.to_pylist(), often[need].tolist())
         if self.leading_space:
             for i in np.flatnonzero((need >= k) & broken[need % max(k, 1)]).tolist():
                 got[i] = self.break_ids + got[i]
-        sizes, begins = np.zeros(2 * k, np.int64), np.zeros(2 * k, np.int64)
-        sizes[need] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        sizes, begins = np.zeros(2 * k, np.int32), np.zeros(2 * k, np.int32)
+        sizes[need] = np.fromiter(map(len, got), np.int32, len(got)) // 4
         pool = np.frombuffer(b"".join(got), np.uint32)
         begins[need] = np.cumsum(sizes[need]) - sizes[need]
         per_row = np.bincount(row, sizes[codes], n_rows).astype(np.int64)
@@ -157,5 +164,7 @@ def gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarra
     total = int(sizes.sum())
     if not total:
         return EMPTY
-    ends = np.cumsum(sizes)
-    return pool[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    # Places in the pool: narrow ones where they fit, as there is one for each id.
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    return pool[np.arange(total, dtype=kind) + np.repeat((begins - (ends - sizes)).astype(kind), sizes)]
