@@ -8,6 +8,7 @@ over all pieces of a length) and deals the ranks out to the patterns' places.
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,8 +21,9 @@ from .common import slices, texts_of, written
 from .tokenise import SLICE_BYTES, encoder
 
 CAPACITY, END_ID = 1024, 2
-#: Search effort: nodes that the branch and bound visits, and fillings tried at a node, before the incumbent is taken.
-NODES, WIDTH = 3_000, 4
+#: Search effort: nodes that the branch and bound visits, and fillings tried at a node, before the incumbent is taken; then how often a
+#: few bins are opened and searched again, and the nodes of such a search.
+NODES, WIDTH, ROUNDS, ROUND_NODES = 3_000, 4, 300, 300
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
@@ -99,6 +101,22 @@ def fillings(counts: dict[int, int], room: int, most_waste: int, width: int) ->
             return
 
 
+def every_filling(counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
+    """All fillings of ``room`` to which no further item can be added, by ascending waste; the undominated ones are among them."""
+    sizes = sorted((s for s, c in counts.items() if c and s <= room), reverse=True)
+    out, open_ = [], [((), 0, room)]
+    while open_:
+        taken, i, left = open_.pop()
+        if i == len(sizes):
+            used = Counter(taken)
+            if all(s > left or used[s] == counts[s] for s in sizes):
+                out.append(taken)
+            continue
+        for n in range(min(counts[sizes[i]], left // sizes[i]) + 1):
+            open_.append((taken + (sizes[i],) * n, i + 1, left - n * sizes[i]))
+    return sorted(out, key=lambda f: (-sum(f), [-s for s in f]))
+
+
 def build(counts: dict[int, int], table: list[tuple[int, int]], total: int, start: int) -> tuple[int, ...] | None:
     """Largest-first items of sizes up to table[start], that one included, with this total; None if there are none."""
     out, i, used, first = [], start, 0, True
@@ -116,18 +134,18 @@ def build(counts: dict[int, int], table: list[tuple[int, int]], total: int, star
     return tuple(out)
 
 
-def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
+def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths that share a bin, each with how often it is used; together they use the histogram exactly.
 
     The first descent takes the best-fitting completion of the largest length each time: it is the incumbent. The branch and bound then tries
-    other undominated completions, leaving a branch when its waste alone rules out a better number of bins.
+    other undominated completions, leaving a branch when its waste alone rules out a better number of bins. With ``nodes`` None the search is complete: every
+    completion is tried, bin by bin, so the number of bins is the least possible (for small histograms only: the time is exponential).
     """
     total = sum(s * c for s, c in histogram.items())
     least = -(-total // capacity)
     best: list = []
     best_bins = float("inf")
     visited = 0
-    # One frame for each bin pattern chosen: counts before it, its alternatives, bins and waste so far.
     start = {s: c for s, c in histogram.items() if c}
 
     def options(counts: dict[int, int], waste: int):
@@ -137,25 +155,28 @@ def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int
             return iter(())
         rest = dict(counts)
         rest[largest] -= 1
-        return ((largest, *f) for f in fillings(rest, capacity - largest, spare, width))
+        found = every_filling(rest, capacity - largest) if nodes is None else fillings(rest, capacity - largest, spare, width)
+        return ((largest, *f) for f in found)
 
     if not start:
         return []
+    # One frame for each bin pattern chosen: counts before it, its alternatives, bins and waste so far.
     stack = [(start, options(start, 0), 0, 0)]
     chosen: list[tuple[tuple[int, ...], int]] = []
     while stack:
         counts, left, bins, waste = stack[-1]
-        pattern = next(left, None)
-        if pattern is None or visited >= nodes and best:
+        spent = nodes is not None and visited >= nodes and best
+        pattern = None if spent else next(left, None)
+        if pattern is None:
+            if spent:
+                break
             stack.pop()
             if chosen:
                 chosen.pop()
-            if visited >= nodes and best:
-                break
             continue
         visited += 1
         need = Counter(pattern)
-        times = min(counts[s] // n for s, n in need.items())
+        times = 1 if nodes is None else min(counts[s] // n for s, n in need.items())
         after = {s: c - times * need.get(s, 0) for s, c in counts.items() if c > times * need.get(s, 0)}
         bins, waste = bins + times, waste + times * (capacity - sum(pattern))
         if best and waste > (best_bins - 1) * capacity - total:
@@ -171,6 +192,37 @@ def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int
     return best
 
 
+def improved(patterns: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY, rounds: int = ROUNDS, nodes: int = ROUND_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """``patterns`` after up to ``rounds`` searches, each over some bins that waste a bin's room together and some full ones; the better packing of each is kept."""
+    have: Counter = Counter()
+    for pattern, times in patterns:
+        have[pattern] += times
+    least, bins, rng = -(-sum(sum(p) * n for p, n in have.items()) // capacity), have.total(), random.Random(1)
+    for _ in range(rounds):
+        poor = sorted((p for p in have if sum(p) < capacity), key=lambda p: sum(p) * rng.random())
+        full = [p for p in have if sum(p) == capacity]
+        opened, wasted = Counter(), 0
+        for p in poor:
+            take = min(have[p], -(-max(0, capacity - wasted) // (capacity - sum(p))))
+            if take:
+                opened[p], wasted = take, wasted + take * (capacity - sum(p))
+        if bins == least or wasted < capacity:
+            break
+        if full:
+            opened.update({p: 1 for p in rng.choices(full, [len(p) * min(3, have[p]) for p in full], k=rng.randint(2, 3 * opened.total() + 3))})
+        inside = Counter()
+        for p, n in opened.items():
+            for size in p:
+                inside[size] += n
+        again = bin_patterns(dict(inside), capacity, nodes)
+        if (fewer := opened.total() - sum(n for _, n in again)) >= 0:
+            have -= opened
+            for p, n in again:
+                have[p] += n
+            bins -= fewer
+    return list(have.items())
+
+
 def places_by_length(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length the runs of ranks that one pattern takes: first rank, first bin, items a bin, offset in the bin."""
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -195,7 +247,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     cut = written(pieces(docs, vocabulary, capacity, end_id), "pieces")
     by_part = written(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = places_by_length(bin_patterns(histogram, capacity, nodes))
+    runs = places_by_length(improved(bin_patterns(histogram, capacity, nodes), capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
 
