@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Memory for the ids that a task remembers, and what one word takes beside its letters and ids.
-MEMO_BYTES, WORD_BYTES = 24 << 20, 200
+#: Memory for the ids of words that came again, for those of words that came once of late, and what one word takes beside its letters and ids.
+MEMO_BYTES, RECENT_BYTES, WORD_BYTES = 48 << 20, 24 << 20, 200
 #: Text that is cut and encoded at once: the arrays of its words and ids are many times its size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 EMPTY = np.zeros(0, np.uint32)
 #: Stands for a line break before a word while texts are cut.
 BREAK = "\x01"
@@ -47,16 +47,21 @@ class WordEncoder:
         self.break_ids = self.ids(["\n"])[0].tobytes()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.memo: dict[str, bytes] = {}
-        self.room = MEMO_BYTES
+        self.recent: dict[str, bytes] = {}
+        self.room, self.recent_room = MEMO_BYTES, RECENT_BYTES
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str], often: list[int]) -> list[bytes]:
         """The ids of each word, as bytes. ``often``: how often the batch has it; words that come again are remembered."""
-        memo, model, packed = self.memo, self.library.model, self.packed
+        memo, recent, model, packed = self.memo, self.recent, self.library.model, self.packed
         out = [memo.get(w) for w in words]
-        missing = [i for i, ids in enumerate(out) if ids is None]
+        unknown = [i for i, ids in enumerate(out) if ids is None]
+        again = [i for i in unknown if words[i] in recent]
+        for i in again:
+            out[i] = recent[words[i]]
+        missing = [i for i in unknown if out[i] is None] if again else unknown
         rest = []
         for i in missing:
             w = words[i]
@@ -75,12 +80,16 @@ class WordEncoder:
                 rest.append(i)
         for i, ids in zip(rest, self.ids([words[i] for i in rest]), strict=True):
             out[i] = ids.tobytes()
-        for i in missing:
-            if self.room <= 0:
-                break
-            if often[i] > 1:
-                memo[words[i]] = out[i]
-                self.room -= WORD_BYTES + len(words[i]) + len(out[i])
+        if self.room > 0:
+            kept = again + [i for i in missing if often[i] > 1]
+            memo.update((words[i], out[i]) for i in kept)
+            self.room -= sum(WORD_BYTES + len(words[i]) + len(out[i]) for i in kept)
+        once = [i for i in missing if often[i] == 1]
+        if self.recent_room <= 0:
+            recent.clear()
+            self.recent_room = RECENT_BYTES
+        recent.update((words[i], out[i]) for i in once)
+        self.recent_room -= sum(WORD_BYTES + len(words[i]) + len(out[i]) for i in once)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
