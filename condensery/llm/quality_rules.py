@@ -1,9 +1,9 @@
 """Quality rules: base counts, and a log-likelihood ratio of hashed n-grams between trusted and raw text.
 
-All of it is DataFrame expressions. A word is folded to its surface form (long letter runs become one letter of
-their case, digits one digit), so that n-grams of a huge vocabulary stay dense in ``BUCKETS`` hashed classes.
+All of it is DataFrame expressions. A text's n-grams are its lower-case words, its surface forms (words with long letter runs as one letter of
+their case and digits as one digit, which stay dense whatever the vocabulary) and the bigrams of those forms, hashed to ``BUCKETS`` classes.
 Two multinomials over these classes are counted in one pass: the raw corpus (every document) and the trusted
-target (documents that a bounded sample of labels marks as good). A document's score is the mean over its bigrams of forms
+target (documents that a bounded sample of labels marks as good). A document's score is the mean over its n-grams
 of log p_target - log p_raw; it is kept when the score is at least ``THRESHOLD``.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import written
 
 #: Hashed n-gram classes: the size of what is sent to every task (one double each).
-BUCKETS = 4096
+BUCKETS = 1 << 15
 #: Expected number of trusted rows that the target multinomial uses; bounds the broadcast of their ids.
 TRUSTED_ROWS = 16_000
 #: Mean log-likelihood ratio below which a document goes.
@@ -37,15 +37,15 @@ def surface(text: Column) -> Column:
     return words(F.regexp_replace(folded, "[0-9]+", "0"))
 
 
-def ngram_classes(docs: DataFrame, buckets: int) -> DataFrame:
-    """``docs`` with ``classes``: the hashed class of each form of its text with the form before it (for the first, a begin mark)."""
-    formed = docs.withColumn("forms", surface(F.coalesce(F.col("text"), F.lit(""))))
-    before = F.slice(F.concat(F.array(F.lit("^")), F.col("forms")), F.lit(1), F.size("forms"))
-    return formed.withColumn("classes", F.zip_with("forms", before, lambda f, g: F.pmod(F.xxhash64(f, g), F.lit(buckets)).cast("int"))).drop("forms")
+def ngram_classes(w: Column, forms: Column, buckets: int) -> Column:
+    """The hashed class of each lower-case word, of each form, and of each form with the one before it (for the first, a begin mark)."""
+    place = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    before = F.slice(F.concat(F.array(F.lit("^")), forms), F.lit(1), F.size(forms))
+    return F.concat(F.transform(w, lambda x: place(F.lit(1), F.lower(x))), F.transform(forms, lambda f: place(F.lit(2), f)), F.zip_with(forms, before, lambda f, g: place(F.lit(3), f, g)))
 
 
 def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the base counts of each whole text; a null text has no words and no lines.
+    """doc_id, text, its words (w) and the base counts of each whole text; a null text has no words and no lines.
 
     ``carried``: further columns of ``docs`` to hand on.
     """
@@ -58,7 +58,7 @@ def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     x = x.withColumns({"lines": lines, "t": triples})
     x = x.withColumn("has", F.size(F.array_distinct("t")) < F.size("t"))
     # Only a text with a repeated window needs its windows sorted, with their places.
-    x = x.withColumn("s", F.when(F.col("has"), F.array_sort(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    x = x.withColumn("s", F.when(F.col("has"), F.sort_array(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s = F.col("s")
     twice = F.filter(
         F.transform(s, lambda y, i: F.struct(y["i"].alias("i"), (y["h"].eqNullSafe(F.get(s, i - 1)["h"]) | y["h"].eqNullSafe(F.get(s, i + 1)["h"])).alias("r"))),
@@ -72,7 +72,7 @@ def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     for sign in "#*$%&|<>":
         without = F.replace(without, F.lit(sign), F.lit(""))
     return x.select(
-        "doc_id", "text", *carried,
+        "doc_id", "text", "w", *carried,
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.octet_length("text") - F.octet_length(without)).cast("long").alias("n_symbols"),
@@ -92,11 +92,12 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log p_target - log p_raw of each hashed class. The counts cover every document; ``buckets`` bounds the result."""
     good = trusted.withColumn("good", F.lit(1))
-    classes = ngram_classes(docs.select("doc_id", "text"), buckets).select("doc_id", F.explode_outer("classes").alias("c")).filter("c IS NOT NULL")
-    counts = (
-        classes.join(F.broadcast(good), "doc_id", "left").groupBy("c")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # The list of trusted ids is bounded. It meets documents, before their n-grams are rows.
+    marked = docs.select("doc_id", text.alias("text")).join(F.broadcast(good), "doc_id", "left").select("good", words(F.col("text")).alias("w"), surface(F.col("text")).alias("forms"))
+    # Outer, as else the optimizer filters by the size of the array, and works it out once more for that.
+    classes = marked.select("good", F.explode_outer(ngram_classes(F.col("w"), F.col("forms"), buckets)).alias("c")).filter("c IS NOT NULL")
+    counts = classes.groupBy("c").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for row in counts:
         raw[row["c"]] += row["raw"]
@@ -117,9 +118,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     table = ratio_table(docs, trusted_ids(labels, trusted_rows), buckets)
     weights = F.from_json(F.lit("[" + ",".join(map(repr, table)) + "]"), "array<double>")
     counted = base_counts(docs, carried)
-    counted = ngram_classes(counted, buckets)
+    counted = counted.withColumn("forms", surface(F.col("text"))).withColumn("classes", ngram_classes(F.col("w"), F.col("forms"), buckets))
     total = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + F.get(weights, c))
-    judged = counted.withColumn("llr", F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(F.lit(0.0))).drop("text", "classes")
+    judged = counted.withColumn("llr", F.when(F.col("n_words") > 0, total / F.size("classes")).otherwise(F.lit(0.0))).drop("text", "w", "forms", "classes")
     # Not deterministic to the optimizer, so that a filter on the verdict isn't pushed below the columns it is worked out from
     # (it would work them out many times over).
     once = F.spark_partition_id() >= 0
