@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = written(after, "edges")
         # Stars: nobody is both above and below.
         done = after.select("u").join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and after.groupBy("u").count().filter("count > 1").isEmpty()
+        forget(e)
         e = after
         if done:
             break

@@ -6,9 +6,9 @@ once its next arrival is later than every register's. Two documents agree in a r
 similarity J_P of their weights, which is the plain Jaccard similarity when all weights are equal.
 
 Equal signatures of ``rows`` registers make a bucket. In a bucket every member is compared with the hub (the member that shares most
-buckets with others) instead of with every other member, and links are verified on the whole bags. 1 - J_P is a metric, so a
-link only joins what belongs together; where a bucket still holds several components, all its pairs
-across components that their distances to the hub and the bits of a longer signature allow are verified as well.
+buckets with others) instead of with every other member, and links are verified on the whole bags. What is in one component of the links so far needs no
+further comparison. Members of buckets that still hold several components are dealt anew by a second signature, of more and longer bands, whose buckets hold few
+that are far apart; there one member after the other, from the smallest component on, is compared with those of other components, until none is left.
 """
 
 from __future__ import annotations
@@ -17,17 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import hashed_words, mix64, shingles, slices, texts_of, written
+from .common import forget, hashed_words, mix64, shingles, slices, texts_of, written
 from .components import components
 from .suffix_dedup import numbered
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
 BANDS, ROWS = 36, 7
-#: Registers, of one bit each, of the signatures that members of a bucket's components are compared by.
-FINE = 2048
+#: Bands of the second signature: a pair at 0.8 misses all of them once in 900, one at 0.7 shares a band once in 300.
+FINE_BANDS, FINE_ROWS = 240, 16
+#: Members of a bucket, at most, that a round compares with the others.
+SLOTS = 8
+#: Groups, the largest ones, whose sizes are broadcast, so that no shuffled group has more than a small share of the rows.
+HEAVY_GROUPS = 1024
 
 
 def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_rows: int, registers: int) -> np.ndarray:
@@ -57,6 +61,20 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_ro
     return winners.reshape(n_rows, registers)
 
 
+def band_keys(z: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of signatures (n, bands * rows), and of which band it is."""
+    z = z.reshape(len(z), bands, rows)
+    with np.errstate(over="ignore"):
+        keys = np.zeros((len(z), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+        for j in range(rows):
+            keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + z[:, :, j])
+    return keys
+
+
+def key_lists(keys: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+
+
 def digested(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, a 128-bit digest of the bag (null for an empty one) and the band hashes of its signature."""
 
@@ -66,18 +84,15 @@ def digested(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 flat, offsets = hashed_words(texts_of(batch))
                 row, bag, count = shingles(flat, offsets, words)
                 n = batch.num_rows
-                z = signatures(row, bag, count, n, bands * rows).reshape(n, bands, rows)
+                keys = band_keys(signatures(row, bag, count, n, bands * rows), bands, rows)
                 with np.errstate(over="ignore"):
-                    keys = np.full((n, bands), 0, np.uint64) + np.arange(bands, dtype=np.uint64)
-                    for j in range(rows):
-                        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + z[:, :, j])
                     counted = mix64(bag + mix64(count.astype(np.uint64)))
                     one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                     np.add.at(one, row, counted)
                     np.add.at(two, row, mix64(counted ^ np.uint64(0xA0761D6478BD642F)))
                 empty = np.bincount(row, minlength=n) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
+                    [batch.column("doc_id"), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), key_lists(keys)],
                     ["doc_id", "one", "two", "bands"],
                 )
 
@@ -136,8 +151,8 @@ def verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def sketches(bagged: DataFrame, registers: int) -> DataFrame:
-    """rep and one bit of each register of its bag's signature, in words of 64."""
+def finely_banded(bagged: DataFrame, bands: int, rows: int) -> DataFrame:
+    """rep and the band hashes of its bag's second signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,31 +160,55 @@ def sketches(bagged: DataFrame, registers: int) -> DataFrame:
             while at < whole.num_rows:
                 # Some documents at once: so many shingles, and so many registers, fit in memory.
                 held, size = [], 0
-                while at + len(held) < whole.num_rows and len(held) < 256 and size < 1 << 20:
+                while at + len(held) < whole.num_rows and len(held) < 64 and size < 1 << 18:
                     held.append(np.frombuffer(whole["bag"][at + len(held)].as_py(), np.uint64))
                     size += len(held[-1])
                 batch = whole.slice(at, len(held))
                 at += len(held)
                 raw = batch["counts"].to_pylist()
                 weights = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x), np.uint32) for x, c in zip(held, raw, strict=True)])
-                rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
-                won = signatures(rows, np.concatenate(held), weights, len(held), registers)
-                # A shingle that wins several registers gives each a bit of its own.
+                owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
                 with np.errstate(over="ignore"):
-                    bits = mix64(won + np.arange(registers, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
-                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.reshape(-1)))], ["rep", "sketch"])
+                    # Other arrivals than those of the first signature.
+                    elements = mix64(np.concatenate(held) ^ np.uint64(0xA0761D6478BD642F))
+                keys = band_keys(signatures(owner, elements, weights, len(held), bands * rows), bands, rows)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], key_lists(keys)], ["rep", "bands"])
+
+    return bagged.select("doc_id", "bag", "counts").mapInArrow(sign, "rep long, bands array<long>")
 
-    return bagged.select("doc_id", "bag", "counts").mapInArrow(sign, "rep long, sketch array<long>")
 
+def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of further links between members (key, rep, root) of a bucket that are in different components.
 
-def may_be_near(a: str, b: str, registers: int, similarity: float) -> Column:
-    """Whether two sketches agree in as many bits as a pair of this similarity does but for once in 30,000 (four standard deviations)."""
-    differ = F.lit(0)
-    for k in range(registers // 64):
-        differ = differ + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    share = (1 - similarity) / 2
-    return differ <= registers * share + 4 * (registers * share * (1 - share)) ** 0.5
+    A round compares a few members of each bucket, of its smallest components, with those of its other components, but for pairs seen before; they have
+    then met all of them and leave the bucket. Buckets close when one component is left, so comparisons grow with members and rounds and no
+    round makes all pairs of a bucket.
+    """
+    open_, found = members, None
+    while True:
+        sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")), "sizes")
+        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key")
+        # The smallest components first: some at once, one of each slot.
+        slot = F.pmod(F.xxhash64("least"), F.lit(SLOTS))
+        turns = written(sizes.join(mixed, "key").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct(F.col("least").alias("hub"), F.col("root").alias("own")), F.struct("n", "least")).alias("x")).select("key", "x.hub", "x.own"), "turns")
+        if turns.isEmpty():
+            forget(sizes, turns)
+            return found
+        now = written(open_.join(turns.select("key").distinct(), "key"), "now")
+        pairs = now.join(turns, "key").filter("root <> own").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
+        near = written(verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
+        links = near.filter(F.col("similarity") >= similarity).select("a", "b")
+        found = links if found is None else found.union(links)
+        seen = seen.select("a", "b").union(near.select("a", "b"))
+        left = now.join(turns.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        if not links.isEmpty():
+            # Components that have met go on as one; links of a round are between roots that the round knows.
+            roots = now.select(F.col("rep").alias("id"), "root").distinct()
+            merged = components(links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            merged = written(merged.select(F.col("id").alias("root"), F.col("root").alias("into")), "merged")
+            left = left.join(merged, "root", "left").select("key", "rep", F.coalesce("into", "root").alias("root"))
+        open_, before = written(left, "open"), open_
+        forget(sizes, turns, now, *([before] if before is not members else []))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,51 +240,61 @@ def by_row(texts: DataFrame, **options) -> DataFrame:
     return named.join(least, "root").select("row", "doc_id", "group_id", "group_size", "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
-def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, fine_bands: int = FINE_BANDS, fine_rows: int = FINE_ROWS) -> DataFrame:
     """``near_duplicates`` of documents with ids of their own."""
     signed = written(digested(docs, words, bands, rows), "signatures")
     # Equal bags are one class: only its smallest doc_id goes on. A partial aggregate, so a huge class costs little.
     equal = signed.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = written(equal, "classes")
-    entries = reps.select("rep", F.explode("bands").alias("key"))
-    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).filter("n > 1"), "buckets")
-    # How central a document is: the other members of its buckets, all bands together.
-    crowded = written(entries.join(shared.select("key", "n"), "key"), "entries")
-    central = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
-    members = written(crowded.join(central, "rep").select("key", "rep", "score"), "members")
-    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    members = members_of(reps)
+    # What is joined to the members of a bucket is a table of its own: a large bucket's side is then split where it is skewed.
+    hubs = written(members.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub")), "hubs")
     stars = written(members.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     # The candidates grow with the corpus: shuffled at every size, so that costs follow the input.
     bagged = written(bags(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "bags")
     near = written(verified(stars, bagged), "near")
-    links = near.filter(F.col("similarity") >= similarity)
-    roots = written(components(links.select("a", "b")), "roots")
-    # Buckets that hold several components: all pairs across them that the metric's triangle over the hub allows.
-    rooted = members.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    # A bucket's members in one component are told apart only by their distance to the hub.
-    distance = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("d"))
-    placed = rooted.join(open_keys, "key").join(hubs, "key").join(distance, ["hub", "rep"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    placed = written(placed, "open")
-    inside = placed.select(F.col("rep").alias("doc_id")).distinct()
-    placed = placed.join(written(sketches(bagged.join(inside.hint("merge"), "doc_id", "left_semi"), FINE), "sketches"), "rep")
-    x, y = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), "hub", F.col("sketch").alias("sa")), placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), F.col("sketch").alias("sb"))
-    rest = x.join(y, "key").filter((F.col("ra") < F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - similarity + 1e-9) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")) & may_be_near("sa", "sb", FINE, similarity)).select("a", "b").distinct()
-    more = written(verified(rest, bagged).filter(F.col("similarity") >= similarity), "more")
-    every = written(links.select("a", "b").union(more.select("a", "b")), "links")
-    final = components(roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
+    links = written(near.filter(F.col("similarity") >= similarity).select("a", "b"), "links")
+    roots = written(components(links), "roots")
+    # Members of buckets that hold several components.
+    rooted = written(members.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    open_keys = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "open-keys")
+    inside = written(rooted.join(open_keys, "key").select("rep", "root").distinct(), "inside")
+    fine = written(finely_banded(bagged.join(inside.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), fine_bands, fine_rows), "fine")
+    again = fine.join(inside, "rep").select("rep", "root", F.explode_outer("bands").alias("key"))
+    keys = written(again.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "fine-keys")
+    dealt = written(again.join(keys.hint("merge"), "key").select("key", "rep", "root"), "fine-members")
+    seen = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = settled(dealt, bagged, seen, similarity)
+    every = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    every = written(every if more is None else every.union(more), "every")
+    final = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    named = signed.select("doc_id", "one", "two").join(classes.select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"), ["one", "two"], "left")
-    sized = named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sized = written(sized, "groups")
-    sizes = sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    return sized.join(sizes, "group_id", "left").select(
+    classes = written(reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"), "named")
+    named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
+    sized = written(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
+    sizes = written(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
+    forget(signed, reps, members, hubs, stars, wanted, bagged, near, links, roots, rooted, open_keys, inside, fine, keys, dealt, every, classes)
+    # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
+    heavy = written(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
+    mapped = sized.join(F.broadcast(heavy), "group_id")
+    rest = sized.join(F.broadcast(heavy.select("group_id")), "group_id", "left_anti").join(sizes, "group_id", "left")
+    return mapped.unionByName(rest).select(
         "doc_id", "group_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept")
     )
 
 
+def members_of(reps: DataFrame) -> DataFrame:
+    """(key, rep, score) of the buckets of (rep, bands) with two members or more; score: the members of all of a document's buckets, how central it is."""
+    entries = reps.select("rep", F.explode_outer("bands").alias("key"))
+    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    crowded = written(entries.join(shared.hint("merge"), "key"), "entries")
+    central = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
+    members = written(crowded.join(central, "rep").select("key", "rep", "score"), "members")
+    forget(shared, crowded)
+    return members
+
+
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
     if not own_ids(docs):
