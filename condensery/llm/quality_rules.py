@@ -9,9 +9,9 @@ of log p_target - log p_raw; it is kept when the score is at least ``THRESHOLD``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
 
-from .common import written
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Hashed n-gram classes: the size of what is sent to every task (one double each).
 BUCKETS = 1 << 15
@@ -19,8 +19,8 @@ BUCKETS = 1 << 15
 TRUSTED_ROWS = 16_000
 #: Mean log-likelihood ratio below which a document goes.
 THRESHOLD = -0.2
-#: Added to each class's count.
-SMOOTHING = 0.5
+#: N-grams, spread as in the raw corpus, that are added to the target's: what the target has not seen scores log(PRIOR / (PRIOR + its n-grams)).
+PRIOR = 1024
 
 SPACE = r"[\x20\x09-\x0D]+"
 LOWER, UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
@@ -89,7 +89,7 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     return good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """log p_target - log p_raw of each hashed class. The counts cover every document; ``buckets`` bounds the result."""
     good = trusted.withColumn("good", F.lit(1))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -98,21 +98,18 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
     # Outer, as else the optimizer filters by the size of the array, and works it out once more for that.
     classes = marked.select("good", F.explode_outer(ngram_classes(F.col("w"), F.col("forms"), buckets)).alias("c")).filter("c IS NOT NULL")
     counts = classes.groupBy("c").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()
-    raw, target = [smoothing] * buckets, [smoothing] * buckets
+    all_raw, all_target = sum(row["raw"] for row in counts), sum(row["target"] for row in counts)
+    table = [0.0] * buckets
     for row in counts:
-        raw[row["c"]] += row["raw"]
-        target[row["c"]] += row["target"]
-    import math
-
-    lr, lt = math.log(sum(raw)), math.log(sum(target))
-    return [round(math.log(t) - lt - math.log(r) + lr, 9) for r, t in zip(raw, target, strict=True)]
+        table[row["c"]] = round(math.log((row["target"] * all_raw / row["raw"] + prior) / (all_target + prior)), 9)
+    return table
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, llr (mean log ratio per n-gram), kept.
 
     A null or empty text has no words, fails the base rule and has llr 0. Without trusted rows the two
-    multinomials differ only by smoothing. Repeated rows are judged one by one. An empty table gives no rows.
+    multinomials are equal and every llr is 0. Repeated rows are judged one by one. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text", *carried)
     table = ratio_table(docs, trusted_ids(labels, trusted_rows), buckets)
