@@ -9,10 +9,11 @@ synchronizing sets, Kempa and Kociumaka 2019) and one position in about eighty i
 2. The recursion on names compares the whole stretch that the windows of one sampled position cover: its name is made from the
    names of its parts. Stretches that occur twice are repeated as a whole.
    Where a sample heads several stretches, blocks of offsets to it are named in the same way (what a block's windows share, all that they cover).
-3. The remaining suffixes are merged in: windows in blocks that are still mixed are named by their ``length``-byte prefix, and equal
-   prefixes are repeats.
+3. The remaining suffixes are merged in: of the windows in blocks that are still mixed, those whose name recurs are sorted by their ``length``-byte
+   prefixes over the whole corpus, and each is compared with the one before it and the one after it.
 
-Names are 64-bit hashes, which group as ranks would without a global sort of all positions; a table of every suffix would be many times the input.
+In the first two steps two 64-bit names together stand for ranks, which spares a global sort of all positions; a table of every suffix would be many times
+the input. In the last step a name only leaves out what is unique: what is removed there has been compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, texts_of, written
+from .common import forget, mix64, texts_of, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are handled at once; longer texts are cut into overlapping segments.
@@ -163,6 +164,8 @@ def stretch_names(names: Names, place: np.ndarray, low: np.ndarray, high: np.nda
 
 #: Window offsets to the sample that are named together in the second step.
 BLOCK = 16
+#: Prefixes that a task cuts from a text at once.
+PREFIXES = 8192
 #: What flags mean: all that the windows cover recurs; the windows are to be told apart by the next step.
 WHOLE, ASK = 1, 2
 
@@ -177,6 +180,7 @@ def named_apart(found: DataFrame, step: str) -> DataFrame:
     samples = classes.groupBy("sample").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
     shared = classes.join(samples, "sample").select("sample", "stretch", (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"), F.col("one.row").alias("one_row"), F.col("one.low").alias("one_low"))
     shared = written(shared, step + "-shared")
+    forget(classes)
     asks = F.col("mixed") & (F.col("one_row") == F.col("row")) & (F.col("one_low") == F.col("low"))
     flag = (F.when(F.col("whole"), WHOLE).otherwise(0) + F.when(asks, ASK).otherwise(0)).cast("byte")
     flagged = found.join(shared, ["sample", "stretch"]).withColumn("flag", flag).filter("flag > 0")
@@ -253,6 +257,46 @@ def windows(asked: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
     return asked.select("row", "text", "blocks").mapInArrow(name, "row long, start int, alone boolean, window long")
 
 
+def prefixes(asked: DataFrame, length: int) -> DataFrame:
+    """(row, start, alone, prefix) of the asked windows: their bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            for k, raw, (start, alone) in of_each(batch, "windows", "start", "alone"):
+                for at in range(0, len(start), PREFIXES):
+                    own = start[at : at + PREFIXES]
+                    # A piece of the text that holds some of them, in order of their starts.
+                    data = np.ascontiguousarray(raw[own[:, None] + np.arange(length)]).tobytes()
+                    prefix = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, len(data) + 1, length, dtype=np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rows[k])), pa.array(own, pa.int32()), pa.array(alone[at : at + PREFIXES] > 0), prefix], ["row", "start", "alone", "prefix"])
+
+    return asked.select("row", "text", "windows").mapInArrow(cut, "row long, start int, alone boolean, prefix binary")
+
+
+def equal_neighbours(windows_: DataFrame) -> DataFrame:
+    """(row, start) of the windows that ask (alone) and equal the one before or after them in the order of all prefixes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last window read waits for the one after it.
+        held, held_same = None, False
+        for batch in batches:
+            both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            prefix = both.column("prefix")
+            n = both.num_rows
+            same = pc.equal(prefix.slice(1), prefix.slice(0, n - 1)).to_numpy(zero_copy_only=False) if n > 1 else np.zeros(0, bool)
+            before = np.append(held_same, same)
+            after = np.append(same, False)
+            out = (before | after)[: n - 1] & both.column("alone").to_numpy(zero_copy_only=False)[: n - 1]
+            yield both.select(["row", "start"]).slice(0, n - 1).filter(pa.array(out))
+            held, held_same = both.slice(n - 1), bool(before[n - 1])
+        if held is not None and held_same and held.column("alone")[0].as_py():
+            yield held.select(["row", "start"])
+
+    # Equal prefixes fall into one range.
+    return windows_.repartitionByRange("prefix").sortWithinPartitions("prefix").mapInArrow(compare, "row long, start int")
+
+
 def removed(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
     """The result of each document, from ``spans``: its runs of starts of repeated windows."""
 
@@ -293,17 +337,25 @@ def numbered(docs: DataFrame) -> DataFrame:
 def repeated(texts: DataFrame, length: int, gram: int, segment: int = SEGMENT) -> DataFrame:
     """(row, spans): for each document that has any, the runs of starts of windows that start somewhere else too."""
     found = written(stretches(texts, length, gram, segment), "samples")
-    # Lists of one document's runs or blocks are bounded by its length.
+    # Lists of one document's runs, blocks or windows are bounded by its length.
     runs = written(named_apart(found, "runs"), "runs")
+    forget(found)
     by_row = runs.filter(F.col("flag").bitwiseAND(ASK) > 0).groupBy("row").agg(F.collect_list(F.struct("low", "size", "shift", "flag")).alias("runs"))
     split = written(blocks(texts.join(by_row, "row"), length, segment), "blocks")
     parts = written(named_apart(split, "blocks"), "parts")
+    forget(split)
     open_parts = parts.filter(F.col("flag").bitwiseAND(ASK) > 0).select("row", "low", "size", (F.col("alone") & (F.col("flag").bitwiseAND(WHOLE) == 0)).alias("alone"))
     single = written(windows(texts.join(open_parts.groupBy("row").agg(F.collect_list(F.struct("low", "size", "alone")).alias("blocks")), "row"), length, segment), "windows")
-    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    starts = single.filter("alone").join(twice, "window").select("row", F.col("start").alias("low"), F.lit(1).cast("short").alias("size"))
+    twice = written(single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"), "twice")
+    recurring = single.join(twice.hint("merge"), "window").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "alone"))).alias("windows"))
+    cut = written(prefixes(texts.join(recurring, "row"), length), "prefixes")
+    forget(single, twice)
+    starts = written(equal_neighbours(cut).select("row", F.col("start").alias("low"), F.lit(1).cast("short").alias("size")), "starts")
+    forget(cut)
     whole = runs.filter(F.col("flag").bitwiseAND(WHOLE) > 0).select("row", "low", "size").union(parts.filter(F.col("alone") & (F.col("flag").bitwiseAND(WHOLE) > 0)).select("row", "low", "size"))
-    return written(whole.union(starts).groupBy("row").agg(F.collect_list(F.struct("low", "size")).alias("spans")), "spans")
+    spans = written(whole.union(starts).groupBy("row").agg(F.collect_list(F.struct("low", "size")).alias("spans")), "spans")
+    forget(runs, parts, starts)
+    return spans
 
 
 def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
