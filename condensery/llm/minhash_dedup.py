@@ -26,8 +26,8 @@ from .suffix_dedup import numbered
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
 BANDS, ROWS = 36, 7
-#: Bands of the second signature: a pair at 0.8 misses all of them once in 900, one at 0.7 shares a band once in 300.
-FINE_BANDS, FINE_ROWS = 240, 16
+#: Bands of the second signature: a pair at 0.8 misses all of them once in 250, one at 0.7 shares a given band once in 1,250.
+FINE_BANDS, FINE_ROWS = 480, 20
 #: Members of a bucket, at most, that a round compares with the others.
 SLOTS = 8
 #: Groups, the largest ones, whose sizes are broadcast, so that no shuffled group has more than a small share of the rows.
@@ -160,7 +160,7 @@ def finely_banded(bagged: DataFrame, bands: int, rows: int) -> DataFrame:
             while at < whole.num_rows:
                 # Some documents at once: so many shingles, and so many registers, fit in memory.
                 held, size = [], 0
-                while at + len(held) < whole.num_rows and len(held) < 64 and size < 1 << 18:
+                while at + len(held) < whole.num_rows and len(held) < 32 and size < 1 << 17:
                     held.append(np.frombuffer(whole["bag"][at + len(held)].as_py(), np.uint64))
                     size += len(held[-1])
                 batch = whole.slice(at, len(held))
