@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -11,14 +13,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a task; bounds a Python worker's memory whatever the batch size.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster's spark.checkpoint.dir names. Driver and executors share it; where it is not set there is none to guess."""
+    """The folder that the cluster's spark.checkpoint.dir names; driver and executors share it. One of our own only where it is not set and all is one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="condensery-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

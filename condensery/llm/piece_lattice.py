@@ -25,6 +25,8 @@ N_BEST = 4
 #: Words whose segmentations a task remembers.
 MEMO_WORDS = 200_000
 UNKNOWN_PENALTY = 10.0
+#: Text whose words are looked up at once.
+WORDS_BYTES = 8 << 20
 #: Text whose segmentations are decoded at once.
 JUDGED_BYTES = 2 << 20
 #: Pieces that a model never makes have a score below this.
@@ -229,7 +231,7 @@ def segmented(batches: Iterator[pa.RecordBatch], model: str, n: int) -> Iterator
     """What ``segmentations`` gives for batches of doc_id and text, in slices of bounded text."""
     search = lattice(model)
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=WORDS_BYTES):
             texts = texts_of(batch)
             # A word is a run of spaces and what follows it; the cut is at each space behind something else.
             plain = pc.replace_substring_regex(texts, pattern=r"([^ ]) ", replacement="\\1\x00 ")

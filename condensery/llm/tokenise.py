@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Memory for the ids of words that came again, for those of words that came once of late, and what one word takes beside its letters and ids.
-MEMO_BYTES, RECENT_BYTES, WORD_BYTES = 48 << 20, 24 << 20, 200
+MEMO_BYTES, RECENT_BYTES, WORD_BYTES = 24 << 20, 12 << 20, 200
 #: Text that is cut and encoded at once: the arrays of its words and ids are many times its size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 EMPTY = np.zeros(0, np.uint32)
 #: Stands for a line break before a word while texts are cut.
 BREAK = "\x01"
