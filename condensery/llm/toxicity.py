@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import texts_of, written
+from .common import slices, texts_of, written
 
 #: Expected number of labelled rows that the lexicon and the calibration are learnt from, and the most entries of the lexicon.
 TRAINING_ROWS, ENTRIES = 20_000, 5_000
@@ -61,10 +61,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """(doc_id, y) of about ``rows`` labelled rows that are not held out, chosen by a hash of the id."""
+    """(doc_id, y) of about ``rows`` labelled rows that are not held out, chosen by a hash of the id; of several labels of one id the largest."""
     able = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(column).cast("int").alias("y"))
     share = min(1.0, rows / max(1, able.count()))
-    return able.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    return able.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 @functools.lru_cache(2)
@@ -103,14 +103,15 @@ def evidence(texts: DataFrame, columns: list[str], entries: tuple, exceptions: t
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(entries, exceptions)
-        for batch in batches:
-            weights, hits, words = [], [], []
-            for text in texts_of(batch).to_pylist():
-                weight, n = matched(fold(text), a)
-                weights.append(weight)
-                hits.append(n)
-                words.append(text.count(" ") + text.count("\n") + 1)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(weights, pa.float64()), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], [*columns, "weight", "hits", "n_words"])
+        for whole in batches:
+            for batch in slices(whole):
+                weights, hits, words = [], [], []
+                for text in texts_of(batch).to_pylist():
+                    weight, n = matched(fold(text), a)
+                    weights.append(weight)
+                    hits.append(n)
+                    words.append(text.count(" ") + text.count("\n") + 1)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(weights, pa.float64()), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], [*columns, "weight", "hits", "n_words"])
 
     kinds = dict(texts.dtypes)
     return texts.select(*columns, "text").mapInArrow(match, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", weight double, hits long, n_words long")
@@ -138,14 +139,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
     chosen = written(docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, "toxic", rows)), "doc_id"), "toxic-sample")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, labels_ = [], []
-            for text, y in zip(texts_of(batch).to_pylist(), batch["y"].to_pylist(), strict=True):
-                own = set(fold(text).split())
-                own = {f" {w} " for w in own if len(w) > 2} | {f" {w[:n]}" for w in own for n in STEMS if len(w) > n}
-                found += own
-                labels_ += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels_, pa.int64())], ["term", "y"])
+        for whole in batches:
+            for batch in slices(whole):
+                found, labels_ = [], []
+                for text, y in zip(texts_of(batch).to_pylist(), batch["y"].to_pylist(), strict=True):
+                    own = set(fold(text).split())
+                    own = {f" {w} " for w in own if len(w) > 2} | {f" {w[:n]}" for w in own for n in STEMS if len(w) > n}
+                    found += own
+                    labels_ += [y] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels_, pa.int64())], ["term", "y"])
 
     bad, n = chosen.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     if not bad or bad == n:
