@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load, purge of short documents, a second tokenizer version and a revision, some batches committed twice."""
+    """Load, purge of short documents, a second tokenizer version, a compaction and a revision, some batches committed twice."""
     v1, v2 = token_rollup.whitespace_tokens(), token_rollup.piece_tokens()
     bars = F.when(F.col("text").contains("|"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D|]+")), F.lit(0))).otherwise(F.coalesce(v1, F.lit(0)))
     counts = written(documents(spark, sf_dir).select("source", "lang", F.coalesce(v1, F.lit(0)).alias("v1"), F.coalesce(v2, F.lit(0)).alias("v2"), bars.alias("revised")), "counts")
@@ -44,6 +44,8 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.commit("2-purge", purge)
     ledger.commit("3-retokenise", token_rollup.changes(left, F.col("v2"), "pieces-v2"))
     ledger.commit("2-purge", purge)
+    ledger.compact()
+    ledger.commit("2-purge", purge)
     revised = token_rollup.revisions(left, F.col("v1"), F.col("revised"), "words-v1")
     ledger.commit("4-revise", revised)
     ledger.commit("4-revise", revised)

@@ -1,8 +1,8 @@
 """Token-count rollups maintained by deltas.
 
-A ledger is a Parquet table of signed sums by source, language and tokenizer version, one partition for each committed batch. A batch
-is written by dynamic partition overwrite, so committing it again (after a lost driver, say) leaves the same totals. Totals are
-sums over the batches; compaction folds old batches into one and remembers which ids it holds.
+A ledger is a Parquet table of signed sums by source, language and tokenizer version, one partition for each committed batch, and in it a marker row. A batch
+is written by dynamic partition overwrite, so committing it again (after a lost driver, say) leaves the same totals. ``compact`` folds the
+committed batches into one base partition that lists their ids: totals then read the base and the batches since, and a folded batch can't be committed again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
 MEASURES = ["docs", "tokens"]
+#: What the id of a base begins with.
+BASE = "base-"
 
 
 def changes(docs: DataFrame, tokens: Column, tokenizer: str, sign: int = 1) -> DataFrame:
@@ -24,24 +26,56 @@ def revisions(docs: DataFrame, before: Column, after: Column, tokenizer: str) ->
 
 
 class Ledger:
-    """Rollups at ``path``. Null keys are a group of their own; an empty batch is remembered as committed without rows."""
+    """Rollups at ``path``. Null keys are a group of their own. Each batch has one marker row (docs and tokens 0), so an empty batch is
+    committed too, and takes the place of what it had before. Rows may have other columns; they are left out."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def commit(self, batch: str, rows: DataFrame) -> None:
-        """Write a batch's sums; committing the same batch again replaces it. Sums are taken before and after the shuffle, so
-        a hot source costs each task one row."""
-        sums = rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        (sums.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path))
+        """Write a batch's sums; committing the same batch again replaces it, and does nothing once it is folded into a base: that commit has taken effect.
+        Sums are taken before and after the shuffle, so a hot source costs each task one row."""
+        if batch.startswith(BASE):
+            raise ValueError(f"the id of a batch may not begin with {BASE!r}")
+        if batch in self.folded():
+            return
+        self.write(batch, rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)), [])
+
+    def write(self, batch: str, sums: DataFrame, folded: list[str]) -> None:
+        marker = self.spark.range(1).select(*(F.lit(None).cast("string").alias(k) for k in KEYS), *(F.lit(0).cast("long").alias(m) for m in MEASURES), F.array(*map(F.lit, folded)).cast("array<string>").alias("folded"))
+        both = sums.select(*KEYS, *MEASURES, F.lit(None).cast("array<string>").alias("folded")).unionByName(marker)
+        both.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
 
     def rows(self) -> DataFrame:
-        schema = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(f"{', '.join(f'{k} string' for k in KEYS)}, {', '.join(f'{m} long' for m in MEASURES)}, folded array<string>, batch string").parquet(self.path)
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def base(self) -> tuple[str | None, set[str]]:
+        """The newest base's id and the ids of the batches and bases that it holds. There are as many as compactions and batches, not as rows."""
+        bases = [(r["batch"], set(r["folded"])) for r in self.rows().filter(F.col("folded").isNotNull() & F.col("batch").startswith(BASE)).select("batch", "folded").collect()] if self.exists() else []
+        return max(bases, key=lambda b: len(b[1]), default=(None, set()))
+
+    def folded(self) -> set[str]:
+        return self.base()[1]
+
+    def current(self) -> DataFrame:
+        """Rows of the newest base and of the batches since; a base's partition counts from the moment it is whole, so a compaction that dies changes nothing."""
+        base, folded = self.base()
+        return self.rows().filter(~F.col("batch").isin(*folded) if folded else F.lit(True)).filter(F.coalesce(~F.col("batch").startswith(BASE) | (F.col("batch") == F.lit(base)), F.lit(True)))
+
+    def compact(self) -> None:
+        """Fold the base and all batches since into a new base."""
+        base, folded = self.base()
+        ids = sorted(folded | {r["batch"] for r in self.rows().select("batch").distinct().collect()})
+        sums = self.current().groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+        self.write(f"{BASE}{len(ids)}", sums, ids)
 
     def totals(self) -> DataFrame:
         """Current totals; groups whose documents have all gone are left out."""
-        sums = self.rows().groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+        sums = self.current().groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
         return sums.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
 
 

@@ -182,11 +182,27 @@ def test_toxicity(spark):
 
 def test_rollup(spark, tmp_path):
     ledger = token_rollup.Ledger(spark, str(tmp_path / "ledger"))
-    rows = spark.createDataFrame([("a", "en", "v", 1, 10), (None, "en", "v", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    rows = spark.createDataFrame([("a", "en", "v", 1, 10, 7), (None, "en", "v", 1, 5, 7)], "source string, lang string, tokenizer string, docs long, tokens long, batch long")
+    gone = rows.filter("source = 'a'").selectExpr("source", "lang", "tokenizer", "-docs AS docs", "-tokens AS tokens")
+    total = lambda: sorted(map(tuple, ledger.totals().collect()), key=str)
     ledger.commit("1", rows)
     ledger.commit("1", rows)
-    ledger.commit("2", rows.filter("source = 'a'").selectExpr("source", "lang", "tokenizer", "-docs AS docs", "-tokens AS tokens"))
-    assert [tuple(r) for r in ledger.totals().collect()] == [(None, "en", "v", 1, 5)]
+    ledger.commit("2", gone)
+    assert total() == [(None, "en", "v", 1, 5)]
+    ledger.commit("2", gone.limit(0))
+    assert total() == sorted([("a", "en", "v", 1, 10), (None, "en", "v", 1, 5)], key=str)
+    ledger.compact()
+    ledger.commit("1", rows)
+    ledger.commit("3", gone)
+    assert total() == [(None, "en", "v", 1, 5)]
+    ledger.compact()
+    ledger.commit("3", gone)
+    assert total() == [(None, "en", "v", 1, 5)] and ledger.current().select("batch").distinct().count() == 1
+    with pytest.raises(ValueError):
+        ledger.commit("base-9", rows)
+    empty = token_rollup.Ledger(spark, str(tmp_path / "empty"))
+    empty.commit("1", rows.limit(0))
+    assert empty.totals().count() == 0
 
 
 def test_ordinal_classifier(spark):
