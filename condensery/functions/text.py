@@ -6,7 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from .dims import CODE_KEYWORDS, FILLER_PATTERNS, PROFILES, STOP_WORDS
 
-WHITE = r"\s\x0b\x1c-\x1f\x85   -     　"
+#: What strip() takes away: every character that counts as white space.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# Patterns of terms, numbers, records, timestamps and line breaks.
 TERM = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-.]*[\p{L}\p{N}_])?"
 NUMBER = r"\b\d[\d:,.\-T]*\d\b|\b\d+\b"
 RECORD_START = r"^\s*(\[?\d{4}-\d{2}-\d{2}|(INFO|DEBUG|WARN|WARNING|ERROR|CRITICAL|Traceback)\b)"
@@ -15,7 +17,7 @@ BREAKS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def is_blank(text: Column) -> Column:
@@ -64,18 +66,8 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.split(strip(text), r"(?<=[.!?])\s+", -1), lambda s: ~is_blank(s))
 
 
-def prose_chunks(text: Column) -> Column:
-    """Sentences, or lines that are not blank where there is at most one sentence and more than one such line."""
-    sentences, lines = split_sentences(text), F.filter(split_lines(text), lambda s: ~is_blank(s))
-    return F.when((F.size(sentences) <= 1) & (F.size(lines) > 1), lines).otherwise(sentences)
-
-
-def terms(text: Column, without_stop_words: bool = False) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    if without_stop_words:
-        stop = F.array(*map(F.lit, STOP_WORDS))
-        found = F.filter(found, lambda t: ~F.array_contains(stop, t))
-    return found
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def references(text: Column) -> Column:

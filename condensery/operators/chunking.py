@@ -14,7 +14,8 @@ BLOCKS = "doc_id string, idx int, text string, start_line int, end_line int, def
 
 
 def explode_chunks(docs: DataFrame, chunks: Column) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(chunks).alias("idx", "text"))
+    # Outer, as else the optimizer filters by the size of the array, and works the array out once more for that.
+    return docs.select("doc_id", F.posexplode_outer(chunks).alias("idx", "text")).filter("idx IS NOT NULL")
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
@@ -26,7 +27,10 @@ def sentence_chunks(docs: DataFrame) -> DataFrame:
 
 
 def prose_chunks(docs: DataFrame) -> DataFrame:
-    return explode_chunks(docs, T.prose_chunks(F.col("text")))
+    """Sentences, or lines that are not blank where there is at most one sentence and more than one such line."""
+    split = docs.select("doc_id", "text", T.split_sentences(F.col("text")).alias("_sentences"))
+    split = split.withColumn("_lines", F.when(F.size("_sentences") <= 1, F.filter(T.split_lines(F.col("text")), lambda s: ~T.is_blank(s))))
+    return explode_chunks(split, F.when(F.size("_lines") > 1, F.col("_lines")).otherwise(F.col("_sentences")))
 
 
 def records(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -36,10 +38,20 @@ def tree_branch(conv: Column) -> Column:
     return F.reverse(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), start, step)["path"])
 
 
+def longest(schema: str, size: Callable[[Column], Column]) -> Column:
+    """The conversation of ``raw``, one object or a list of them, that is longest by ``size``; the first of equal ones."""
+    listed = F.when(F.ltrim("raw").startswith("["), F.from_json("raw", f"array<{schema}>")).otherwise(F.array(F.from_json("raw", schema)))
+    ranked = F.transform(listed, lambda c, i: F.struct(F.coalesce(size(c), F.lit(-1)).alias("size"), (-i).alias("place")))
+    best = F.array_max(ranked)
+    return F.get(listed, -best["place"])
+
+
 def parse_exports(exports: DataFrame) -> DataFrame:
     """(conv_id, format, turns) from exports (conv_id, raw); the first format with any turn wins. Unknown or broken input has format null."""
-    tree, messages, generic = F.from_json("raw", TREE), F.from_json("raw", MESSAGES), F.from_json("raw", GENERIC)
-    p = exports.select("conv_id", "raw", tree.alias("tree"), messages.alias("messages"), generic.alias("generic"))
+    # A download holds a list of conversations: the one with most nodes or messages is taken, the first of equal ones.
+    tree = longest(TREE, lambda c: F.size(c["mapping"]))
+    messages = longest(MESSAGES, lambda c: F.size(c["chat_messages"]))
+    p = exports.select("conv_id", "raw", tree.alias("tree"), messages.alias("messages"), F.from_json("raw", GENERIC).alias("generic"))
     node = lambda k: F.try_element_at(F.col("tree.mapping"), k)
     chatgpt = F.filter(
         F.transform(tree_branch(F.col("tree")), lambda k: F.struct(node(k)["message"]["author"]["role"].alias("role"), F.array_join(F.filter(F.coalesce(node(k)["message"]["content"]["parts"], F.array().cast("array<string>")), lambda x: x != ""), "\n").alias("content"))),
@@ -58,14 +70,15 @@ def exploded_turns(parsed: DataFrame) -> DataFrame:
     return parsed.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.content")
 
 
-def turn_actions(turns: DataFrame, protect_recent: int = 4, dedup_threshold: float = 0.9, min_turn_tokens: int = 20) -> DataFrame:
-    """``turns`` with tokens, action and compress (whether its text is to be compressed). Duplicates are looked for per role, among turns that are not protected."""
+def turn_actions(turns: DataFrame, protect_recent: int = 4, dedup_threshold: float | None = 0.9, min_turn_tokens: int = 20) -> DataFrame:
+    """``turns`` with tokens, action and compress (whether its text is to be compressed). Duplicates are looked for per role, among turns that are not protected;
+    ``dedup_threshold`` None takes the threshold that fits each role's turns."""
     system = F.col("role") == "system"
     w = Window.partitionBy("conv_id", system).orderBy(F.desc("turn"))
     marked = turns.withColumn("_recent", ~system & (F.row_number().over(w) <= protect_recent)).withColumn("tokens", T.token_count(F.col("content")))
     group = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("role").alias("r")))
     old = marked.filter(~system & ~F.col("_recent")).select(group.alias("doc_id"), F.col("turn").cast("int").alias("idx"), F.col("content").alias("text"), "conv_id")
-    drops = similarity.keep_first_drops(similarity.similar_pairs(old.select("doc_id", "idx", "text"), dedup_threshold))
+    drops = similarity.keep_first_drops(similarity.near_pairs(old.select("doc_id", "idx", "text"), dedup_threshold))
     dropped = old.join(drops, ["doc_id", "idx"]).select("conv_id", F.col("idx").alias("turn"), F.lit(True).alias("_dropped"))
     both = marked.join(dropped, ["conv_id", "turn"], "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
     action = F.when(system, "protected_system").when(F.col("_dropped"), "dropped_duplicate").when(F.col("_recent"), "protected_recent").otherwise("compressed")

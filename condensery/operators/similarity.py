@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.dims import STOP_WORDS
+from ..functions.storage import written
 
 MARGIN = 1e-9
 
 
-def vectors(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
-    """(doc_id, idx, term, df, w): unit vectors with smooth idf within each document.
+def weighted_terms(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
+    """(doc_id, idx, term, df, raw): term counts times the smooth idf within each document.
 
     One shuffle brings a document's chunks together; everything after it is keyed by doc_id first and needs no other.
     """
-    own = chunks.repartition("doc_id")
+    own = chunks.select("doc_id", "idx", "text").repartition("doc_id")
     sized = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    tf = sized.select("doc_id", "idx", "n", F.explode(T.terms(F.col("text"), without_stop_words)).alias("term")).groupBy("doc_id", "idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
+    found = sized.select("doc_id", "idx", "n", F.explode_outer(T.terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
+    if without_stop_words:
+        # Behind the explode a set look-up for each term is enough.
+        found = found.filter(~F.col("term").isin(STOP_WORDS))
+    tf = found.groupBy("doc_id", "idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "term")))
-    raw = df.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    return df.select("doc_id", "idx", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+
+
+def vectors(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
+    """(doc_id, idx, term, df, w): unit vectors of chunks."""
+    raw = weighted_terms(chunks, without_stop_words)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id", "idx")))
     return raw.select("doc_id", "idx", "term", "df", (F.col("raw") / norm).alias("w"))
 
@@ -26,17 +37,18 @@ def vectors(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
 def similar_pairs(chunks: DataFrame, threshold: float | None) -> DataFrame:
     """(doc_id, i, j, similarity) with i < j of pairs whose rounded cosine is at least ``threshold``; all pairs that share a term if it is None.
 
-    Terms of a vector in ascending document frequency: once what is left of the vector is shorter than the threshold, no pair is missed
-    if only the terms so far are looked up (Bayardo, Ma and Srikant, 2007).
+    Terms of a vector in one order of all, by ascending document frequency: where what is left of a vector is shorter than the threshold its head ends. Two vectors
+    as similar as that share a term of both heads, so no pair is missed (Bayardo, Ma and Srikant, 2007).
     """
-    v = vectors(chunks.filter(~T.is_trivial(F.col("text"))))
+    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
     if threshold is None:
         return dots(v, v)
     w = Window.partitionBy("doc_id", "idx").orderBy("df", "term")
     before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    heads = v.withColumn("_left", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).filter(F.col("_left") >= threshold - MARGIN)
-    x, y = heads.select("doc_id", "term", F.col("idx").alias("x")), v.select("doc_id", "term", F.col("idx").alias("y"))
-    pairs = x.join(y, ["doc_id", "term"]).filter("x <> y").select("doc_id", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    # A term of one chunk alone has no partner.
+    heads = written(v.withColumn("_left", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).filter((F.col("_left") >= threshold - MARGIN) & (F.col("df") > 1)).select("doc_id", "term", "idx"), "heads")
+    x, y = heads.withColumnRenamed("idx", "i"), heads.withColumnRenamed("idx", "j")
+    pairs = written(x.join(y, ["doc_id", "term"]).filter("i < j").select("doc_id", "i", "j").distinct(), "pairs")
     a, b = v.select("doc_id", F.col("idx").alias("i"), "term", F.col("w").alias("wi")), v.select("doc_id", F.col("idx").alias("j"), "term", F.col("w").alias("wj"))
     sums = pairs.join(a, ["doc_id", "i"]).join(b, ["doc_id", "j", "term"]).groupBy("doc_id", "i", "j").agg(F.round(F.sum(F.col("wi") * F.col("wj")), 9).alias("similarity"))
     return sums.filter(F.col("similarity") >= threshold)
@@ -50,18 +62,30 @@ def dots(a: DataFrame, b: DataFrame) -> DataFrame:
 def adaptive_thresholds(chunks: DataFrame, percentile: float = 0.95, floor: float = 0.6, ceiling: float = 0.95) -> DataFrame:
     """(doc_id, threshold): the percentile of all pair similarities of a document, zeros included, within bounds.
 
-    Pairs without a common term are not built: the percentile's place among all pairs is looked up in the sorted others.
+    Pairs without a common term are not built, and no list of the others: equal similarities are counted, and running counts find the two that
+    the percentile lies between.
     """
     plain = chunks.filter(~T.is_trivial(F.col("text")))
     sizes = chunks.select("doc_id").distinct().join(plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left")
-    listed = dots(*(vectors(plain),) * 2).groupBy("doc_id").agg(F.sort_array(F.collect_list("similarity")).alias("s"))
-    rank = (F.col("n") * (F.col("n") - 1) / 2 - 1) * percentile
-    zeros = F.col("n") * (F.col("n") - 1) / 2 - F.size("s")
-    at = lambda k: F.coalesce(F.get("s", (k - zeros).cast("int")), F.lit(0.0))
+    v = written(vectors(plain), "vectors")
+    counted = dots(v, v).groupBy("doc_id", "similarity").agg(F.count(F.lit(1)).alias("n_pairs"))
+    all_pairs = F.col("n") * (F.col("n") - 1) / 2
+    over = Window.partitionBy("doc_id").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, 0)
+    # Places from the top: the least similarity that so many pairs reach.
+    placed = counted.withColumn("reached", F.sum("n_pairs").over(over)).join(sizes.filter("n > 2"), "doc_id")
+    rank = (all_pairs - 1) * percentile
+    at = lambda k: F.coalesce(F.max(F.when(F.col("reached") >= all_pairs - k, F.col("similarity"))), F.lit(0.0))
     low = F.floor(rank)
-    value = at(low) + (at(F.least(low + 1, F.col("n") * (F.col("n") - 1) / 2 - 1)) - at(low)) * (rank - low)
-    value = F.when(F.col("n") > 2, F.least(F.greatest(F.round(value, 9), F.lit(floor)), F.lit(ceiling))).otherwise(F.lit(floor))
-    return sizes.join(listed, "doc_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<double>"))).select("doc_id", F.coalesce(value, F.lit(floor)).alias("threshold"))
+    found = placed.groupBy("doc_id").agg(at(low).alias("low"), at(F.least(low + 1, all_pairs - 1)).alias("high"), F.first(rank - low).alias("part"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return sizes.join(found, "doc_id", "left").select("doc_id", F.coalesce(F.least(F.greatest(F.round(value, 9), F.lit(floor)), F.lit(ceiling)), F.lit(floor)).alias("threshold"))
+
+
+def near_pairs(chunks: DataFrame, threshold: float | None) -> DataFrame:
+    """(doc_id, i, j, similarity) of pairs that count as near duplicates; ``threshold`` None takes each document's own."""
+    if threshold is None:
+        return similar_pairs(chunks, None).join(adaptive_thresholds(chunks), "doc_id").filter("similarity >= threshold").drop("threshold")
+    return similar_pairs(chunks, threshold)
 
 
 def keep_first_drops(pairs: DataFrame) -> DataFrame:
@@ -73,17 +97,13 @@ def keep_first_drops(pairs: DataFrame) -> DataFrame:
 
 def remove_near_duplicates(chunks: DataFrame, threshold: float | None = 0.85) -> DataFrame:
     """``chunks`` without near duplicates; ``threshold`` None takes each document's own."""
-    if threshold is None:
-        pairs = similar_pairs(chunks, None).join(adaptive_thresholds(chunks), "doc_id").filter("similarity >= threshold")
-    else:
-        pairs = similar_pairs(chunks, threshold)
-    return chunks.join(keep_first_drops(pairs), ["doc_id", "idx"], "left_anti")
+    return chunks.join(keep_first_drops(near_pairs(chunks, threshold)), ["doc_id", "idx"], "left_anti")
 
 
 def density_scores(chunks: DataFrame, extra_filler: tuple[str, ...] = (), force_keep: Column | None = None) -> DataFrame:
     """``chunks`` with score: summed weights over the root of the word count, scaled by the document's largest, fillers down to a tenth, trivial
     chunks to 0. A single chunk scores 1, as do all where no term is left. ``force_keep``: a condition that scores 1."""
-    mass = vectors(chunks, True).groupBy("doc_id", "idx").agg(F.sum("w").alias("mass"))
+    mass = weighted_terms(chunks, True).groupBy("doc_id", "idx").agg((F.sum("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("mass"))
     words = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")))
     w = Window.partitionBy("doc_id")
     dense = chunks.join(mass, ["doc_id", "idx"], "left").withColumn("density", F.coalesce(F.col("mass"), F.lit(0.0)) / F.sqrt(words)).withColumns({"top": F.max("density").over(w), "n": F.count(F.lit(1)).over(w), "any": F.count("mass").over(w)})

@@ -127,7 +127,7 @@ def totals(files: DataFrame) -> DataFrame:
     return sums.withColumn("compression_ratio", T.ratio(F.col("original_tokens"), F.col("compressed_tokens")))
 
 
-def compress_session(turns: DataFrame, protect_recent: int = 4, target_compression: float = 0.70, model: str = "default", dedup_threshold: float = 0.9, min_turn_tokens: int = 20) -> DataFrame:
+def compress_session(turns: DataFrame, protect_recent: int = 4, target_compression: float = 0.70, model: str = "default", dedup_threshold: float | None = 0.9, min_turn_tokens: int = 20) -> DataFrame:
     """One row per turn (conv_id, turn): role, action, original_tokens, compressed_tokens, content. Older turns are compressed as prose."""
     acted = written(sessions.turn_actions(turns, protect_recent, dedup_threshold, min_turn_tokens), "turns")
     key = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")))
