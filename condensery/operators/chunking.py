@@ -27,10 +27,18 @@ def sentence_chunks(docs: DataFrame) -> DataFrame:
 
 
 def prose_chunks(docs: DataFrame) -> DataFrame:
-    """Sentences, or lines that are not blank where there is at most one sentence and more than one such line."""
-    split = docs.select("doc_id", "text", T.split_sentences(F.col("text")).alias("_sentences"))
-    split = split.withColumn("_lines", F.when(F.size("_sentences") <= 1, F.filter(T.split_lines(F.col("text")), lambda s: ~T.is_blank(s))))
-    return explode_chunks(split, F.when(F.size("_lines") > 1, F.col("_lines")).otherwise(F.col("_sentences")))
+    return typed_chunks(docs.withColumn("content_type", F.lit("prose"))).drop("content_type")
+
+
+def typed_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, content_type, idx, text) of docs (doc_id, content_type, text) in one pass: lines of code and logs; of prose the sentences, or the
+    lines that are not blank where there is at most one sentence and more than one such line."""
+    prose = F.col("content_type") == "prose"
+    split = docs.select("doc_id", "content_type", "text", F.when(prose, T.split_sentences(F.col("text"))).alias("_sentences"))
+    lines = T.split_lines(F.col("text"))
+    split = split.withColumn("_lines", F.when(~prose, lines).when(F.size("_sentences") <= 1, F.filter(lines, lambda s: ~T.is_blank(s))))
+    chunks = F.when(~prose | (F.size("_lines") > 1), F.col("_lines")).otherwise(F.col("_sentences"))
+    return split.select("doc_id", "content_type", F.posexplode_outer(chunks).alias("idx", "text")).filter("idx IS NOT NULL")
 
 
 def records(lines: DataFrame) -> DataFrame:

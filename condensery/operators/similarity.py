@@ -16,7 +16,8 @@ def weighted_terms(chunks: DataFrame, without_stop_words: bool = False) -> DataF
 
     One shuffle brings a document's chunks together; everything after it is keyed by doc_id first and needs no other.
     """
-    own = chunks.select("doc_id", "idx", "text").repartition("doc_id")
+    # A number of partitions is given, as chunks are small but what is made of them is not: else they would be put together by their bytes.
+    own = chunks.select("doc_id", "idx", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     sized = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     found = sized.select("doc_id", "idx", "n", F.explode_outer(T.terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
     if without_stop_words:

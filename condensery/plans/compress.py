@@ -27,13 +27,14 @@ def compress(
     if preset:
         target_compression, dedup_threshold, min_accuracy_floor = preset_values(preset)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumns({"content_type": T.content_type(F.col("text")) if content_type == "auto" else F.lit(content_type), "original_tokens": T.token_count(F.col("text"), model)})
-    prose = own.filter("content_type = 'prose'").select("doc_id", "text")
-    logs, code = own.filter("content_type = 'logs'"), own.filter("content_type = 'code'")
+    typed = own.withColumn("content_type", T.content_type(F.col("text")) if content_type == "auto" else F.lit(content_type))
+    # What is worked out from whole texts is written: a narrow row for each document, and the pieces.
+    facts = written(typed.select("doc_id", "content_type", T.token_count(F.col("text"), model).alias("original_tokens")), "facts")
+    pieces = written(chunking.typed_chunks(typed), "pieces")
     empty = F.array().cast("array<string>")
-    log_lines, log_collapsed = structural.structural_pass(chunking.line_chunks(logs), summarize_log_blocks)
-    code_lines, code_collapsed = structural.structural_pass(chunking.line_chunks(code), False)
-    parts = [chunking.prose_chunks(prose).withColumn("defines", empty), renumbered(log_lines).withColumn("defines", empty)]
+    log_lines, log_collapsed = structural.structural_pass(pieces.filter("content_type = 'logs'").drop("content_type"), summarize_log_blocks)
+    code_lines, code_collapsed = structural.structural_pass(pieces.filter("content_type = 'code'").drop("content_type"), False)
+    parts = [pieces.filter("content_type = 'prose'").drop("content_type").withColumn("defines", empty), renumbered(log_lines).withColumn("defines", empty)]
     if use_code_blocks:
         # After the line pass: its notes usually stop Python from parsing, and indentation decides.
         blocks = chunking.code_blocks(chunking.joined_chunks(code_lines, "\n"))
@@ -43,12 +44,12 @@ def compress(
     chunks = written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "chunks")
     left = written(similarity.remove_near_duplicates(chunks, dedup_threshold).withColumn("tokens", T.token_count(F.col("text"), model)), "deduped")
     scored = similarity.density_scores(left, extra_filler_patterns)
-    budgets = own.select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.lit(0).alias("spent"))
-    kept = selection.select_under_budget(scored.select("doc_id", "idx", "score", "tokens"), budgets)
+    budgets = facts.select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.lit(0).alias("spent"))
+    kept = written(selection.select_under_budget(scored.select("doc_id", "idx", "score", "tokens"), budgets), "kept")
     if use_code_blocks:
         # Prose and logs define nothing, so only code adds edges.
         with_names = left.filter(F.size("defines") > 0)
-        edges = written(graph.reference_edges(left.join(own.filter("content_type = 'code'").select("doc_id"), "doc_id"), graph.symbol_table(with_names)), "edges")
+        edges = written(graph.reference_edges(left.join(facts.filter("content_type = 'code'").select("doc_id"), "doc_id"), graph.symbol_table(with_names)), "edges")
         if not edges.isEmpty():
             kept = graph.dependency_closure(kept, edges).select("doc_id", "idx")
     marked = chunks.join(left.select("doc_id", "idx", F.lit(True).alias("left")), ["doc_id", "idx"], "left").join(kept.withColumn("kept", F.lit(True)), ["doc_id", "idx"], "left")
@@ -56,7 +57,7 @@ def compress(
         F.array_sort(F.collect_list(F.struct("idx", "text", F.coalesce("kept", F.lit(False)).alias("kept")))).alias("all"), F.count(F.lit(1)).cast("int").alias("chunks_total"),
         F.count("kept").cast("int").alias("n_kept"), F.count(F.when(F.col("left").isNull(), 1)).cast("int").alias("n_near"),
     )
-    joined = own.join(listed, "doc_id", "left").join(log_collapsed.union(code_collapsed), "doc_id", "left")
+    joined = own.join(facts, "doc_id").join(listed, "doc_id", "left").join(log_collapsed.union(code_collapsed), "doc_id", "left")
     separator = F.when(F.col("content_type") == "prose", " ").otherwise("\n")
     body = F.coalesce(F.array_join(F.transform(F.filter("all", lambda c: c["kept"]), lambda c: c["text"]), "\u0000"), F.lit(""))
     joined = joined.withColumn("body", F.replace(body, F.lit("\u0000"), separator)).withColumn("after", T.token_count(F.col("body"), model))

@@ -63,8 +63,10 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_texts(spark: SparkSession, d: str) -> DataFrame:
-    """A diff that touches a few lines of every third code file and deletes every seventh."""
-    f = code_files(spark, d).select("doc_id", F.crc32(F.col("doc_id").cast("binary")).alias("h"))
+    """A diff that touches a few lines of every third code file and deletes every seventh; h is the least part of a file."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    path = F.concat(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "_"), F.lit("/size_"), "p_size", F.lit(".py"))
+    f = p.groupBy(path.alias("doc_id")).agg(F.min("p_partkey").alias("h"))
     hunk = F.concat(F.lit("--- a/"), "doc_id", F.lit("\n+++ b/"), "doc_id", F.lit("\n@@ -1,2 +"), (1 + F.col("h") % 9).cast("string"), F.lit(",2 @@\n context\n@@ -40 +"), (30 + F.col("h") % 20).cast("string"), F.lit(" @@\n+line\n"))
     gone = F.concat(F.lit("--- a/"), "doc_id", F.lit("\n+++ /dev/null\n@@ -1,3 +0,0 @@\n-line\n"))
     return f.filter("h % 3 = 0 OR h % 7 = 0").select(F.col("doc_id").alias("diff_id"), F.when(F.col("h") % 7 == 0, gone).otherwise(hunk).alias("text"))
@@ -93,7 +95,7 @@ def tokens_sql(text: str, chars: str = "4.0::DOUBLE") -> str:
 
 
 def put(sql: str, **values: object) -> str:
-    for name, value in values.items():
+    for name, value in ({"p": "", "docs": "documents"} | values).items():
         sql = sql.replace(f"@{name}@", str(value))
     return sql
 
@@ -101,15 +103,17 @@ def put(sql: str, **values: object) -> str:
 SENTENCES = r"list_filter(string_split(regexp_replace(trim(text, E' \n\t\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s, E' \n\t\r')) > 0)"
 SENTENCE_CHUNKS = f"chunks AS (SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS idx, unnest(s) AS text FROM (SELECT doc_id, {SENTENCES} AS s FROM documents) WHERE len(s) > 0)"
 LINES = r"list_filter(string_split(text, chr(10)), lambda s: length(trim(s, E' \n\t\r')) > 0)"
-CHUNKS = f"chunks AS (SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS idx, unnest(s) AS text FROM (SELECT doc_id, CASE WHEN len({SENTENCES}) <= 1 AND len({LINES}) > 1 THEN {LINES} ELSE {SENTENCES} END AS s FROM documents) WHERE len(s) > 0)"
+CHUNKS_OF = f"chunks AS MATERIALIZED (SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS idx, unnest(s) AS text FROM (SELECT doc_id, CASE WHEN len({SENTENCES}) <= 1 AND len({LINES}) > 1 THEN {LINES} ELSE {SENTENCES} END AS s FROM @docs@) WHERE len(s) > 0)"
+CHUNKS = put(CHUNKS_OF)
 TERM = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-.]*[\p{L}\p{N}_])?"
 VECTORS = f"""
-  sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM @chunks@),
-  tf AS (SELECT doc_id, idx, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, idx, n, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM sized) @stop@ GROUP BY doc_id, idx, term),
-  raw AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY doc_id, term))) + 1) AS r FROM tf),
-  vectors AS (SELECT doc_id, idx, term, df, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id, idx)) AS w FROM raw)"""
+  @p@sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM @chunks@),
+  @p@tf AS (SELECT doc_id, idx, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, idx, n, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM @p@sized) @stop@ GROUP BY doc_id, idx, term),
+  @p@raw AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY doc_id, term))) + 1) AS r FROM @p@tf),
+  @p@vectors AS MATERIALIZED (SELECT doc_id, idx, term, df, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id, idx)) AS w FROM @p@raw)"""
 PLAIN = "plain AS (SELECT * FROM chunks WHERE length(trim(text, E' \\n\\t\\r')) >= 3)"
-DOTS = "dots AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, round(sum(a.w * b.w), 9) AS similarity FROM vectors a JOIN vectors b ON a.doc_id = b.doc_id AND a.term = b.term AND a.idx < b.idx GROUP BY ALL)"
+DOTS_OF = "@p@dots AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, round(sum(a.w * b.w), 9) AS similarity FROM @p@vectors a JOIN @p@vectors b ON a.doc_id = b.doc_id AND a.term = b.term AND a.idx < b.idx GROUP BY ALL)"
+DOTS = put(DOTS_OF)
 STOP = "WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 FILLER = r"regexp_matches(text, '(?i)\A(?:\s*#[^\n]*$|\s*//[^\n]*$|\s*(import|from)\s+\S+|\s*(using|package)\s+\S+|\s*\{?\s*\}?\s*$|\s*(pass|continue|break)\s*$|\s*(INFO|DEBUG)\b[^\n]*heartbeat[^\n]*$)')"
 
@@ -203,10 +207,10 @@ def near_dup_pairs(spark, d):
     return similarity.similar_pairs(chunking.prose_chunks(documents(spark, d)), 0.85).select("doc_id", "i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-DROPS = """adj AS (SELECT doc_id, j, list(i) AS nbrs FROM dots WHERE similarity >= @t@ GROUP BY doc_id, j),
-  folded AS (SELECT doc_id, list_reduce(list({'j': j, 'nbrs': nbrs, 'd': CAST([] AS BIGINT[])} ORDER BY j), lambda a, x: {'j': x.j, 'nbrs': x.nbrs, 'd': CASE WHEN len(list_filter(x.nbrs, lambda n: NOT list_contains(a.d, n))) > 0 THEN list_append(a.d, x.j) ELSE a.d END},
-    {'j': CAST(-1 AS BIGINT), 'nbrs': CAST([] AS BIGINT[]), 'd': CAST([] AS BIGINT[])}).d AS d FROM adj GROUP BY doc_id),
-  drops AS (SELECT doc_id, unnest(d) AS idx FROM folded)"""
+DROPS = """@p@adj AS (SELECT doc_id, j, list(i) AS nbrs FROM @p@dots WHERE similarity >= @t@ GROUP BY doc_id, j),
+  @p@folded AS (SELECT doc_id, list_reduce(list({'j': j, 'nbrs': nbrs, 'd': CAST([] AS BIGINT[])} ORDER BY j), lambda a, x: {'j': x.j, 'nbrs': x.nbrs, 'd': CASE WHEN len(list_filter(x.nbrs, lambda n: NOT list_contains(a.d, n))) > 0 THEN list_append(a.d, x.j) ELSE a.d END},
+    {'j': CAST(-1 AS BIGINT), 'nbrs': CAST([] AS BIGINT[]), 'd': CAST([] AS BIGINT[])}).d AS d FROM @p@adj GROUP BY doc_id),
+  @p@drops AS MATERIALIZED (SELECT doc_id, unnest(d) AS idx FROM @p@folded)"""
 
 
 @registered(f"WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS}, {put(DROPS, t=0.75)} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM drops")
@@ -222,8 +226,8 @@ def adaptive_threshold(spark, d):
     return similarity.adaptive_thresholds(chunking.prose_chunks(documents(spark, d))).select("doc_id", F.round("threshold", 6).alias("threshold"))
 
 
-SCORES = f"""{put(VECTORS, stop=STOP)},
-  mass AS (SELECT doc_id, idx, sum(w) AS mass FROM vectors GROUP BY doc_id, idx),
+SCORES = f"""{VECTORS.replace("@stop@", STOP)},
+  mass AS (SELECT doc_id, idx, sum(w) AS mass FROM @p@vectors GROUP BY doc_id, idx),
   dense AS (SELECT *, max(density) OVER (PARTITION BY doc_id) AS top, count(*) OVER (PARTITION BY doc_id) AS n, count(mass) OVER (PARTITION BY doc_id) AS n_mass FROM
     (SELECT c.*, mass, coalesce(mass, 0) / sqrt(greatest(1, len(regexp_extract_all(text, '\\S+')))) AS density FROM @chunks@ c LEFT JOIN mass USING (doc_id, idx))),
   scored AS (SELECT doc_id, idx, text, CASE WHEN n = 1 OR n_mass = 0 THEN 1.0 WHEN length(trim(text, E' \\n\\t\\r')) < 3 THEN 0.0
@@ -236,8 +240,8 @@ def density_scores(spark, d):
 
 
 SELECTED = f"""ranked AS (SELECT doc_id, score, idx, {tokens_sql('text')} AS tokens FROM scored),
-  budgets AS (SELECT doc_id, text AS whole, {tokens_sql('text')} AS original_tokens, greatest(1, round_even({tokens_sql('text')} * (1.0::DOUBLE - @target@::DOUBLE), 0)) AS budget FROM documents),
-  kept AS (SELECT doc_id, unnest(list_reduce(list({{'run': CAST(0 AS BIGINT), 'keep': CAST([] AS BIGINT[]), 'idx': CAST(idx AS BIGINT), 'tokens': CAST(tokens AS BIGINT), 'budget': budget}} ORDER BY score DESC, idx),
+  budgets AS MATERIALIZED (SELECT doc_id, text AS whole, {tokens_sql('text')} AS original_tokens, greatest(1, round_even({tokens_sql('text')} * (1.0::DOUBLE - @target@::DOUBLE), 0)) AS budget FROM @docs@),
+  kept AS MATERIALIZED (SELECT doc_id, unnest(list_reduce(list({{'run': CAST(0 AS BIGINT), 'keep': CAST([] AS BIGINT[]), 'idx': CAST(idx AS BIGINT), 'tokens': CAST(tokens AS BIGINT), 'budget': budget}} ORDER BY score DESC, idx),
     lambda a, x: CASE WHEN a.run + x.tokens <= x.budget OR len(a.keep) = 0 THEN {{'run': a.run + x.tokens, 'keep': list_append(a.keep, x.idx), 'idx': x.idx, 'tokens': x.tokens, 'budget': x.budget}} ELSE a END,
     {{'run': CAST(0 AS BIGINT), 'keep': CAST([] AS BIGINT[]), 'idx': CAST(0 AS BIGINT), 'tokens': CAST(0 AS BIGINT), 'budget': CAST(0 AS DOUBLE)}}).keep) AS idx FROM ranked JOIN budgets USING (doc_id) GROUP BY doc_id)"""
 
@@ -249,7 +253,16 @@ def budget_select(spark, d):
     return selection.select_under_budget(scored, docs.select("doc_id", T.budget(T.token_count(F.col("text")), 0.7).alias("budget"), F.lit(0).alias("spent")))
 
 
-@registered()
+#: What ``compress`` does with prose, up to ``done`` (doc_id, original_tokens, after, n_total, n_kept, grown, body, whole), over @docs@ (doc_id, text).
+PROSE = f"""{CHUNKS_OF}, {PLAIN}, {VECTORS.replace("@stop@", "").replace("@chunks@", "plain")}, {DOTS_OF}, {DROPS.replace("@t@", "0.85")},
+  remaining AS MATERIALIZED (SELECT * FROM chunks ANTI JOIN drops USING (doc_id, idx)), {SCORES.replace("@p@", "r_").replace("@chunks@", "remaining")}, {SELECTED.replace("@target@", "0.7")},
+  body AS (SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS body, count(*) AS n_kept FROM chunks JOIN kept USING (doc_id, idx) GROUP BY doc_id),
+  counted AS (SELECT b.doc_id, original_tokens, whole, coalesce(body, '') AS body, coalesce(n_kept, 0) AS n_kept, coalesce(n_total, 0) AS n_total FROM budgets b LEFT JOIN body USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_total FROM chunks GROUP BY doc_id) USING (doc_id)),
+  done AS MATERIALIZED (SELECT *, after >= original_tokens AND n_total > 0 AS grown FROM (SELECT *, {tokens_sql('body')} AS after FROM counted))"""
+
+
+@registered(f"""WITH {put(PROSE)} SELECT doc_id, original_tokens, CASE WHEN grown THEN original_tokens ELSE after END AS compressed_tokens, CAST(n_total AS INTEGER) AS chunks_total, CAST(CASE WHEN grown THEN n_total ELSE n_kept END AS INTEGER) AS chunks_kept,
+  round(CASE WHEN original_tokens = 0 OR grown THEN 0.0 ELSE 1 - after / original_tokens END, 6) AS compression_ratio FROM done""")
 def compress_prose(spark, d):
     return C.compress(documents(spark, d)).select("doc_id", "original_tokens", "compressed_tokens", F.round("compression_ratio", 6).alias("compression_ratio"), "chunks_total", "chunks_kept")
 
@@ -264,7 +277,15 @@ def compress_code(spark, d):
     return C.compress(code_files(spark, d), content_type="code").drop("diff_lines")
 
 
-@registered()
+BLOCKS = r"""q AS (SELECT *, regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '/size_' || p_size || '.py' AS path, lag(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS before FROM part),
+  blocks AS MATERIALIZED (SELECT path, p_partkey AS k, CAST(row_number() OVER (PARTITION BY path ORDER BY p_partkey) - 1 AS INTEGER) AS idx, 'def part_' || p_partkey || '():' || chr(10) || '    # ' || p_name || chr(10) || '    return ' ||
+    CASE p_partkey % 3 WHEN 0 THEN coalesce('part_' || before, 'int') || '()' WHEN 1 THEN 'part_' || (p_partkey + 1) || '()' ELSE CAST(p_size AS VARCHAR) END AS text FROM q),
+  placed AS (SELECT *, CAST(1 + 4 * idx AS INTEGER) AS start_line, CAST(3 + 4 * idx AS INTEGER) AS end_line FROM blocks)"""
+HUNKS = """f AS (SELECT path, min(k) AS h FROM blocks GROUP BY path), hunks AS (SELECT path AS diff_id, path, CAST(1 + h % 9 AS INTEGER) AS new_start, 2 AS new_lines, CAST(2 + h % 9 AS INTEGER) AS new_end FROM f WHERE h % 3 = 0 AND h % 7 <> 0
+  UNION ALL SELECT path, path, CAST(30 + h % 20 AS INTEGER), 1, CAST(30 + h % 20 AS INTEGER) FROM f WHERE h % 3 = 0 AND h % 7 <> 0)"""
+
+
+@registered(f"WITH {BLOCKS} SELECT path AS doc_id, idx, text, start_line, end_line, 'part_' || k AS defines, 'ast' AS strategy FROM placed")
 def code_blocks(spark, d):
     return chunking.code_blocks(code_files(spark, d), True).select("doc_id", "idx", "text", "start_line", "end_line", F.array_join("defines", ",").alias("defines"), "strategy")
 
@@ -286,12 +307,12 @@ def dependency_closure(spark, d):
     return reached.join(blocks, ["doc_id", "idx"]).select(F.explode("defines").alias("name"))
 
 
-@registered()
+@registered(f"WITH {BLOCKS}, {HUNKS} SELECT * FROM hunks")
 def diff_hunks(spark, d):
     return diffs.parse_hunks(diff_texts(spark, d))
 
 
-@registered()
+@registered(f"WITH {BLOCKS}, {HUNKS} SELECT DISTINCT b.path AS doc_id, idx, start_line, end_line FROM placed b JOIN hunks h ON b.path = h.path AND start_line <= new_end AND new_start <= end_line")
 def touched_blocks(spark, d):
     return diffs.touched_blocks(chunking.code_blocks(code_files(spark, d), True), diffs.parse_hunks(diff_texts(spark, d))).select("doc_id", "idx", "start_line", "end_line")
 
@@ -301,12 +322,22 @@ def compress_diff(spark, d):
     return C.compress_diff(diffs.parse_hunks(diff_texts(spark, d)), code_files(spark, d)).drop("diff_lines")
 
 
-@registered()
+REPO = f"""{BLOCKS}, chunks AS MATERIALIZED (SELECT path AS doc_id, idx, text FROM blocks), texts AS (SELECT path AS doc_id, string_agg(text || chr(10), chr(10) ORDER BY idx) AS text FROM blocks GROUP BY path),
+  {put(SCORES, chunks="chunks")}, {put(SELECTED, docs="texts", target=0.7)},
+  edges AS (SELECT k AS a, CASE WHEN k % 3 = 0 THEN prior WHEN k % 3 = 1 THEN k + 1 END AS b FROM (SELECT k, lag(k) OVER (PARTITION BY path ORDER BY k) AS prior FROM blocks)), known AS (SELECT a, b FROM edges SEMI JOIN blocks ON b = k),
+  chosen AS (SELECT k FROM blocks b JOIN kept s ON b.path = s.doc_id AND b.idx = s.idx), reached AS (SELECT k FROM chosen UNION SELECT b FROM reached JOIN known ON a = k),
+  files AS (SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY idx) FILTER (r.k IS NOT NULL) AS body, count(*) AS n, count(r.k) AS n_kept, count(r.k) - count(c.k) AS n_restored FROM blocks b LEFT JOIN reached r ON r.k = b.k LEFT JOIN chosen c ON c.k = b.k GROUP BY path),
+  repo AS (SELECT path, original_tokens, CAST(least(after, original_tokens) AS INTEGER) AS compressed_tokens, CASE WHEN after >= original_tokens THEN whole ELSE body END AS compressed_text, 0 AS changed_blocks_kept, CAST(n_kept - n_restored AS INTEGER) AS context_blocks_kept,
+    CAST(n_restored AS INTEGER) AS dependency_blocks_restored, CAST(n AS INTEGER) AS blocks_total FROM (SELECT *, {tokens_sql("coalesce(body, '')")} AS after FROM files) JOIN budgets ON doc_id = path)"""
+
+
+@registered(f"WITH RECURSIVE {REPO} SELECT * FROM repo")
 def compress_repo(spark, d):
     return C.compress_repo(code_files(spark, d)).drop("diff_lines")
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {REPO} SELECT *, CASE WHEN original_tokens > 0 THEN 1 - compressed_tokens / original_tokens ELSE 0.0 END AS compression_ratio FROM (SELECT count(*) AS files, CAST(sum(original_tokens) AS BIGINT) AS original_tokens,
+  CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens, CAST(sum(dependency_blocks_restored) AS BIGINT) AS restored FROM repo)""")
 def repo_totals(spark, d):
     return C.totals(C.compress_repo(code_files(spark, d)))
 
@@ -322,17 +353,28 @@ def protected_turns(spark, d):
     return acted.select("conv_id", "turn", F.when(F.col("action") == "compressed", "open").otherwise(F.col("action")).alias("protection"))
 
 
-@registered()
+ACTIONS = f"""marked AS MATERIALIZED (SELECT *, NOT sys AND back <= 4 AS recent, {tokens_sql('content')} AS tokens FROM (SELECT *, role = 'system' AS sys, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS back FROM turns)),
+  t_plain AS (SELECT * FROM (SELECT conv_id || '/' || role AS doc_id, turn AS idx, content AS text FROM marked WHERE NOT sys AND NOT recent) WHERE length(trim(text, E' \\n\\t\\r')) >= 3),
+  {put(VECTORS, p="t_", chunks="t_plain", stop="")}, {put(DOTS_OF, p="t_")}, {put(DROPS, p="t_", t=0.9)},
+  actions AS MATERIALIZED (SELECT m.*, CASE WHEN sys THEN 'protected_system' WHEN d.idx IS NOT NULL AND NOT recent THEN 'dropped_duplicate' WHEN recent THEN 'protected_recent' ELSE 'compressed' END AS action
+    FROM marked m LEFT JOIN t_drops d ON d.doc_id = m.conv_id || '/' || m.role AND d.idx = m.turn)"""
+SESSION = f"""{ACTIONS}, olds AS (SELECT conv_id || '/' || turn AS doc_id, content AS text FROM actions WHERE action = 'compressed' AND tokens >= 20), {put(PROSE, docs="olds")},
+  session AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, action, tokens AS original_tokens, CAST(CASE WHEN action = 'dropped_duplicate' THEN 0 WHEN d.doc_id IS NULL THEN tokens WHEN grown THEN d.original_tokens ELSE after END AS INTEGER) AS compressed_tokens,
+    CASE WHEN action = 'dropped_duplicate' THEN '' WHEN d.doc_id IS NULL THEN content WHEN grown THEN whole ELSE body END AS content FROM actions a LEFT JOIN done d ON d.doc_id = a.conv_id || '/' || a.turn)"""
+
+
+@registered(f"WITH {TURNS}, {ACTIONS} SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, action, tokens FROM actions")
 def turn_actions(spark, d):
     return sessions.turn_actions(turns(spark, d)).select("conv_id", "turn", "role", "action", "tokens")
 
 
-@registered()
+@registered(f"WITH {TURNS}, {SESSION} SELECT * FROM session")
 def compress_session(spark, d):
     return C.compress_session(turns(spark, d))
 
 
-@registered()
+@registered(f"""WITH {TURNS}, {SESSION} SELECT *, greatest(0.0, CASE WHEN original_tokens > 0 THEN 1 - compressed_tokens / original_tokens ELSE 0.0 END) AS compression_ratio FROM (SELECT conv_id, count(*) AS turns_total, CAST(count_if(action <> 'dropped_duplicate') AS BIGINT) AS turns_kept,
+  CAST(count_if(action = 'dropped_duplicate') AS BIGINT) AS turns_dropped_duplicate, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens FROM session GROUP BY conv_id)""")
 def session_totals(spark, d):
     return C.session_totals(C.compress_session(turns(spark, d)))
 
