@@ -40,8 +40,8 @@ def surface(text: Column) -> Column:
 def ngram_classes(w: Column, forms: Column, buckets: int) -> Column:
     """The hashed class of each lower-case word, of each form, and of each form with the one before it (for the first, a begin mark)."""
     place = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    before = F.slice(F.concat(F.array(F.lit("^")), forms), F.lit(1), F.size(forms))
-    return F.concat(F.transform(w, lambda x: place(F.lit(1), F.lower(x))), F.transform(forms, lambda f: place(F.lit(2), f)), F.zip_with(forms, before, lambda f, g: place(F.lit(3), f, g)))
+    pair = lambda f, i: place(F.lit(3), f, F.coalesce(F.get(forms, i - 1), F.lit("^")))
+    return F.concat(F.transform(w, lambda x: place(F.lit(1), F.lower(x))), F.transform(forms, lambda f: place(F.lit(2), f)), F.transform(forms, pair))
 
 
 def base_counts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
