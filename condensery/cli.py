@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import text as T
 from .functions.dims import PRESETS, PROFILES, preset
 from .operators import diffs, reports, sessions
 from .plans import compress as C
@@ -25,9 +27,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--content-type", choices=["auto", "code", "logs", "prose"], default="auto")
     p.add_argument("--preset", choices=sorted(PRESETS))
     p.add_argument("--model", choices=sorted(PROFILES), default="default")
-    p.add_argument("--dedup-threshold", type=float)
+    p.add_argument("--dedup-threshold", type=float, help="fixed similarity of near duplicates; without it and a preset each document takes its own")
     p.add_argument("--out", help="folder for the compressed texts")
     p.add_argument("--report", help="folder for reports; Markdown if it ends in .md, else HTML")
+    p.add_argument("--quiet", action="store_true", help="no summary line on stderr")
     return p
 
 
@@ -47,16 +50,24 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         # A diff's paths are few: their contents come from the work tree on the driver.
         found = [(r["path"], S.file_at(root, args.diff_target_ref, r["path"])) for r in hunks.select("path").distinct().collect()]
         return C.compress_diff(hunks, spark.createDataFrame(found, "doc_id string, text string"), target, args.model)
-    threshold = args.dedup_threshold if args.dedup_threshold is not None else preset(args.preset)[1] if args.preset else 0.85
+    threshold = args.dedup_threshold if args.dedup_threshold is not None else preset(args.preset)[1] if args.preset else None
     return C.compress(S.read_texts(spark, args.path), target, threshold, args.content_type, args.model)
 
 
+def summary_line(result: DataFrame) -> str | None:
+    """What a run did as one line, from sums over its rows; None for sessions, whose rows hold only messages."""
+    if "original_tokens" not in result.columns:
+        return None
+    sums = result.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("original_tokens"), F.lit(0)).alias("before"), F.coalesce(F.sum("compressed_tokens"), F.lit(0)).alias("after"))
+    return sums.select(F.format_string("%d texts, %d -> %d tokens (%.1f%% reduction)", "n", "before", "after", T.ratio(F.col("before"), F.col("after")) * 100)).first()[0]
+
+
 def main() -> None:
     args = parser().parse_args()
     spark = SparkSession.builder.appName("condensery").getOrCreate()
-    result = run(spark, args)
+    result = run(spark, args).persist()
     if args.report and "diff_lines" in result.columns:
-        ratio = F.when(F.col("original_tokens") > 0, 1 - F.col("compressed_tokens") / F.col("original_tokens")).otherwise(0.0)
+        ratio = T.ratio(F.col("original_tokens"), F.col("compressed_tokens"))
         short = F.format_string("%d -> %d tokens (%.1f%% reduction)", "original_tokens", "compressed_tokens", ratio * 100)
         text = reports.report(F.lit(args.report), F.lit("Compression report"), short, F.array().cast("array<string>"), F.col("diff_lines"))
         S.write_texts(result.select(text.alias("text")), args.report)
@@ -64,6 +75,8 @@ def main() -> None:
         S.write_texts(result, args.out, "compressed_text")
     else:
         result.select("compressed_text").show(20, False)
+    if not args.quiet and (line := summary_line(result)):
+        print(line, file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -184,16 +184,17 @@ def log_records(spark, d):
     return chunking.records(log_lines(spark, d).withColumn("text", F.when(F.col("idx") % 7 < 3, "  ").otherwise(F.col("text"))))
 
 
-ERRORS = "SELECT doc_id, idx * 3 + k AS idx, CASE WHEN k = 0 THEN text ELSE '  at step ' || k END AS text FROM (SELECT * FROM lines WHERE idx % 2 = 0), (SELECT unnest([0, 1]) AS k)"
+BY_LEVEL = "SELECT doc_id || CASE WHEN idx % 2 = 1 OR contains(text, ' ERROR ') THEN ' errors' ELSE ' others' END AS doc_id, idx, text FROM lines"
 
 
-@registered(f"""WITH {LOGS}, b AS ({ERRORS}), {RECORDS}, k AS (SELECT doc_id, record_id, min(idx) AS idx, list({NORMAL} ORDER BY idx) AS key, list(text ORDER BY idx) AS body FROM r GROUP BY doc_id, record_id),
+@registered(f"""WITH {LOGS}, b AS ({BY_LEVEL}), {RECORDS}, k AS (SELECT doc_id, record_id, min(idx) AS idx, list({NORMAL} ORDER BY idx) AS key, list(text ORDER BY idx) AS body FROM r GROUP BY doc_id, record_id),
   i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM (SELECT *, NOT coalesce(lag(key) OVER (PARTITION BY doc_id ORDER BY idx) = key AND len(key) >= 2, false) AS new FROM k)),
   n AS (SELECT doc_id, island, count(*) AS n, arg_min(body, idx) AS body, min(idx) AS idx, arg_min(body[1], idx) AS first, arg_max(body[1], idx) AS last FROM i GROUP BY doc_id, island)
   SELECT doc_id, idx, n - 1 AS n_blocks, body[2] || '  [repeated block x' || n || ', ' || left(first, 19) || ' .. ' || left(last, 19) || ']' AS text FROM (SELECT * REPLACE (CAST(idx + 1 AS INTEGER) AS idx) FROM n) WHERE n >= 3""")
 def repeated_blocks(spark, d):
-    lines = log_lines(spark, d).filter("idx % 2 = 0").select("doc_id", "idx", F.posexplode(F.array("text", F.lit("  at step 1"))).alias("k", "t"))
-    lines = lines.select("doc_id", (F.col("idx") * 3 + F.col("k")).alias("idx"), F.col("t").alias("text"))
+    # An hour's errors, which have two lines each, are a log of their own, so that they follow each other; no line is left out.
+    level = F.when((F.col("idx") % 2 == 1) | F.contains("text", F.lit(" ERROR ")), " errors").otherwise(" others")
+    lines = log_lines(spark, d).select(F.concat("doc_id", level).alias("doc_id"), "idx", "text")
     return structural.summarize_repeated_blocks(lines).filter("n_blocks > 0").select("doc_id", "idx", F.col("n_blocks").cast("long").alias("n_blocks"), "text")
 
 

@@ -154,3 +154,20 @@ def test_stream_collapses(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n_similar"] for r in spark.table("collapsed").collect()] == [20]
+
+
+def test_command_line(spark, tmp_path):
+    from condensery import cli
+
+    (tmp_path / "a.txt").write_text("The red fox runs far. The red fox runs far. Blue sky over the bay.")
+    read = lambda *args: cli.run(spark, cli.parser().parse_args([str(tmp_path / "a.txt"), *args]))
+    # Similarities 0, 0 and 1: without a threshold the text takes 0.9 and loses the second sentence; a preset has its own; 1.1 keeps all.
+    assert [one(read(*args))["near_duplicates_removed"] for args in ((), ("--preset", "balanced"), ("--dedup-threshold", "1.1"))] == [1, 1, 0]
+    result = read("--target", "0.5")
+    r = one(result)
+    assert cli.summary_line(result) == f"1 texts, {r['original_tokens']} -> {r['compressed_tokens']} tokens ({100 * r['compression_ratio']:.1f}% reduction)"
+    assert cli.summary_line(result.limit(0)) == "0 texts, 0 -> 0 tokens (0.0% reduction)"
+    assert cli.summary_line(result.select("compressed_text")) is None
+    assert cli.parser().parse_args(["x", "--quiet"]).quiet
+    with pytest.raises(ValueError):
+        cli.run(spark, cli.parser().parse_args([]))
