@@ -184,7 +184,7 @@ def log_records(spark, d):
     return chunking.records(log_lines(spark, d).withColumn("text", F.when(F.col("idx") % 7 < 3, "  ").otherwise(F.col("text"))))
 
 
-BY_LEVEL = "SELECT doc_id || CASE WHEN idx % 2 = 1 OR contains(text, ' ERROR ') THEN ' errors' ELSE ' others' END AS doc_id, idx, text FROM lines"
+BY_LEVEL = "SELECT left(doc_id, 10) || CASE WHEN idx % 2 = 1 OR contains(text, ' ERROR ') THEN ' errors' ELSE ' others' END AS doc_id, CAST(CAST(right(doc_id, 2) AS INTEGER) * 67108864 + idx AS INTEGER) AS idx, text FROM lines"
 
 
 @registered(f"""WITH {LOGS}, b AS ({BY_LEVEL}), {RECORDS}, k AS (SELECT doc_id, record_id, min(idx) AS idx, list({NORMAL} ORDER BY idx) AS key, list(text ORDER BY idx) AS body FROM r GROUP BY doc_id, record_id),
@@ -192,9 +192,9 @@ BY_LEVEL = "SELECT doc_id || CASE WHEN idx % 2 = 1 OR contains(text, ' ERROR ')
   n AS (SELECT doc_id, island, count(*) AS n, arg_min(body, idx) AS body, min(idx) AS idx, arg_min(body[1], idx) AS first, arg_max(body[1], idx) AS last FROM i GROUP BY doc_id, island)
   SELECT doc_id, idx, n - 1 AS n_blocks, body[2] || '  [repeated block x' || n || ', ' || left(first, 19) || ' .. ' || left(last, 19) || ']' AS text FROM (SELECT * REPLACE (CAST(idx + 1 AS INTEGER) AS idx) FROM n) WHERE n >= 3""")
 def repeated_blocks(spark, d):
-    # An hour's errors, which have two lines each, are a log of their own, so that they follow each other; no line is left out.
+    # A day's errors, which have two lines each, are a log of their own, so that they follow each other; no line is left out.
     level = F.when((F.col("idx") % 2 == 1) | F.contains("text", F.lit(" ERROR ")), " errors").otherwise(" others")
-    lines = log_lines(spark, d).select(F.concat("doc_id", level).alias("doc_id"), "idx", "text")
+    lines = log_lines(spark, d).select(F.concat(F.left("doc_id", F.lit(10)), level).alias("doc_id"), (F.right("doc_id", F.lit(2)).cast("int") * 67108864 + F.col("idx")).alias("idx"), "text")
     return structural.summarize_repeated_blocks(lines).filter("n_blocks > 0").select("doc_id", "idx", F.col("n_blocks").cast("long").alias("n_blocks"), "text")
 
 
