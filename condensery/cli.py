@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .functions.dims import PRESETS, PROFILES, preset
@@ -62,14 +62,28 @@ def summary_line(result: DataFrame) -> str | None:
     return sums.select(F.format_string("%d texts, %d -> %d tokens (%.1f%% reduction)", "n", "before", "after", T.ratio(F.col("before"), F.col("after")) * 100)).first()[0]
 
 
+def row_summary(result: DataFrame) -> Column:
+    """The summary line of each row of ``result``: a text's counts of chunks, or a file's tokens alone."""
+    before, after = F.col("original_tokens"), F.col("compressed_tokens")
+    if "chunks_kept" not in result.columns:
+        return reports.reduction(before, after, T.ratio(before, after))
+    return reports.summary(before, after, F.col("compression_ratio"), F.col("chunks_kept"), F.col("chunks_total"), F.col("near_duplicates_removed"), F.col("structural_lines_collapsed"))
+
+
+def row_notes(result: DataFrame) -> Column:
+    """A text's notes; a file's say what was restored in it."""
+    if "notes" in result.columns:
+        return F.col("notes")
+    restored = F.col("dependency_blocks_restored")
+    return F.array_compact(F.array(F.concat(F.lit("file: "), "path"), F.when(restored > 0, F.format_string("cross-file dependency closure restored %d block(s)", restored))))
+
+
 def main() -> None:
     args = parser().parse_args()
     spark = SparkSession.builder.appName("condensery").getOrCreate()
     result = run(spark, args).persist()
     if args.report and "diff_lines" in result.columns:
-        ratio = T.ratio(F.col("original_tokens"), F.col("compressed_tokens"))
-        short = F.format_string("%d -> %d tokens (%.1f%% reduction)", "original_tokens", "compressed_tokens", ratio * 100)
-        text = reports.report(F.lit(args.report), F.lit("Compression report"), short, F.array().cast("array<string>"), F.col("diff_lines"))
+        text = reports.report(F.lit(args.report), F.lit("Compression report"), row_summary(result), row_notes(result), F.col("diff_lines"))
         S.write_texts(result.select(text.alias("text")), args.report)
     if args.out:
         S.write_texts(result, args.out, "compressed_text")

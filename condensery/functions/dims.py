@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 PRESETS = {"conservative": (0.40, 0.92, 0.98), "balanced": (0.70, 0.85, 0.95), "aggressive": (0.85, 0.75, 0.90)}
 # Characters per token of each profile.
 PROFILES = {"default": 4.0, "gpt-4": 4.0, "gpt-4o": 4.0, "gpt-3.5": 4.0, "claude": 3.8, "gemini": 4.0}
+# Tokens of each profile's context window, dollars for a million input tokens, and budgets that are often asked for.
+CONTEXT_WINDOWS = {"default": 128_000, "gpt-4": 8_192, "gpt-4o": 128_000, "gpt-3.5": 16_385, "claude": 200_000, "gemini": 1_000_000}
+PRICES = {"default": 3.0, "gpt-4": 30.0, "gpt-4o": 2.5, "gpt-3.5": 0.5, "claude": 3.0, "gemini": 1.25}
+COMMON_BUDGETS = {"8K": 8_000, "32K": 32_000, "128K": 128_000, "200K": 200_000}
 # Filler patterns, matched at a chunk's beginning without regard to case.
 FILLER_PATTERNS = (
     r"^\s*#.*$", r"^\s*//.*$", r"^\s*(import|from)\s+\S+", r"^\s*(using|package)\s+\S+",
@@ -46,6 +50,11 @@ def preset_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, *v) for n, v in PRESETS.items()], "preset string, target double, dedup_threshold double, accuracy_floor double")
 
 
+def model_table(spark: SparkSession) -> DataFrame:
+    """(model, window, price): six rows."""
+    return spark.createDataFrame([(m, CONTEXT_WINDOWS[m], PRICES[m]) for m in PROFILES], "model string, window int, price double")
+
+
 def preset(name: str) -> tuple[float, float, float]:
     if name not in PRESETS:
         raise ValueError(f"unknown preset {name!r}; known: {', '.join(PRESETS)}")

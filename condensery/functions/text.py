@@ -96,6 +96,40 @@ def fit_target(tokens: Column, room: Column) -> Column:
     return F.least(F.greatest(1 - room / tokens, F.lit(0.05)), F.lit(0.95))
 
 
+def cost(tokens: Column, price: Column) -> Column:
+    """Dollars for ``tokens`` at ``price`` dollars a million."""
+    return tokens / 1_000_000 * price
+
+
+def half_up(x: Column) -> Column:
+    return F.floor(x + 0.5)
+
+
+def budget_percent(tokens: Column, budget: Column) -> Column:
+    """Share of a budget in whole percent, halves upwards, 999 at most."""
+    return F.least(F.lit(999), half_up(tokens / budget * 100)).cast("int")
+
+
+def estimated_tokens(tokens: Column, target: float | Column) -> Column:
+    """Tokens to expect after compression, halves upwards."""
+    return F.greatest(F.lit(0), half_up(tokens * (F.lit(1.0) - target))).cast("int")
+
+
+def judgement(raw: Column) -> Column:
+    """(agrees, reason) of a judge's JSON reply; a reply that is no JSON object agrees if its first 20 characters hold "true". A null reply is an empty one."""
+    raw = F.coalesce(raw, F.lit(""))
+    reply = F.try_parse_json(raw)
+    verdict = F.try_variant_get(reply, "$.agrees", "variant")
+    kind, shown = F.schema_of_variant(verdict), F.try_variant_get(reply, "$.agrees", "string")
+    # A value counts as it would in a condition: false, 0, null and whatever is empty do not agree.
+    holds = F.when(kind == "STRING", shown != "").when(kind == "BOOLEAN", shown == "true").when(kind.rlike("^(OBJECT|ARRAY)"), ~F.to_json(verdict).isin("[]", "{}")).otherwise(shown.try_cast("double") != 0)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(reply), F.lit("OBJECT")), F.lit(False))
+    return F.struct(
+        F.when(is_object, F.coalesce(holds, F.lit(False))).otherwise(F.contains(F.left(F.lower(raw), F.lit(20)), F.lit("true"))).alias("agrees"),
+        F.when(is_object, F.coalesce(F.try_variant_get(reply, "$.reason", "string"), F.lit(""))).otherwise("judge response was not valid JSON; fell back to keyword match").alias("reason"),
+    )
+
+
 def short_count(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
 

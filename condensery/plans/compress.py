@@ -5,7 +5,7 @@ Each is one DataFrame plan whose stages are keyed by document; nothing is collec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.dims import preset as preset_values
@@ -20,7 +20,7 @@ def compress(
     use_code_blocks: bool = True, summarize_log_blocks: bool = True, preset: str | None = None, min_accuracy_floor: float = 0.95,
 ) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): original_tokens, compressed_tokens, compression_ratio, chunks_total, chunks_kept,
-    near_duplicates_removed, structural_lines_collapsed, content_type, compressed_text, diff_lines.
+    near_duplicates_removed, structural_lines_collapsed, content_type, compressed_text, diff_lines, notes (what each step did, in order).
 
     ``min_accuracy_floor`` is accepted and has no effect. Empty or null texts give 0 tokens, no chunks and an empty text.
     """
@@ -46,16 +46,17 @@ def compress(
     scored = similarity.density_scores(left, extra_filler_patterns)
     budgets = facts.select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.lit(0).alias("spent"))
     kept = written(selection.select_under_budget(scored.select("doc_id", "idx", "score", "tokens"), budgets), "kept")
+    kept = kept.withColumn("restored", F.lit(False))
     if use_code_blocks:
         # Prose and logs define nothing, so only code adds edges.
         with_names = left.filter(F.size("defines") > 0)
         edges = written(graph.reference_edges(left.join(facts.filter("content_type = 'code'").select("doc_id"), "doc_id"), graph.symbol_table(with_names)), "edges")
         if not edges.isEmpty():
-            kept = graph.dependency_closure(kept, edges).select("doc_id", "idx")
+            kept = graph.dependency_closure(kept.select("doc_id", "idx"), edges).select("doc_id", "idx", "restored")
     marked = chunks.join(left.select("doc_id", "idx", F.lit(True).alias("left")), ["doc_id", "idx"], "left").join(kept.withColumn("kept", F.lit(True)), ["doc_id", "idx"], "left")
     listed = marked.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "text", F.coalesce("kept", F.lit(False)).alias("kept")))).alias("all"), F.count(F.lit(1)).cast("int").alias("chunks_total"),
-        F.count("kept").cast("int").alias("n_kept"), F.count(F.when(F.col("left").isNull(), 1)).cast("int").alias("n_near"),
+        F.count("kept").cast("int").alias("n_kept"), F.count(F.when(F.col("left").isNull(), 1)).cast("int").alias("n_near"), F.count_if("restored").cast("int").alias("n_restored"),
     )
     joined = own.join(facts, "doc_id").join(listed, "doc_id", "left").join(log_collapsed.union(code_collapsed), "doc_id", "left")
     separator = F.when(F.col("content_type") == "prose", " ").otherwise("\n")
@@ -68,10 +69,26 @@ def compress(
         F.coalesce("chunks_total", F.lit(0)).alias("chunks_total"), F.when(grown, F.col("chunks_total")).otherwise(F.coalesce("n_kept", F.lit(0))).alias("chunks_kept"),
         (F.coalesce("n_near", F.lit(0)) + F.coalesce("collapsed", F.lit(0))).alias("near_duplicates_removed"), F.coalesce("collapsed", F.lit(0)).alias("structural_lines_collapsed"),
         F.when(grown, F.col("text")).otherwise(F.col("body")).alias("compressed_text"),
-        F.transform("all", lambda c: F.struct(c["text"].alias("text"), (c["kept"] | grown).alias("kept"))).alias("diff_lines"),
+        F.transform("all", lambda c: F.struct(c["text"].alias("text"), (c["kept"] | grown).alias("kept"))).alias("diff_lines"), compress_notes(grown, use_code_blocks, dedup_threshold is None).alias("notes"),
     )
 
 
+def compress_notes(grown: Column, use_code_blocks: bool, adaptive: bool) -> Column:
+    """What each step of ``compress`` did with a document, in order; none for an empty text."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    prose, some = F.col("content_type") == "prose", n("chunks_total") > 0
+    blocks = "chunking: %d logical code blocks (block-aware)" if use_code_blocks else "chunking: %d lines (block-aware chunking unavailable)"
+    steps = F.array(
+        F.concat(F.lit("detected content type: "), "content_type"),
+        F.when(prose, "structural pass: skipped (prose content)").otherwise(F.format_string("structural pass: removed %d blank-line runs, collapsed %d repeated lines/blocks", n("blank_runs"), n("collapsed"))),
+        F.when(F.col("content_type") == "code", F.format_string(blocks, n("chunks_total"))),
+        F.when(some, F.format_string("semantic dedup: removed %d near-duplicate chunks" + (" (adaptive threshold)" if adaptive else ""), n("n_near"))),
+        F.when(n("n_restored") > 0, F.format_string("dependency closure: restored %d block(s) still referenced elsewhere", "n_restored")),
+        F.when(grown, "guardrail: compression would have increased size, returned original text"),
+    )
+    return F.when(F.col("original_tokens") > 0, F.array_compact(steps)).otherwise(F.array().cast("array<string>"))
+
+
 def renumbered(lines: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 

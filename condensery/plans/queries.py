@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..functions.dims import PRESETS, STOP_WORDS, preset_table
-from ..operators import chunking, diffs, graph, selection, sessions, similarity, structural
+from ..functions.dims import CONTEXT_WINDOWS, PRESETS, PRICES, STOP_WORDS
+from ..operators import chunking, diffs, graph, leaderboard as board, reports, selection, sessions, similarity, structural
 from ..streaming.logs import collapse_stream
 from . import compress as C
 
@@ -175,6 +175,24 @@ def collapse_blank_runs(spark, d):
     return structural.collapse_blank_runs(lines)
 
 
+SQUEEZED = f"""b AS ({BLANKED}), x AS (SELECT *, trim(text) = '' AS blank, trim(text) = '' AND coalesce(trim(lag(text) OVER (PARTITION BY doc_id ORDER BY idx)) = '', false) AS again FROM b),
+  groups AS (SELECT doc_id, {NORMAL} AS key, count(*) AS n, min(idx) AS idx, arg_min(text, idx) AS text FROM x WHERE NOT blank GROUP BY ALL)"""
+
+
+def blanked_lines(spark: SparkSession, d: str) -> DataFrame:
+    return log_lines(spark, d).withColumn("text", F.when(F.col("idx") % 7 < 3, "  ").otherwise(F.col("text")))
+
+
+@registered(f"WITH {LOGS}, {SQUEEZED} SELECT doc_id, CAST(coalesce(collapsed, 0) AS INTEGER) AS collapsed, CAST(blank_runs AS INTEGER) AS blank_runs FROM (SELECT doc_id, count_if(again) AS blank_runs FROM x GROUP BY doc_id) LEFT JOIN (SELECT doc_id, sum(n - 1) AS collapsed FROM groups GROUP BY doc_id) USING (doc_id)")
+def structural_summary(spark, d):
+    return structural.structural_pass(blanked_lines(spark, d), False)[1]
+
+
+@registered(f"WITH {LOGS}, {SQUEEZED} SELECT doc_id, array_to_string(list_slice(list(n || 'x: ' || left(trim(text), 60) ORDER BY idx), 1, 10), chr(10)) AS notes FROM groups WHERE n > 1 GROUP BY doc_id")
+def collapse_notes(spark, d):
+    return structural.collapse_notes(blanked_lines(spark, d)).select("doc_id", F.array_join("notes", "\n").alias("notes"))
+
+
 RECORDS = r"""r AS (SELECT *, CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS INTEGER) AS record_id FROM (
     SELECT *, trim(text) = '' OR regexp_matches(text, '^\s*(\[?\d{4}-\d{2}-\d{2}|(INFO|DEBUG|WARN|WARNING|ERROR|CRITICAL|Traceback)\b)') OR coalesce(trim(lag(text) OVER (PARTITION BY doc_id ORDER BY idx)) = '', true) AS begins FROM b))"""
 
@@ -268,6 +286,80 @@ def compress_prose(spark, d):
     return C.compress(documents(spark, d)).select("doc_id", "original_tokens", "compressed_tokens", F.round("compression_ratio", 6).alias("compression_ratio"), "chunks_total", "chunks_kept")
 
 
+TOLD = f"""{PROSE}, near AS (SELECT doc_id, count(*) AS n_near FROM drops GROUP BY doc_id),
+  told AS MATERIALIZED (SELECT d.*, CAST(CASE WHEN grown THEN original_tokens ELSE after END AS INTEGER) AS final, CASE WHEN grown THEN n_total ELSE n_kept END AS n_stay, coalesce(n_near, 0) AS n_near, CASE WHEN original_tokens = 0 THEN [] ELSE
+    ['detected content type: prose', 'structural pass: skipped (prose content)'] || CASE WHEN n_total > 0 THEN ['semantic dedup: removed ' || coalesce(n_near, 0) || ' near-duplicate chunks'] ELSE [] END
+    || CASE WHEN grown THEN ['guardrail: compression would have increased size, returned original text'] ELSE [] END END AS notes FROM done d LEFT JOIN near USING (doc_id)),
+  headed AS (SELECT *, original_tokens || ' -> ' || final || ' tokens (' || format('{{:.1f}}', CASE WHEN original_tokens = 0 THEN 0.0 ELSE (1 - final / original_tokens) * 100 END) || '% reduction), ' || n_stay || '/' || n_total || ' chunks kept, ' || n_near || ' near-duplicates removed, 0 repeated lines collapsed' AS summary FROM told),
+  flagged AS (SELECT c.doc_id, c.idx, c.text, k.idx IS NOT NULL OR grown AS stays FROM chunks c JOIN done USING (doc_id) LEFT JOIN kept k ON k.doc_id = c.doc_id AND k.idx = c.idx)"""
+ESCAPE = "replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@registered(f"WITH {put(TOLD)} SELECT doc_id, CAST(unnest(generate_series(1, len(notes))) AS INTEGER) AS step, unnest(notes) AS note FROM told")
+def compress_notes(spark, d):
+    return C.compress(documents(spark, d)).select("doc_id", F.posexplode("notes").alias("step", "note")).withColumn("step", F.col("step") + 1)
+
+
+def report_of(compressed: DataFrame, layout: Callable) -> DataFrame:
+    """(doc_id, report): a report for each compressed text."""
+    line = reports.summary(*map(F.col, ("original_tokens", "compressed_tokens", "compression_ratio", "chunks_kept", "chunks_total", "near_duplicates_removed", "structural_lines_collapsed")))
+    return compressed.select("doc_id", layout(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), line, F.col("notes"), F.col("diff_lines")).alias("report"))
+
+
+@registered(f"""WITH {put(TOLD)}, marked AS (SELECT doc_id, list(CASE WHEN stays THEN '+ ' ELSE '- ' END || replace(text, chr(10), chr(10) || CASE WHEN stays THEN '+ ' ELSE '- ' END) ORDER BY idx) AS rows FROM flagged GROUP BY doc_id)
+  SELECT doc_id, array_to_string(['# Document ' || doc_id, '', '**' || summary || '**', '', '## Notes', ''] || list_transform(notes, lambda n: '- ' || n) || ['', '## Diff', '', '`+` kept · `-` dropped', '', '```diff'] || coalesce(rows, []) || ['```', ''], chr(10)) AS report FROM headed LEFT JOIN marked USING (doc_id)""")
+def report_markdown(spark, d):
+    return report_of(C.compress(documents(spark, d)), reports.markdown)
+
+
+@registered(f"""WITH {put(TOLD)}, lines AS (SELECT doc_id, idx, stays, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM flagged),
+  marked AS (SELECT doc_id, string_agg('<span class="' || CASE WHEN stays THEN 'kept' ELSE 'dropped' END || '">' || CASE WHEN line = '' THEN '&nbsp;' ELSE {ESCAPE.replace("{t}", "line")} END || '</span>', '' ORDER BY idx, k) AS rows FROM lines GROUP BY doc_id)
+  SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Document ' || doc_id || '</title>' || chr(10) || '<style>{reports.STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<h1>Document ' || doc_id || '</h1>' || chr(10)
+    || '<div class="summary">' || {ESCAPE.replace("{t}", "summary")} || '</div>' || chr(10) || '<h2>Notes</h2>' || chr(10) || '<ul class="notes">' || array_to_string(list_transform(notes, lambda n: '<li>' || n || '</li>'), '') || '</ul>' || chr(10)
+    || '<h2>Diff</h2>' || chr(10) || '<div class="diff">' || coalesce(rows, '') || '</div>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS report FROM headed LEFT JOIN marked USING (doc_id)""")
+def report_html(spark, d):
+    return report_of(C.compress(documents(spark, d)), reports.html)
+
+
+@registered(f"""WITH {put(TOLD)}, by_source AS (SELECT source, sum(original_tokens) AS before, sum(final) AS after FROM told JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source),
+  results AS (SELECT 'compress' AS adapter, source, before, after, NULL::DOUBLE AS retention FROM by_source UNION ALL SELECT 'whole', source, before, before, 1.0 FROM by_source)
+  SELECT adapter, NULL::VARCHAR AS skipped_reason, count(*) AS datasets_evaluated, round(1 - sum(after) / sum(before), 6) AS overall_compression_ratio, avg(retention) AS avg_retention FROM results GROUP BY adapter
+  UNION ALL SELECT 'judge', 'no judge configured', 0, NULL, NULL FROM documents HAVING count(*) > 0""")
+def leaderboard(spark, d):
+    """Compression against whole texts, a dataset for each source; a third adapter is skipped everywhere."""
+    source = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    sums = C.compress(documents(spark, d)).join(source, "doc_id").groupBy("source").agg(F.sum("original_tokens").alias("before"), F.sum("compressed_tokens").alias("after"))
+    result = lambda name, after, retention, reason: F.struct(F.lit(name).alias("adapter"), after.alias("compressed_tokens"), retention.cast("double").alias("retention"), reason.cast("string").alias("skipped_reason"))
+    three = F.array(result("compress", F.col("after"), F.lit(None), F.lit(None)), result("whole", F.col("before"), F.lit(1.0), F.lit(None)), result("judge", F.lit(0).cast("long"), F.lit(None), F.lit("no judge configured")))
+    results = sums.select(F.col("source").alias("dataset"), F.col("source").alias("seq"), F.col("before").alias("original_tokens"), F.inline(three))
+    return board.leaderboard(results).withColumn("overall_compression_ratio", F.round("overall_compression_ratio", 6))
+
+
+MODELS = " UNION ALL ".join(f"SELECT '{m}' AS model, {CONTEXT_WINDOWS[m]} AS win, {PRICES[m]}::DOUBLE AS price" for m in PRICES)
+
+
+@registered(f"""WITH m AS ({MODELS}), t AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents)
+  SELECT doc_id, model, tokens, CAST(least(999, floor(tokens / win * 100 + 0.5)) AS INTEGER) AS percent, CAST(greatest(0, floor(tokens * (1.0::DOUBLE - 0.7::DOUBLE) + 0.5)) AS INTEGER) AS estimated, round(tokens / 1000000 * price, 9) AS cost FROM t, m""")
+def model_fit(spark, d):
+    """Each document against each of six models: the share of the window, the tokens after compression, the price."""
+    t = documents(spark, d).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    models = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(CONTEXT_WINDOWS[m]).alias("win"), F.lit(PRICES[m]).alias("price")) for m in PRICES))
+    return t.select("doc_id", "tokens", F.inline(models)).select(
+        "doc_id", "model", "tokens", T.budget_percent(F.col("tokens"), F.col("win")).alias("percent"), T.estimated_tokens(F.col("tokens"), 0.7).alias("estimated"), F.round(T.cost(F.col("tokens"), F.col("price")), 9).alias("cost"),
+    )
+
+
+@registered("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id % 8 = 3 ELSE doc_id % 4 = 0 END AS agrees, CASE doc_id % 4 WHEN 3 THEN 'judge response was not valid JSON; fell back to keyword match' WHEN 2 THEN '' ELSE 'source ' || source END AS reason FROM documents""")
+def judge_replies(spark, d):
+    """Replies of a judge for each document, as JSON with and without a reason and as plain text, and parsed."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kind = F.col("doc_id") % 4
+    reason = F.concat(F.lit("source "), "source")
+    plain = F.when(F.col("doc_id") % 8 == 3, "TRUE, both say so").otherwise("They do not, it is not true")
+    raw = F.when(kind == 0, F.to_json(F.struct(F.lit(True).alias("agrees"), reason.alias("reason")))).when(kind == 1, F.to_json(F.struct(F.lit(False).alias("agrees"), reason.alias("reason")))).when(kind == 2, F.lit('{"agrees": null}')).otherwise(plain)
+    return docs.select("doc_id", T.judgement(raw).alias("j")).select("doc_id", "j.agrees", "j.reason")
+
+
 @registered()
 def compress_logs(spark, d):
     return C.compress(chunking.joined_chunks(log_lines(spark, d), "\n")).drop("diff_lines")
@@ -409,7 +501,7 @@ def preset_matrix(spark, d):
 @registered(f"SELECT source, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 1e6 * 3.0, 6) AS cost, round(sum(t) * 0.7 / 1e6 * 3.0, 6) AS saved FROM (SELECT source, {tokens_sql('text')} AS t FROM documents) GROUP BY source")
 def cost_savings(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet").select("source", T.token_count(F.col("text")).alias("t"))
-    return t.groupBy("source").agg(F.sum("t").alias("tokens"), F.round(F.sum("t") / 1e6 * 3.0, 6).alias("cost"), F.round(F.sum("t") * 0.7 / 1e6 * 3.0, 6).alias("saved"))
+    return t.groupBy("source").agg(F.sum("t").alias("tokens"), F.round(T.cost(F.sum("t"), F.lit(PRICES["default"])), 6).alias("cost"), F.round(T.cost(F.sum("t") * 0.7, F.lit(PRICES["default"])), 6).alias("saved"))
 
 
 @registered(f"SELECT doc_id, round(least(greatest(1 - 500 / t, 0.05), 0.95), 6) AS target FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) WHERE t > 0")
