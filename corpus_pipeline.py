@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("suffix_dedup", suffix_dedup),
     ("packing", packing),
 ]
-#: The stages by n-gram ratios, ProbMinHash and a tokenizer have no SQL form. No test compares the whole pipeline with a brute-force version yet.
+#: The stages by n-gram ratios, ProbMinHash and a tokenizer have no SQL form. tests/llm/test_pipeline.py compares each stage and run() with a brute-force version.
 ORACLE_SQL = None
 
 
