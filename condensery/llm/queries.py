@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, minhash_dedup, packing, piece_lattice, quality_classifier, quality_rules, suffix_dedup, token_files, token_rollup, toxicity
+from . import exact_dedup, fill_middle, minhash_dedup, packing, piece_lattice, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_files, token_rollup, toxicity
 from .common import shared_folder, written
 
 
@@ -96,8 +96,31 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.n_best_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
+OP12_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM drawn),
+cut AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_toxicity, op3_quality_rules, op4_token_rollup, op5_exact_dedup, op6_quality_classifier, op7_suffix_dedup, op8_packing, op9_token_files, op10_piece_lattice)
+    for f in (op1_minhash_dedup, op2_toxicity, op3_quality_rules, op4_token_rollup, op5_exact_dedup, op6_quality_classifier, op7_suffix_dedup, op8_packing, op9_token_files, op10_piece_lattice, op12_fill_middle, op13_simhash_dedup)
 }
-ORACLE_SQL = {"op4_token_rollup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op4_token_rollup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_middle": OP12_SQL}
