@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fill_middle, minhash_dedup, packing, piece_lattice, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_files, token_rollup, toxicity
+from . import exact_dedup, fill_middle, minhash_dedup, packing, piece_lattice, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_files, token_rollup, toxicity, whitening
 from .common import shared_folder, written
 
 
@@ -96,6 +96,10 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.n_best_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(documents(spark, sf_dir))
 
@@ -121,6 +125,6 @@ def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_toxicity, op3_quality_rules, op4_token_rollup, op5_exact_dedup, op6_quality_classifier, op7_suffix_dedup, op8_packing, op9_token_files, op10_piece_lattice, op12_fill_middle, op13_simhash_dedup)
+    for f in (op1_minhash_dedup, op2_toxicity, op3_quality_rules, op4_token_rollup, op5_exact_dedup, op6_quality_classifier, op7_suffix_dedup, op8_packing, op9_token_files, op10_piece_lattice, op11_whitening, op12_fill_middle, op13_simhash_dedup)
 }
 ORACLE_SQL = {"op4_token_rollup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_middle": OP12_SQL}
