@@ -2,7 +2,8 @@
 
 A spectrum (count, mean, eigenvalues and eigenvectors of the centred sum of squares) stands for the rows seen so far. One more row is a rank-one update: the roots of the
 secular equation are the new eigenvalues, and the vectors follow from them; equal eigenvalues and directions that the row doesn't
-touch are deflated first. Partitions build their spectra row by row. Two spectra are put together by the rank-one update between their means and one for each
+touch are deflated first. Partitions build their spectra by such updates: of every row, or, where ``block`` rows
+together are more than their entries, of the rows of their triangular factor, which has the same centred sum of squares in at most as many rows as a vector has entries. Two spectra are put together by the rank-one update between their means and one for each
 eigenvector of the smaller; that goes on in groups of ``FAN``, level by level, so no task holds more than a few matrices of the dimension's size.
 
 Rounding of many updates is taken out by a Rayleigh-Ritz step: each partition projects its rows, centred by the exact mean, on the whole found basis; the small
@@ -25,6 +26,8 @@ from .common import forget, written
 COMPONENTS, SCALE, SHIFT = 8, 1024.0, 100_000
 #: Entries from which on floor(1024 * c) has no exact double and long; they count as non-finite.
 LARGEST = 2.0**42
+#: Rows of a partition that are taken together; 1: each row is an update of its own.
+BLOCK = 1024
 #: Spectra or matrices that a task puts together.
 FAN = 16
 #: Directions whose eigenvalue is below this share of the largest, times the dimension, hold rounding only.
@@ -45,47 +48,56 @@ def secular_roots(poles: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndar
     upper = np.append(poles[1:], poles[-1] + weight.sum())
     gap = upper - poles
     # The pole on the root's side of the middle is the origin.
-    middle = poles + gap / 2
-    with np.errstate(divide="ignore"):
-        at_middle = 1 + (weight / (poles[None, :] - middle[:, None])).sum(1)
+    middle = weight / (poles[None, :] - (poles + gap / 2)[:, None])
+    at_middle = 1 + middle.sum(1)
     right = at_middle < 0
     right[-1] = False
-    origin = np.where(right, upper, poles)
-    away = poles[None, :] - origin[:, None]
-    low = np.where(right, -gap / 2, 0.0)
-    high = np.where(right, 0.0, np.where(at_middle < 0, gap, gap / 2))
-    low[-1], high[-1] = (gap[-1] / 2, gap[-1]) if at_middle[-1] < 0 else (0.0, gap[-1] / 2)
-    x = (low + high) / 2
-    left = np.tri(k, dtype=bool)
-    to_upper = np.where(right, 0.0, gap)
-    to_lower = np.where(right, -gap, 0.0)
-    for step in range(80):
-        delta = away - x[:, None]
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+    away = poles[None, :] - np.where(right, upper, poles)[:, None]
+    low, high = np.where(right, -gap / 2, 0.0), np.where(right, 0.0, gap / 2)
+    if at_middle[-1] < 0:
+        low[-1], high[-1] = gap[-1] / 2, gap[-1]
+    to_lower, to_upper = np.where(right, -gap, 0.0), np.where(right, 0.0, gap)
+    # First the roots where all other poles add what they do in the middle.
+    own, next_ = np.diagonal(middle), np.append(np.diagonal(middle, 1), 0)
+    with np.errstate(all="ignore"):
+        rest = at_middle - own - next_
+        x = between(rest, weight, np.append(weight[1:], 0), to_lower, to_upper, low, high)
+    left = np.tri(k)
+    open_ = np.arange(k)
+    for step in range(100):
+        here, lo, hi = x[open_], low[open_], high[open_]
+        delta = away[open_] - here[:, None]
+        with np.errstate(all="ignore"):
             part = weight / delta
             slope = part / delta
-            psi, phi = np.where(left, part, 0).sum(1), np.where(left, 0, part).sum(1)
+            below = left[open_]
+            psi, dpsi = (part * below).sum(1), (slope * below).sum(1)
+            phi, dphi = part.sum(1) - psi, slope.sum(1) - dpsi
             f = 1 + psi + phi
-            sure = np.abs(f) <= 4 * k * EPS * (1 + np.abs(psi) + np.abs(phi))
-            low, high = np.where(f < 0, x, low), np.where(f > 0, x, high)
-            narrow = high - low <= 2 * EPS * np.maximum(np.abs(low), np.abs(high))
-            if (sure | narrow).all():
+            lo, hi = np.where(f < 0, here, lo), np.where(f > 0, here, hi)
+            done = (np.abs(f) <= 4 * k * EPS * (1 + np.abs(psi) + np.abs(phi))) | (hi - lo <= 2 * EPS * np.maximum(np.abs(lo), np.abs(hi)))
+            low[open_], high[open_] = lo, hi
+            if done.all():
                 break
-            dpsi, dphi = np.where(left, slope, 0).sum(1), np.where(left, 0, slope).sum(1)
-            one, two = to_lower - x, to_upper - x
-            a = (one + two) * f - one * two * (dpsi + dphi)
-            b = one * two * f
-            c = f - one * dpsi - two * dphi
-            root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
-            go = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
-        there = x + go
-        inside = (there > low) & (there < high) & np.isfinite(there)
-        half = (low + high) / 2
-        # Every few steps a bisection, on the scale of the root where its bracket begins at the pole.
-        if step % 6 == 5:
-            inside[:] = False
-        x = np.where(sure | narrow, x, np.where(inside, there, half))
-    return origin + x, away - x[:, None]
+            one, two = to_lower[open_] - here, to_upper[open_] - here
+            # Poles of either side as one each, that has their sum and slope here.
+            there = here + between(f - one * dpsi - two * dphi, dpsi * one * one, dphi * two * two, one, two, lo - here, hi - here)
+        # Now and then the middle of the bracket, should interpolation creep.
+        x[open_] = np.where(done, here, (lo + hi) / 2 if step % 8 == 7 else there)
+        open_ = open_[~done]
+    return np.where(right, upper, poles) + x, away - x[:, None]
+
+
+def between(rest: np.ndarray, one: np.ndarray, two: np.ndarray, lower: np.ndarray, upper: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The root of rest + one / (lower - x) + two / (upper - x) between low and high, or their middle where rounding has it elsewhere."""
+    # rest * (lower - x) * (upper - x) + one * (upper - x) + two * (lower - x) = 0, as rest * x^2 - b * x + c = 0.
+    b = rest * (lower + upper) + one + two
+    c = rest * lower * upper + one * upper + two * lower
+    root = np.sqrt(np.maximum(b * b - 4 * rest * c, 0))
+    big = b + np.where(b >= 0, root, -root)
+    first, second = big / (2 * rest), 2 * c / big
+    fits = lambda x: (x > low) & (x < high)
+    return np.where(fits(second), second, np.where(fits(first), first, (low + high) / 2))
 
 
 class Spectrum:
@@ -102,6 +114,19 @@ class Spectrum:
         self.n += 1
         self.mean = self.mean + off / self.n
 
+    def add_block(self, x: np.ndarray) -> None:
+        """Some more rows: an update for their mean, and one for each row of their triangular factor."""
+        mean, m = x.mean(0), len(x)
+        centred = x - mean
+        if m > x.shape[1]:
+            centred = np.linalg.qr(centred, mode="r")
+        if self.n:
+            self.update(mean - self.mean, self.n * m / (self.n + m))
+        for v in centred:
+            self.update(v, 1.0)
+        self.n += m
+        self.mean = self.mean + (mean - self.mean) * (m / self.n)
+
     def merge(self, other: Spectrum) -> None:
         """All rows of another spectrum, by one update for its mean and one for each of its eigenvectors."""
         if not other.n:
@@ -195,7 +220,7 @@ SPECTRUM = "part long, n long, high array<long>, low array<long>, mean array<dou
 MATRIX = "part long, matrix array<double>"
 
 
-def spectra(rows: DataFrame, d: int) -> DataFrame:
+def spectra(rows: DataFrame, d: int, block: int = BLOCK) -> DataFrame:
     """A spectrum for each partition, and the exact sums of its entries in two parts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +229,12 @@ def spectra(rows: DataFrame, d: int) -> DataFrame:
             x = integers(batch.column("embedding"), d)
             high += (x >> LOW).sum(0)
             low += (x & ((1 << LOW) - 1)).sum(0)
-            for one in x.astype(np.float64):
-                held.add(one)
+            for at in range(0, len(x), block):
+                part = x[at : at + block].astype(np.float64)
+                if len(part) > 1:
+                    held.add_block(part)
+                else:
+                    held.add(part[0])
         if held.n:
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "high": high.tolist(), "low": low.tolist(), **held.fields()}], schema=SPECTRUM_ARROW)
 
@@ -273,9 +302,9 @@ class Whitener:
         return self.centre.centred(x) @ (self.components / np.sqrt(self.values))
 
 
-def fitted(rows: DataFrame, d: int, components: int = COMPONENTS) -> Whitener | None:
+def fitted(rows: DataFrame, d: int, components: int = COMPONENTS, block: int = BLOCK) -> Whitener | None:
     """The whitener of all ``rows``, whose vectors have ``d`` entries; None without rows. Only matrices of the dimension's size come to the driver, one a step."""
-    whole = tree(written(spectra(rows, d), "whitening-spectra"), merged, SPECTRUM)
+    whole = tree(written(spectra(rows, d, block), "whitening-spectra"), merged, SPECTRUM)
     one = whole.first()
     forget(whole)
     if one is None:
@@ -301,7 +330,7 @@ def dimension(rows: DataFrame) -> int | None:
     return one["d"] if one else None
 
 
-def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
+def whitened(vectors: DataFrame, components: int = COMPONENTS, block: int = BLOCK) -> DataFrame:
     """One row per usable row of ``vectors`` (vec_id, embedding) and component: vec_id, component (from 1), n, deviation, whitened, explained, identity_error.
 
     Rows whose vector is null or empty, holds null or non-finite entries, or entries of 2^42 or more, are left out; so are rows whose vector has another length than most.
@@ -314,7 +343,7 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     rows = usable(vectors)
     d = dimension(rows)
     rows = rows.filter(F.size("embedding") == d) if d else rows
-    fit = fitted(rows, d, components) if d else None
+    fit = fitted(rows, d, components, block) if d else None
     if fit is None or not len(fit.values):
         return spark.createDataFrame([], f"vec_id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
 

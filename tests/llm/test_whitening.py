@@ -27,8 +27,9 @@ def test_secular_roots(seed):
 
 
 @pytest.mark.parametrize(("kind", "d"), [("plain", 12), ("flat", 12), ("copies", 12), ("integers", 64), ("one", 1)])
-def test_rows_one_by_one(kind, d):
-    """Rank-deficient, constant and repeated rows included."""
+@pytest.mark.parametrize("block", [200, 0, 3])
+def test_rows_one_by_one(kind, d, block):
+    """In blocks too. Rank-deficient, constant and repeated rows included."""
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(size=(200, d)) * 200) + 100_000
     if kind == "flat":
@@ -36,8 +37,10 @@ def test_rows_one_by_one(kind, d):
     if kind == "copies":
         x[20:190] = x[7]
     held = Spectrum(d)
-    for row in x:
+    for row in x[:block]:
         held.add(row)
+    for at in range(block, 200, 30):
+        held.add_block(x[at : at + 30])
     centred = x - x.mean(0)
     want = centred.T @ centred
     assert held.n == 200 and np.allclose(held.mean, x.mean(0))
@@ -61,8 +64,8 @@ def test_merge():
     assert whole.n == len(x) and np.allclose(whole.mean, x.mean(0)) and np.allclose(dense(whole), centred.T @ centred)
 
 
-def check(spark, rows, partitions=1, components=8, left_out=()):
-    got = whitening.whitened(spark.createDataFrame(rows, SCHEMA).repartition(partitions), components).collect()
+def check(spark, rows, partitions=1, components=8, left_out=(), block=whitening.BLOCK):
+    got = whitening.whitened(spark.createDataFrame(rows, SCHEMA).repartition(partitions), components, block).collect()
     kept = [r for r in rows if r[0] not in left_out]
     x = np.array([[math.floor(1024 * float(np.float32(c))) + 100_000 for c in r[1]] for r in kept], object)
     n, sums = len(x), x.sum(0)
@@ -100,6 +103,7 @@ def test_whitened(spark):
 
 def test_fewer_components(spark):
     check(spark, vectors(4, 5, 12), 3)
+    check(spark, vectors(9, 90, 5), 2, block=1)
     check(spark, vectors(5, 40, 3), 2)
     check(spark, vectors(6, 50, 6), 2, components=2)
 
