@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.dims import STOP_WORDS
-from ..functions.storage import written
+from ..functions.storage import forget, written
+from .streams import folded
 
 MARGIN = 1e-9
+#: Bounds and percentile of a threshold that is taken from a document's own similarities.
+FLOOR, CEILING, PERCENTILE = 0.6, 0.95, 0.95
 
 
 def weighted_terms(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
@@ -29,71 +37,142 @@ def weighted_terms(chunks: DataFrame, without_stop_words: bool = False) -> DataF
 
 
 def vectors(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
-    """(doc_id, idx, term, df, w): unit vectors of chunks."""
+    """(doc_id, idx, term, df, w, rest): unit vectors of chunks; rest is the length of what a vector has from this term on, by ascending df."""
     raw = weighted_terms(chunks, without_stop_words)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id", "idx")))
-    return raw.select("doc_id", "idx", "term", "df", (F.col("raw") / norm).alias("w"))
+    # One sort serves both windows.
+    w = Window.partitionBy("doc_id", "idx")
+    upto = w.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col("raw") * F.col("raw")
+    summed = raw.withColumn("_before", F.coalesce(F.sum(square).over(upto), F.lit(0.0))).withColumn("_all", F.sum(square).over(w))
+    return summed.select("doc_id", "idx", "term", "df", (F.col("raw") / F.sqrt("_all")).alias("w"), F.sqrt(F.greatest(1 - F.col("_before") / F.col("_all"), F.lit(0.0))).alias("rest"))
 
 
-def similar_pairs(chunks: DataFrame, threshold: float | None) -> DataFrame:
-    """(doc_id, i, j, similarity) with i < j of pairs whose rounded cosine is at least ``threshold``; all pairs that share a term if it is None.
+def pairs_above(v: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """(doc_id, i, j, similarity) with i < j of the pairs of ``v`` whose rounded cosine is at least ``threshold``: a number, or a table (doc_id, threshold) of the documents that are asked for.
 
     Terms of a vector in one order of all, by ascending document frequency: where what is left of a vector is shorter than the threshold its head ends. Two vectors
     as similar as that share a term of both heads, so no pair is missed (Bayardo, Ma and Srikant, 2007).
     """
-    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
-    if threshold is None:
-        return dots(v, v)
-    w = Window.partitionBy("doc_id", "idx").orderBy("df", "term")
-    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    limited = v.withColumn("threshold", F.lit(threshold)) if isinstance(threshold, float) else v.join(threshold, "doc_id")
     # A term of one chunk alone has no partner.
-    heads = written(v.withColumn("_left", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).filter((F.col("_left") >= threshold - MARGIN) & (F.col("df") > 1)).select("doc_id", "term", "idx"), "heads")
+    heads = written(limited.filter((F.col("rest") >= F.col("threshold") - MARGIN) & (F.col("df") > 1)).select("doc_id", "term", "idx"), "heads")
     x, y = heads.withColumnRenamed("idx", "i"), heads.withColumnRenamed("idx", "j")
-    pairs = written(x.join(y, ["doc_id", "term"]).filter("i < j").select("doc_id", "i", "j").distinct(), "pairs")
-    a, b = v.select("doc_id", F.col("idx").alias("i"), "term", F.col("w").alias("wi")), v.select("doc_id", F.col("idx").alias("j"), "term", F.col("w").alias("wj"))
-    sums = pairs.join(a, ["doc_id", "i"]).join(b, ["doc_id", "j", "term"]).groupBy("doc_id", "i", "j").agg(F.round(F.sum(F.col("wi") * F.col("wj")), 9).alias("similarity"))
-    return sums.filter(F.col("similarity") >= threshold)
-
-
-def dots(a: DataFrame, b: DataFrame) -> DataFrame:
-    x, y = a.select("doc_id", "term", F.col("idx").alias("i"), F.col("w").alias("wi")), b.select("doc_id", "term", F.col("idx").alias("j"), F.col("w").alias("wj"))
-    return x.join(y, ["doc_id", "term"]).filter("i < j").groupBy("doc_id", "i", "j").agg(F.round(F.sum(F.col("wi") * F.col("wj")), 9).alias("similarity"))
+    pairs = x.join(y, ["doc_id", "term"]).filter("i < j").select("doc_id", "i", "j").distinct()
+    # A vector is one row from here on: each pair meets two rows.
+    rows = v.groupBy("doc_id", "idx").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    a, b = (rows.select("doc_id", F.col("idx").alias(k), F.col("terms").alias(f"{k}_terms"), F.col("ws").alias(f"{k}_ws")) for k in "ij")
+    near = dots(pairs.join(a, ["doc_id", "i"]).join(b, ["doc_id", "j"]))
+    near = near.filter(F.col("similarity") >= threshold) if isinstance(threshold, float) else near.join(threshold, "doc_id").filter("similarity >= threshold").drop("threshold")
+    near = written(near, "near")
+    forget(heads)
+    return near
+
+
+def dots(pairs: DataFrame) -> DataFrame:
+    """(doc_id, i, j, similarity) of pairs that come with the terms and weights of both sides: the products of what a pair shares, a batch of pairs at once."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(batch.column(f"{k}_terms"), batch.column(f"{k}_ws")) for k in "ij"]
+            owners = [pc.list_parent_indices(t).to_numpy().astype(np.int64) for t, _ in sides]
+            terms = pa.chunked_array([pc.list_flatten(t) for t, _ in sides]).combine_chunks().dictionary_encode()
+            codes = terms.indices.to_numpy().astype(np.int64)
+            keys = [o * len(terms.dictionary) + c for o, c in zip(owners, np.split(codes, [len(owners[0])]), strict=True)]
+            _, at, to = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+            ws = [pc.list_flatten(w).to_numpy(zero_copy_only=False) for _, w in sides]
+            sums = np.bincount(owners[0][at], ws[0][at] * ws[1][to], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "i", "j")), pa.array(sums)], ["doc_id", "i", "j", "similarity"])
+
+    fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    made = pairs.select("doc_id", "i", "j", "i_terms", "i_ws", "j_terms", "j_ws").mapInArrow(multiply, ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "i", "j")) + ", similarity double")
+    return made.withColumn("similarity", F.round("similarity", 9))
+
+
+def similar_pairs(chunks: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, i, j, similarity) with i < j of pairs of chunks whose rounded cosine is at least ``threshold``."""
+    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
+    near = pairs_above(v, threshold)
+    forget(v)
+    return near
 
 
-def adaptive_thresholds(chunks: DataFrame, percentile: float = 0.95, floor: float = 0.6, ceiling: float = 0.95) -> DataFrame:
-    """(doc_id, threshold): the percentile of all pair similarities of a document, zeros included, within bounds.
+def own_thresholds(chunks: DataFrame, v: DataFrame, near: DataFrame, percentile: float = PERCENTILE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
+    """(doc_id, threshold) of the documents of ``chunks``: the percentile of all pair similarities of a document, zeros included, within bounds.
 
-    Pairs without a common term are not built, and no list of the others: equal similarities are counted, and running counts find the two that
-    the percentile lies between.
+    ``near`` holds the pairs of ``v`` at ``floor`` or above. The percentile lies between two pairs of neighbouring rank, and counting tells on which side of the floor they are: with
+    both below, the threshold is the floor; with both above, they are in ``near``. Only where the floor parts them, the lower one is looked for, by a second
+    prefix filter over these documents alone, at the least similarity that would still lift the percentile above the floor.
     """
     plain = chunks.filter(~T.is_trivial(F.col("text")))
-    sizes = chunks.select("doc_id").distinct().join(plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left")
-    v = written(vectors(plain), "vectors")
-    counted = dots(v, v).groupBy("doc_id", "similarity").agg(F.count(F.lit(1)).alias("n_pairs"))
+    sizes = written(chunks.select("doc_id").distinct().join(plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left"), "sizes")
     all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    over = Window.partitionBy("doc_id").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, 0)
-    # Places from the top: the least similarity that so many pairs reach.
-    placed = counted.withColumn("reached", F.sum("n_pairs").over(over)).join(sizes.filter("n > 2"), "doc_id")
     rank = (all_pairs - 1) * percentile
-    at = lambda k: F.coalesce(F.max(F.when(F.col("reached") >= all_pairs - k, F.col("similarity"))), F.lit(0.0))
     low = F.floor(rank)
-    found = placed.groupBy("doc_id").agg(at(low).alias("low"), at(F.least(low + 1, all_pairs - 1)).alias("high"), F.first(rank - low).alias("part"))
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    return sizes.join(found, "doc_id", "left").select("doc_id", F.coalesce(F.least(F.greatest(F.round(value, 9), F.lit(floor)), F.lit(ceiling)), F.lit(floor)).alias("threshold"))
+    # From the top: the places of the two pairs.
+    asked = sizes.filter("n > 2").select("doc_id", (all_pairs - low).cast("long").alias("low_place"), (all_pairs - F.least(low + 1, all_pairs - 1)).cast("long").alias("high_place"), (rank - low).alias("part"))
+
+    def at_places(pairs: DataFrame) -> DataFrame:
+        """asked, with the similarities of the two places; null where ``pairs`` doesn't reach so far. Equal similarities are counted, not listed."""
+        counted = pairs.groupBy("doc_id", "similarity").agg(F.count(F.lit(1)).alias("n_pairs"))
+        over = Window.partitionBy("doc_id").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, 0)
+        reached = counted.withColumn("reached", F.sum("n_pairs").over(over)).join(asked, "doc_id")
+        at = lambda place: F.max(F.when(F.col("reached") >= F.col(place), F.col("similarity")))
+        return reached.groupBy("doc_id").agg(at("low_place").alias("low"), at("high_place").alias("high"), F.first("part").alias("part"))
+
+    found = written(at_places(near), "places")
+    parted = found.filter("low IS NULL AND high IS NOT NULL AND part < 1")
+    needed = written(parted.select("doc_id", F.greatest((F.lit(floor) - F.col("high") * F.col("part")) / (1 - F.col("part")), F.lit(MARGIN)).alias("threshold")), "parted")
+    if not needed.isEmpty():
+        again = at_places(pairs_above(v, needed)).select("doc_id", F.col("low").alias("found_low"))
+        found = written(found.join(again, "doc_id", "left").select("doc_id", F.coalesce("low", "found_low").alias("low"), "high", "part"), "places")
+    # Pairs without a common term are similar by zero; what no filter has found is too low to matter.
+    value = F.coalesce("low", F.lit(0.0)) + (F.coalesce("high", F.lit(0.0)) - F.coalesce("low", F.lit(0.0))) * F.col("part")
+    bounded = F.least(F.greatest(F.round(value, 9), F.lit(floor)), F.lit(ceiling))
+    return sizes.join(found, "doc_id", "left").select("doc_id", F.coalesce(bounded, F.lit(floor)).alias("threshold"))
+
+
+def adaptive_thresholds(chunks: DataFrame, percentile: float = PERCENTILE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
+    """(doc_id, threshold) of every document of ``chunks``, see ``own_thresholds``."""
+    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
+    return own_thresholds(chunks, v, pairs_above(v, floor), percentile, floor, ceiling)
 
 
 def near_pairs(chunks: DataFrame, threshold: float | None) -> DataFrame:
-    """(doc_id, i, j, similarity) of pairs that count as near duplicates; ``threshold`` None takes each document's own."""
-    if threshold is None:
-        return similar_pairs(chunks, None).join(adaptive_thresholds(chunks), "doc_id").filter("similarity >= threshold").drop("threshold")
-    return similar_pairs(chunks, threshold)
+    """(doc_id, i, j, similarity) of pairs that count as near duplicates; ``threshold`` None takes each document's own, from the same vectors and pairs."""
+    if threshold is not None:
+        return similar_pairs(chunks, threshold)
+    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
+    near = pairs_above(v, FLOOR)
+    return near.join(own_thresholds(chunks, v, near), "doc_id").filter("similarity >= threshold").drop("threshold")
 
 
-def keep_first_drops(pairs: DataFrame) -> DataFrame:
-    """(doc_id, idx) of dropped chunks: in order, one that is similar to a kept earlier one goes. Not components: what is only similar to dropped ones stays."""
-    near = pairs.groupBy("doc_id", "j").agg(F.collect_list("i").alias("nbrs")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "nbrs"))).alias("adj"))
-    fold = F.aggregate("adj", F.array().cast("array<int>"), lambda d, x: F.when(F.size(F.array_except(x["nbrs"], d)) > 0, F.array_append(d, x["j"])).otherwise(d))
-    return near.select("doc_id", F.explode(fold).alias("idx"))
+def keep_first_drops(pairs: DataFrame, rounds: int = 0) -> DataFrame:
+    """(doc_id, idx) of dropped chunks: in order, one that is similar to a kept earlier one goes. Not components: what is only similar to dropped ones stays.
+
+    A document's pairs pass in order of their later chunk, and only who was dropped is remembered. ``rounds``, for documents of very many pairs: so many times before that, all chunks without
+    an undecided earlier partner are kept at once over the whole table, and their partners dropped. A chain needs a round for every other link, so rounds alone may be many.
+    """
+    drops, left = None, pairs.select("doc_id", "i", "j")
+    for _ in range(rounds):
+        first = left.select("doc_id", F.col("i").alias("at")).distinct().join(left.select("doc_id", F.col("j").alias("at")), ["doc_id", "at"], "left_anti")
+        gone = written(left.join(first.withColumnRenamed("at", "i"), ["doc_id", "i"]).select("doc_id", F.col("j").alias("at")).distinct(), "gone")
+        if gone.isEmpty():
+            break
+        drops = gone if drops is None else drops.union(gone)
+        # Pairs of a dropped chunk say nothing more.
+        left = written(left.join(gone.withColumnRenamed("at", "i"), ["doc_id", "i"], "left_anti").join(gone.withColumnRenamed("at", "j"), ["doc_id", "j"], "left_anti"), "undecided")
+
+    def step(state: dict | None, batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        dropped, last = (state["dropped"], state["last"]) if state else (set(), None)
+        out = np.zeros(batch.num_rows, bool)
+        for k, (i, j) in enumerate(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)):
+            if j != last and i not in dropped:
+                dropped.add(j)
+                out[k], last = True, j
+        return out, {"dropped": dropped, "last": last}
+
+    rest = folded(left, "doc_id", ["j", "i"], step).select("doc_id", F.col("j").alias("idx"))
+    return rest if drops is None else rest.union(drops.select("doc_id", F.col("at").alias("idx")))
 
 
 def remove_near_duplicates(chunks: DataFrame, threshold: float | None = 0.85) -> DataFrame:
