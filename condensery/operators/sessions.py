@@ -78,7 +78,7 @@ def turn_actions(turns: DataFrame, protect_recent: int = 4, dedup_threshold: flo
     marked = turns.withColumn("_recent", ~system & (F.row_number().over(w) <= protect_recent)).withColumn("tokens", T.token_count(F.col("content")))
     group = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("role").alias("r")))
     old = marked.filter(~system & ~F.col("_recent")).select(group.alias("doc_id"), F.col("turn").cast("int").alias("idx"), F.col("content").alias("text"), "conv_id")
-    drops = similarity.keep_first_drops(similarity.near_pairs(old.select("doc_id", "idx", "text"), dedup_threshold))
+    drops = similarity.near_duplicates(old.select("doc_id", "idx", "text"), dedup_threshold)
     dropped = old.join(drops, ["doc_id", "idx"]).select("conv_id", F.col("idx").alias("turn"), F.lit(True).alias("_dropped"))
     both = marked.join(dropped, ["conv_id", "turn"], "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
     action = F.when(system, "protected_system").when(F.col("_dropped"), "dropped_duplicate").when(F.col("_recent"), "protected_recent").otherwise("compressed")

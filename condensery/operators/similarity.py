@@ -19,49 +19,57 @@ MARGIN = 1e-9
 FLOOR, CEILING, PERCENTILE = 0.6, 0.95, 0.95
 
 
-def weighted_terms(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
-    """(doc_id, idx, term, df, raw): term counts times the smooth idf within each document.
+def weighted_terms(chunks: DataFrame, without_stop_words: bool = False, distinct: bool = False) -> DataFrame:
+    """(doc_id, idx, term, df, copies, raw): term counts times the smooth idf within each document. ``distinct``: of equal chunks of a document only the first, with their number; else copies is 1.
 
     One shuffle brings a document's chunks together; everything after it is keyed by doc_id first and needs no other.
     """
     # A number of partitions is given, as chunks are small but what is made of them is not: else they would be put together by their bytes.
     own = chunks.select("doc_id", "idx", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    sized = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    found = sized.select("doc_id", "idx", "n", F.explode_outer(T.terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
+    own = own.groupBy("doc_id", "text").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("copies")) if distinct else own.withColumn("copies", F.lit(1).cast("long"))
+    sized = own.withColumn("n", F.sum("copies").over(Window.partitionBy("doc_id")))
+    found = sized.select("doc_id", "idx", "n", "copies", F.explode_outer(T.terms(F.col("text"))).alias("term")).filter("term IS NOT NULL")
     if without_stop_words:
         # Behind the explode a set look-up for each term is enough.
         found = found.filter(~F.col("term").isin(STOP_WORDS))
-    tf = found.groupBy("doc_id", "idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
-    df = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "term")))
-    return df.select("doc_id", "idx", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    tf = found.groupBy("doc_id", "idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    df = tf.withColumn("df", F.sum("copies").over(Window.partitionBy("doc_id", "term")))
+    return df.select("doc_id", "idx", "term", "df", "copies", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
 
 
-def vectors(chunks: DataFrame, without_stop_words: bool = False) -> DataFrame:
-    """(doc_id, idx, term, df, w, rest): unit vectors of chunks; rest is the length of what a vector has from this term on, by ascending df."""
-    raw = weighted_terms(chunks, without_stop_words)
-    # One sort serves both windows.
+def vectors(chunks: DataFrame, without_stop_words: bool = False, distinct: bool = False) -> DataFrame:
+    """(doc_id, idx, copies, terms): unit vectors of chunks, terms (df, term, w, rest) by ascending df; rest is the length of what a vector has from this term on."""
+    raw = weighted_terms(chunks, without_stop_words, distinct)
+    # One sort serves both windows and the lists.
     w = Window.partitionBy("doc_id", "idx")
     upto = w.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     square = F.col("raw") * F.col("raw")
     summed = raw.withColumn("_before", F.coalesce(F.sum(square).over(upto), F.lit(0.0))).withColumn("_all", F.sum(square).over(w))
-    return summed.select("doc_id", "idx", "term", "df", (F.col("raw") / F.sqrt("_all")).alias("w"), F.sqrt(F.greatest(1 - F.col("_before") / F.col("_all"), F.lit(0.0))).alias("rest"))
+    rest = F.sqrt(F.greatest(1 - F.col("_before") / F.col("_all"), F.lit(0.0)))
+    term = F.struct("df", "term", (F.col("raw") / F.sqrt("_all")).alias("w"), rest.alias("rest"))
+    return summed.groupBy("doc_id", "idx").agg(F.first("copies").alias("copies"), F.collect_list(term).alias("terms"))
+
+
+def term_rows(v: DataFrame) -> DataFrame:
+    """(doc_id, idx, df, term, w, rest) of vectors."""
+    return v.select("doc_id", "idx", F.inline("terms"))
 
 
 def pairs_above(v: DataFrame, threshold: float | DataFrame) -> DataFrame:
-    """(doc_id, i, j, similarity) with i < j of the pairs of ``v`` whose rounded cosine is at least ``threshold``: a number, or a table (doc_id, threshold) of the documents that are asked for.
+    """(doc_id, i, j, similarity, n_pairs) with i < j of the pairs of ``v`` whose rounded cosine is at least ``threshold``: a number, or a table (doc_id, threshold) of the documents that are
+    asked for. n_pairs counts the pairs of their copies.
 
     Terms of a vector in one order of all, by ascending document frequency: where what is left of a vector is shorter than the threshold its head ends. Two vectors
     as similar as that share a term of both heads, so no pair is missed (Bayardo, Ma and Srikant, 2007).
     """
     limited = v.withColumn("threshold", F.lit(threshold)) if isinstance(threshold, float) else v.join(threshold, "doc_id")
     # A term of one chunk alone has no partner.
-    heads = written(limited.filter((F.col("rest") >= F.col("threshold") - MARGIN) & (F.col("df") > 1)).select("doc_id", "term", "idx"), "heads")
+    heads = written(limited.select("doc_id", "idx", "threshold", F.inline("terms")).filter((F.col("rest") >= F.col("threshold") - MARGIN) & (F.col("df") > 1)).select("doc_id", "term", "idx"), "heads")
     x, y = heads.withColumnRenamed("idx", "i"), heads.withColumnRenamed("idx", "j")
     pairs = x.join(y, ["doc_id", "term"]).filter("i < j").select("doc_id", "i", "j").distinct()
-    # A vector is one row from here on: each pair meets two rows.
-    rows = v.groupBy("doc_id", "idx").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
-    a, b = (rows.select("doc_id", F.col("idx").alias(k), F.col("terms").alias(f"{k}_terms"), F.col("ws").alias(f"{k}_ws")) for k in "ij")
-    near = dots(pairs.join(a, ["doc_id", "i"]).join(b, ["doc_id", "j"]))
+    # A vector is one row: each pair meets two rows.
+    a, b = (v.select("doc_id", F.col("idx").alias(k), F.col("copies").alias(f"{k}_copies"), F.col("terms.term").alias(f"{k}_terms"), F.col("terms.w").alias(f"{k}_ws")) for k in "ij")
+    near = dots(pairs.join(a, ["doc_id", "i"]).join(b, ["doc_id", "j"]).withColumn("n_pairs", F.col("i_copies") * F.col("j_copies")))
     near = near.filter(F.col("similarity") >= threshold) if isinstance(threshold, float) else near.join(threshold, "doc_id").filter("similarity >= threshold").drop("threshold")
     near = written(near, "near")
     forget(heads)
@@ -69,7 +77,7 @@ def pairs_above(v: DataFrame, threshold: float | DataFrame) -> DataFrame:
 
 
 def dots(pairs: DataFrame) -> DataFrame:
-    """(doc_id, i, j, similarity) of pairs that come with the terms and weights of both sides: the products of what a pair shares, a batch of pairs at once."""
+    """(doc_id, i, j, similarity, n_pairs) of pairs that come with the terms and weights of both sides: the products of what a pair shares, a batch of pairs at once."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +89,10 @@ def dots(pairs: DataFrame) -> DataFrame:
             _, at, to = np.intersect1d(*keys, assume_unique=True, return_indices=True)
             ws = [pc.list_flatten(w).to_numpy(zero_copy_only=False) for _, w in sides]
             sums = np.bincount(owners[0][at], ws[0][at] * ws[1][to], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "i", "j")), pa.array(sums)], ["doc_id", "i", "j", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "i", "j", "n_pairs")), pa.array(sums)], ["doc_id", "i", "j", "n_pairs", "similarity"])
 
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    made = pairs.select("doc_id", "i", "j", "i_terms", "i_ws", "j_terms", "j_ws").mapInArrow(multiply, ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "i", "j")) + ", similarity double")
+    made = pairs.select("doc_id", "i", "j", "n_pairs", "i_terms", "i_ws", "j_terms", "j_ws").mapInArrow(multiply, ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "i", "j", "n_pairs")) + ", similarity double")
     return made.withColumn("similarity", F.round("similarity", 9))
 
 
@@ -93,13 +101,13 @@ def similar_pairs(chunks: DataFrame, threshold: float) -> DataFrame:
     v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
     near = pairs_above(v, threshold)
     forget(v)
-    return near
+    return near.drop("n_pairs")
 
 
 def own_thresholds(chunks: DataFrame, v: DataFrame, near: DataFrame, percentile: float = PERCENTILE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
     """(doc_id, threshold) of the documents of ``chunks``: the percentile of all pair similarities of a document, zeros included, within bounds.
 
-    ``near`` holds the pairs of ``v`` at ``floor`` or above. The percentile lies between two pairs of neighbouring rank, and counting tells on which side of the floor they are: with
+    ``near`` holds the pairs of ``v``, vectors of distinct chunks, at ``floor`` or above. The percentile lies between two pairs of neighbouring rank, and counting tells on which side of the floor they are: with
     both below, the threshold is the floor; with both above, they are in ``near``. Only where the floor parts them, the lower one is looked for, by a second
     prefix filter over these documents alone, at the least similarity that would still lift the percentile above the floor.
     """
@@ -113,7 +121,8 @@ def own_thresholds(chunks: DataFrame, v: DataFrame, near: DataFrame, percentile:
 
     def at_places(pairs: DataFrame) -> DataFrame:
         """asked, with the similarities of the two places; null where ``pairs`` doesn't reach so far. Equal similarities are counted, not listed."""
-        counted = pairs.groupBy("doc_id", "similarity").agg(F.count(F.lit(1)).alias("n_pairs"))
+        copies = v.filter("copies > 1").select("doc_id", F.lit(1.0).alias("similarity"), F.expr("copies * (copies - 1) div 2").alias("n_pairs"))
+        counted = pairs.select("doc_id", "similarity", "n_pairs").union(copies).groupBy("doc_id", "similarity").agg(F.sum("n_pairs").alias("n_pairs"))
         over = Window.partitionBy("doc_id").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, 0)
         reached = counted.withColumn("reached", F.sum("n_pairs").over(over)).join(asked, "doc_id")
         at = lambda place: F.max(F.when(F.col("reached") >= F.col(place), F.col("similarity")))
@@ -133,17 +142,27 @@ def own_thresholds(chunks: DataFrame, v: DataFrame, near: DataFrame, percentile:
 
 def adaptive_thresholds(chunks: DataFrame, percentile: float = PERCENTILE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
     """(doc_id, threshold) of every document of ``chunks``, see ``own_thresholds``."""
-    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
+    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text"))), distinct=True), "vectors")
     return own_thresholds(chunks, v, pairs_above(v, floor), percentile, floor, ceiling)
 
 
-def near_pairs(chunks: DataFrame, threshold: float | None) -> DataFrame:
-    """(doc_id, i, j, similarity) of pairs that count as near duplicates; ``threshold`` None takes each document's own, from the same vectors and pairs."""
-    if threshold is not None:
-        return similar_pairs(chunks, threshold)
-    v = written(vectors(chunks.filter(~T.is_trivial(F.col("text")))), "vectors")
-    near = pairs_above(v, FLOOR)
-    return near.join(own_thresholds(chunks, v, near), "doc_id").filter("similarity >= threshold").drop("threshold")
+def near_duplicates(chunks: DataFrame, threshold: float | None = 0.85) -> DataFrame:
+    """(doc_id, idx) of the chunks of ``chunks`` that are near duplicates of kept earlier ones; ``threshold`` None takes each document's own.
+
+    Of equal chunks the first alone is compared: whatever becomes of it, the others go, and a dropped chunk drops none.
+    """
+    plain = chunks.filter(~T.is_trivial(F.col("text")))
+    v = written(vectors(plain, distinct=True), "vectors")
+    near = pairs_above(v, FLOOR if threshold is None else threshold)
+    if threshold is None:
+        near = near.join(own_thresholds(chunks, v, near), "doc_id").filter("similarity >= threshold")
+    drops = keep_first_drops(near.select("doc_id", "i", "j"))
+    if threshold is not None and threshold > 1:
+        return drops
+    first = plain.groupBy("doc_id", "text").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Chunks without terms are similar to nothing.
+    copies = plain.join(first, ["doc_id", "text"]).filter("idx > first").join(v.filter("copies > 1").select("doc_id", F.col("idx").alias("first")), ["doc_id", "first"], "left_semi")
+    return drops.union(copies.select("doc_id", "idx"))
 
 
 def keep_first_drops(pairs: DataFrame, rounds: int = 0) -> DataFrame:
@@ -177,7 +196,7 @@ def keep_first_drops(pairs: DataFrame, rounds: int = 0) -> DataFrame:
 
 def remove_near_duplicates(chunks: DataFrame, threshold: float | None = 0.85) -> DataFrame:
     """``chunks`` without near duplicates; ``threshold`` None takes each document's own."""
-    return chunks.join(keep_first_drops(near_pairs(chunks, threshold)), ["doc_id", "idx"], "left_anti")
+    return chunks.join(near_duplicates(chunks, threshold), ["doc_id", "idx"], "left_anti")
 
 
 def density_scores(chunks: DataFrame, extra_filler: tuple[str, ...] = (), force_keep: Column | None = None) -> DataFrame:

@@ -218,7 +218,7 @@ def repeated_blocks(spark, d):
 
 @registered(f"WITH {CHUNKS}, {put(VECTORS, chunks='chunks', stop='')} SELECT doc_id, CAST(idx AS INTEGER) AS idx, term, df, round(w, 6) AS w FROM vectors")
 def tfidf_vectors(spark, d):
-    return similarity.vectors(chunking.prose_chunks(documents(spark, d))).select("doc_id", "idx", "term", "df", F.round("w", 6).alias("w"))
+    return similarity.term_rows(similarity.vectors(chunking.prose_chunks(documents(spark, d)))).select("doc_id", "idx", "term", "df", F.round("w", 6).alias("w"))
 
 
 @registered(f"WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS} SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(similarity, 6) AS similarity FROM dots WHERE similarity >= 0.85")
@@ -234,7 +234,7 @@ DROPS = """@p@adj AS (SELECT doc_id, j, list(i) AS nbrs FROM @p@dots WHERE simil
 
 @registered(f"WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS}, {put(DROPS, t=0.75)} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM drops")
 def near_dup_drops(spark, d):
-    return similarity.keep_first_drops(similarity.similar_pairs(chunking.prose_chunks(documents(spark, d)), 0.75))
+    return similarity.near_duplicates(chunking.prose_chunks(documents(spark, d)), 0.75)
 
 
 @registered(f"""WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS}, n AS (SELECT doc_id, count(*) AS n FROM plain GROUP BY doc_id),
