@@ -7,8 +7,9 @@ similarity J_P of their weights, which is the plain Jaccard similarity when all
 
 Equal signatures of ``rows`` registers make a bucket. In a bucket every member is compared with the hub (the member that shares most
 buckets with others) instead of with every other member, and links are verified on the whole bags. What is in one component of the links so far needs no
-further comparison. Members of buckets that still hold several components are dealt anew by a second signature, of more and longer bands, whose buckets hold few
-that are far apart; there one member after the other, from the smallest component on, is compared with those of other components, until none is left.
+further comparison. Where a bucket still holds several components, what is left is compared at once if it has few members (each then meets a bounded number of others). Members of
+larger ones are dealt anew by a second signature, of more and longer bands, whose buckets hold few that are far apart; its small buckets are compared in the same way, and in
+its large ones one member after the other, from the smallest component on, is compared with those of other components, until none is left.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ BANDS, ROWS = 36, 7
 FINE_BANDS, FINE_ROWS = 480, 20
 #: Members of a bucket, at most, that a round compares with the others.
 SLOTS = 8
+#: Members of a bucket, at most, whose members of different components are all compared.
+SMALL = 32
+#: Rounds after which what has been seen is written as one table.
+COMPACT = 4
 #: Groups, the largest ones, whose sizes are broadcast, so that no shuffled group has more than a small share of the rows.
 HEAVY_GROUPS = 1024
 
@@ -184,8 +189,9 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
     then met all of them and leave the bucket. Buckets close when one component is left, so comparisons grow with members and rounds and no
     round makes all pairs of a bucket.
     """
-    open_, found = members, None
+    open_, found, held, turn = members, None, [], 0
     while True:
+        turn += 1
         sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")), "sizes")
         mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key")
         # The smallest components first: some at once, one of each slot.
@@ -194,12 +200,19 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
         if turns.isEmpty():
             forget(sizes, turns)
             return found
+        if turn % COMPACT == 0:
+            # What earlier rounds have compared and found as one table each: a round's plan doesn't grow with the number of rounds.
+            seen = written(seen, "seen")
+            found = written(found, "found") if found is not None else None
+            forget(*held)
+            held = [seen]
         now = written(open_.join(turns.select("key").distinct(), "key"), "now")
         pairs = now.join(turns, "key").filter("root <> own").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
         near = written(verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
         links = near.filter(F.col("similarity") >= similarity).select("a", "b")
         found = links if found is None else found.union(links)
         seen = seen.select("a", "b").union(near.select("a", "b"))
+        held.append(near)
         left = now.join(turns.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
         if not links.isEmpty():
             # Components that have met go on as one; links of a round are between roots that the round knows.
@@ -240,7 +253,7 @@ def by_row(texts: DataFrame, **options) -> DataFrame:
     return named.join(least, "root").select("row", "doc_id", "group_id", "group_size", "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
-def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, fine_bands: int = FINE_BANDS, fine_rows: int = FINE_ROWS) -> DataFrame:
+def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, fine_bands: int = FINE_BANDS, fine_rows: int = FINE_ROWS, small: int = SMALL) -> DataFrame:
     """``near_duplicates`` of documents with ids of their own."""
     signed = written(digested(docs, words, bands, rows), "signatures")
     # Equal bags are one class: only its smallest doc_id goes on. A partial aggregate, so a huge class costs little.
@@ -253,28 +266,29 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     # The candidates grow with the corpus: shuffled at every size, so that costs follow the input.
     bagged = written(bags(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "bags")
-    near = written(verified(stars, bagged), "near")
-    links = written(near.filter(F.col("similarity") >= similarity).select("a", "b"), "links")
+    near = written(verified(stars, bagged).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "similarity"), "near")
+    links = near.filter(F.col("similarity") >= similarity).select("a", "b")
+    entries = written(members.select("key", "rep"), "bucket-members")
     roots = written(components(links), "roots")
-    # Members of buckets that hold several components.
-    rooted = written(members.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
-    open_keys = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "open-keys")
-    inside = written(rooted.join(open_keys, "key").select("rep", "root").distinct(), "inside")
+    near, links = few_left(entries, roots, near, links, bagged, similarity, small)
+    roots = written(components(links), "roots")
+    # Members of large buckets that hold several components.
+    inside = written(open_members(entries, roots, small).select("rep", "root").distinct(), "inside")
     fine = written(finely_banded(bagged.join(inside.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), fine_bands, fine_rows), "fine")
-    again = fine.join(inside, "rep").select("rep", "root", F.explode_outer("bands").alias("key"))
-    keys = written(again.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "fine-keys")
-    dealt = written(again.join(keys.hint("merge"), "key").select("key", "rep", "root"), "fine-members")
-    seen = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = settled(dealt, bagged, seen, similarity)
-    every = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    every = written(every if more is None else every.union(more), "every")
+    # Buckets of one member have nothing to compare.
+    dealt = written(open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1), "fine-members").select("key", "rep")
+    near, links = few_left(dealt, roots, near, links, bagged, similarity, small)
+    roots = written(components(links), "roots")
+    more = settled(written(open_members(dealt, roots, small), "fine-open"), bagged, near, similarity)
+    every = links if more is None else links.union(more)
+    every = written(every.distinct(), "every")
     final = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = written(reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"), "named")
     named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
     sized = written(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     sizes = written(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
-    forget(signed, reps, members, hubs, stars, wanted, bagged, near, links, roots, rooted, open_keys, inside, fine, keys, dealt, every, classes)
+    forget(signed, reps, members, entries, hubs, stars, wanted, bagged, inside, fine, every, classes)
     # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
     heavy = written(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
     mapped = sized.join(F.broadcast(heavy), "group_id")
@@ -284,6 +298,25 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     )
 
 
+def open_members(entries: DataFrame, roots: DataFrame, above: int) -> DataFrame:
+    """(key, rep, root) of the buckets of ``entries`` (key, rep) that hold several components and more than ``above`` members."""
+    rooted = entries.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter((F.col("low") < F.col("high")) & (F.col("n") > above))
+    return rooted.join(written(keys.select("key"), "open-keys").hint("merge"), "key")
+
+
+def few_left(entries: DataFrame, roots: DataFrame, near: DataFrame, links: DataFrame, bagged: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """``near`` and ``links`` with those between members of different components of a bucket with at most ``small`` members: each row meets fewer than ``small`` others."""
+    rooted = open_members(entries, roots, 2)
+    counted = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= small).select("key")
+    few = written(rooted.join(counted, "key"), "few")
+    one, two = few.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a")), few.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
+    pairs = one.join(two, "key").filter("a > b AND root_a <> root_b").select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
+    met = written(verified(pairs, bagged), "near")
+    forget(few)
+    return near.unionByName(met), links.union(met.filter(F.col("similarity") >= similarity).select("a", "b"))
+
+
 def members_of(reps: DataFrame) -> DataFrame:
     """(key, rep, score) of the buckets of (rep, bands) with two members or more; score: the members of all of a document's buckets, how central it is."""
     entries = reps.select("rep", F.explode_outer("bands").alias("key"))
