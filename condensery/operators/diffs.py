@@ -23,13 +23,27 @@ def parse_hunks(diffs: DataFrame, reset_on_deletion: bool = True) -> DataFrame:
     return out.withColumn("new_end", F.col("new_start") + F.greatest(F.col("new_lines") - 1, F.lit(0)))
 
 
+#: Lines of a bin.
+BIN = 64
+
+
 def touched_blocks(blocks: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Blocks (doc_id is the path) whose lines overlap a hunk."""
-    h = hunks.select(F.col("path"), "new_start", "new_end")
-    return blocks.join(h, (blocks["doc_id"] == h["path"]) & (blocks["start_line"] <= h["new_end"]) & (h["new_start"] <= blocks["end_line"]), "left_semi")
+    """Blocks (doc_id is the path, or what ``hunks`` call path) whose lines overlap a hunk. Both are cut into bins of lines and meet in those, not with all of a file."""
+    h = hunks.select(F.col("path").alias("doc_id"), "new_start", "new_end", F.explode(F.sequence(F.expr(f"new_start div {BIN}"), F.expr(f"new_end div {BIN}"))).alias("bin"))
+    b = blocks.select("doc_id", "idx", "start_line", "end_line", F.explode(F.sequence(F.expr(f"start_line div {BIN}"), F.expr(f"end_line div {BIN}"))).alias("bin"))
+    met = b.join(h, ["doc_id", "bin"]).filter("start_line <= new_end AND new_start <= end_line").select("doc_id", "idx").distinct()
+    return blocks.join(met, ["doc_id", "idx"], "left_semi")
 
 
 def skipped_files(hunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Paths with hunks but no content, or an empty one; contents may be listed as b/path."""
-    have = files.filter(F.length("text") > 0).select(F.regexp_replace("doc_id", "^b/", "").alias("path"))
-    return hunks.select("path").distinct().join(have, "path", "left_anti")
+    """(diff_id, path) with hunks but no content, or an empty one; contents may be listed as b/path, and for one diff (diff_id) or for all."""
+    have = contents(files).filter(F.length("text") > 0)
+    keys = [c for c in ("diff_id", "path") if c in have.columns]
+    return hunks.select("diff_id", "path").distinct().join(have.select(*keys), keys, "left_anti").select("diff_id", "path")
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """(path, text), and diff_id where ``files`` has it, of files (doc_id, text): one row for each, the entry under its plain path before that under b/path."""
+    keys = [c for c in ("diff_id", "path") if c == "path" or c in files.columns]
+    plain = files.select(*keys[:-1], F.regexp_replace("doc_id", "^b/", "").alias("path"), "text", F.startswith("doc_id", F.lit("b/")).alias("_b")).filter(F.length("text") > 0)
+    return plain.groupBy(*keys).agg(F.min_by("text", F.struct("_b", F.sha2("text", 256))).alias("text"))

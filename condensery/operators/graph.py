@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.storage import written
+from ..functions.storage import forget, written
 
 
 def symbol_table(blocks: DataFrame, scope: str | None = "doc_id") -> DataFrame:
-    """(scope, name, doc_id, idx): the last definition of a name within a scope; files go by path. ``scope`` None: one for all."""
+    """(scope, name, doc_id, idx): the last definition of a name within a scope, a column of ``blocks``; files go by their ids' order. ``scope`` None: one for all."""
     defined = blocks.select(F.col(scope).alias("scope") if scope else F.lit("all").alias("scope"), "doc_id", "idx", F.explode("defines").alias("name"))
     return defined.groupBy("scope", "name").agg(F.max(F.struct("doc_id", "idx")).alias("at")).select("scope", "name", "at.doc_id", "at.idx")
 
@@ -21,12 +23,54 @@ def reference_edges(blocks: DataFrame, symbols: DataFrame, scope: str | None = "
     return found.filter((F.col("doc_id") != F.col("to_doc")) | (F.col("idx") != F.col("to_idx"))).select("doc_id", "idx", "to_doc", "to_idx").distinct()
 
 
-def dependency_closure(kept: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, idx, restored): kept blocks and all that can be reached from them. One join for each step of the longest chain; the frontier only."""
-    reached = written(kept.select("doc_id", "idx", F.lit(False).alias("restored")), "reached")
-    frontier = reached
-    while not frontier.isEmpty():
-        step = frontier.join(edges, ["doc_id", "idx"]).select(F.col("to_doc").alias("doc_id"), F.col("to_idx").alias("idx")).distinct()
-        frontier = written(step.join(reached, ["doc_id", "idx"], "left_anti").withColumn("restored", F.lit(True)), "frontier")
-        reached = reached.unionByName(frontier)
-    return reached
+#: Plain steps before pointers are built, and rounds after which what has been reached is one table.
+STEPS, COMPACT = 4, 4
+
+
+def dependency_closure(kept: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(doc_id, idx, restored): kept blocks and all that can be reached from them.
+
+    The first ``steps`` rounds each follow one reference. What is still open then are long chains: blocks with one reference left that leads on get a pointer, and rounds follow
+    pointers that double their length, so that a chain of n blocks takes about log n rounds; where a block has several such references, one step is plain again.
+    """
+    node = F.struct("doc_id", "idx")
+    links = edges.select(node.alias("a"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_idx").alias("idx")).alias("b"))
+    first = written(kept.select(node.alias("a"), F.lit(False).alias("restored")).dropDuplicates(["a"]), "reached")
+    reached, frontier, rounds = [first], first, 0
+
+    def seen() -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, reached)
+
+    def follow(by: DataFrame, everywhere: bool = True) -> bool:
+        """Adds what ``by`` leads to from all that has been reached, or from what came last; whether there was anything new."""
+        nonlocal frontier, reached, rounds
+        rounds += 1
+        if rounds % COMPACT == 0:
+            one = written(seen(), "reached")
+            forget(*(t for t in reached if t is not frontier))
+            reached = [one]
+        new = (seen() if everywhere else frontier).select("a").join(by, "a").select(F.col("b").alias("a")).distinct().join(seen().select("a"), "a", "left_anti")
+        new = written(new.withColumn("restored", F.lit(True)), "frontier")
+        if new.isEmpty():
+            forget(new)
+            return False
+        reached.append(new)
+        frontier = new
+        return True
+
+    more = True
+    for _ in range(steps):
+        if not (more := follow(links, everywhere=False)):
+            break
+    while more:
+        # References to what has been reached say nothing more.
+        links = written(links.join(seen().select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "links")
+        single = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b")).filter("n = 1").select("a", "b")
+        pointers = written(single, "pointers")
+        while more := follow(pointers):
+            longer = pointers.select("a", F.col("b").alias("by")).join(pointers.select(F.col("a").alias("by"), "b"), "by").select("a", "b")
+            pointers, before = written(longer, "pointers"), pointers
+            forget(before)
+        forget(pointers)
+        more = follow(links)
+    return seen().select("a.doc_id", "a.idx", "restored")

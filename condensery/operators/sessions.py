@@ -9,18 +9,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as T
 from . import similarity
 
-GENERIC = "array<struct<role:string,content:string>>"
-TREE = "struct<current_node:string,mapping:map<string,struct<parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>>"
-MESSAGES = "struct<chat_messages:array<struct<sender:string,text:string,content:string>>>"
+TREE = "struct<current_node:string,mapping:map<string,struct<parent:string,children:array<string>,message:struct<author:struct<role:string>,content:variant>>>>"
+MESSAGES = "struct<chat_messages:array<struct<sender:string,text:string,content:variant>>>"
 TURN = "array<struct<role:string,content:string>>"
 
 
-def flat_content(raw: Column) -> Column:
-    """Text of a message's content given as JSON text or plain text: text blocks and markers of tool blocks joined by line breaks."""
-    blocks = F.from_json(raw, "array<struct<type:string,text:string,name:string>>")
-    parts = F.transform(blocks, lambda b: F.when(b["text"].isNotNull(), b["text"]).when(b["type"].isin("tool_use", "tool_result"), F.concat(F.lit("["), b["type"], F.lit(": "), F.coalesce(b["name"], F.lit("")), F.lit("]"))).otherwise(""))
-    strings = F.from_json(raw, "array<string>")
-    return F.when(raw.isNull(), "").when(F.substring(F.ltrim(raw), 1, 2).rlike(r'^\[\{'), F.array_join(F.filter(parts, lambda p: p != ""), "\n")).when(F.substring(F.ltrim(raw), 1, 2) == '["', F.array_join(F.filter(strings, lambda p: p != ""), "\n")).when(F.ltrim(raw).startswith("{"), F.coalesce(F.get_json_object(raw, "$.text"), raw)).otherwise(raw)
+def kind_of(value: Column) -> Column:
+    """STRING, OBJECT, ARRAY, BOOLEAN or the like: what a variant holds; VOID for a JSON null, null for no value."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def as_text(value: Column) -> Column:
+    """A JSON value as text: strings as they are, all else as JSON."""
+    return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
+def part_text(part: Column) -> Column:
+    """Text of one part of a message: a string, a block's text, or a marker of a tool block; empty for all else."""
+    field = lambda name: F.try_variant_get(part, f"$.{name}", "string")
+    text = F.try_variant_get(part, "$.text", "variant")
+    marker = F.concat(F.lit("["), field("type"), F.lit(": "), F.coalesce(field("name"), F.lit("")), F.lit("]"))
+    block = F.when(text.isNotNull(), as_text(text)).when(field("type").isin("tool_use", "tool_result"), marker)
+    return F.when(kind_of(part) == "STRING", F.try_variant_get(part, "$", "string")).when(kind_of(part) == "OBJECT", block)
+
+
+def joined_parts(value: Column) -> Column:
+    """The texts of a JSON list's parts, without empty ones, one line each."""
+    parts = F.transform(F.try_variant_get(value, "$", "array<variant>"), part_text)
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
+
+
+def flat_content(content: Column) -> Column:
+    """Text of a message's content, a variant: a string is taken as it is, whatever it looks like; of a list the texts of its parts; of an object its text, else the object as JSON; nothing of null."""
+    kind, text = kind_of(content), F.try_variant_get(content, "$.text", "variant")
+    flat = F.when(kind == "ARRAY", joined_parts(content)).when((kind == "OBJECT") & text.isNotNull(), as_text(text)).otherwise(as_text(content))
+    return F.when(content.isNull() | (kind == "VOID"), "").otherwise(flat)
 
 
 def tree_branch(conv: Column) -> Column:
@@ -46,24 +69,32 @@ def longest(schema: str, size: Callable[[Column], Column]) -> Column:
     return F.get(listed, -best["place"])
 
 
-def parse_exports(exports: DataFrame) -> DataFrame:
-    """(conv_id, format, turns) from exports (conv_id, raw); the first format with any turn wins. Unknown or broken input has format null."""
+def parse_exports(exports: DataFrame, strict: bool = False) -> DataFrame:
+    """(conv_id, format, turns) from exports (conv_id, raw); the first format with any turn wins. Unknown or broken input has format null; with ``strict`` it fails the query instead.
+
+    Contents are read as variants, so that a string that looks like JSON stays a string.
+    """
     # A download holds a list of conversations: the one with most nodes or messages is taken, the first of equal ones.
     tree = longest(TREE, lambda c: F.size(c["mapping"]))
     messages = longest(MESSAGES, lambda c: F.size(c["chat_messages"]))
-    p = exports.select("conv_id", "raw", tree.alias("tree"), messages.alias("messages"), F.from_json("raw", GENERIC).alias("generic"))
+    p = exports.select("conv_id", "raw", tree.alias("tree"), messages.alias("messages"), F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>").alias("generic"))
     node = lambda k: F.try_element_at(F.col("tree.mapping"), k)
+    parts = lambda content: F.coalesce(F.try_variant_get(content, "$.parts", "variant"), content)
     chatgpt = F.filter(
-        F.transform(tree_branch(F.col("tree")), lambda k: F.struct(node(k)["message"]["author"]["role"].alias("role"), F.array_join(F.filter(F.coalesce(node(k)["message"]["content"]["parts"], F.array().cast("array<string>")), lambda x: x != ""), "\n").alias("content"))),
+        F.transform(tree_branch(F.col("tree")), lambda k: F.struct(node(k)["message"]["author"]["role"].alias("role"), flat_content(parts(node(k)["message"]["content"])).alias("content"))),
         lambda t: t["role"].isin("system", "user", "assistant", "tool") & ~T.is_blank(t["content"]),
     )
     role = lambda s: F.when(s.isin("assistant", "system"), s).otherwise("user")
     claude = F.filter(F.transform("messages.chat_messages", lambda m: F.struct(role(m["sender"]).alias("role"), F.when(F.coalesce(m["text"], F.lit("")) != "", m["text"]).otherwise(flat_content(m["content"])).alias("content"))), lambda t: ~T.is_blank(t["content"]))
-    plain = F.when(F.forall("generic", lambda t: t["role"].isNotNull()), F.transform("generic", lambda t: F.struct(t["role"].alias("role"), flat_content(t["content"]).alias("content"))))
+    given = lambda t, name: F.try_variant_get(t, f"$.{name}", "variant")
+    plain = F.when(F.forall("generic", lambda t: (kind_of(t) == "OBJECT") & given(t, "role").isNotNull()), F.transform("generic", lambda t: F.struct(as_text(given(t, "role")).alias("role"), flat_content(given(t, "content")).alias("content"))))
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     q = p.select("conv_id", F.when(F.col("tree.mapping").isNotNull(), chatgpt).alias("c1"), F.when(F.col("messages.chat_messages").isNotNull(), claude).alias("c2"), plain.alias("c3"))
     pick = lambda a, b, c: F.when(some(F.col("c1")), a).when(some(F.col("c2")), b).when(some(F.col("c3")), c)
-    return q.select("conv_id", pick(F.lit("chatgpt"), F.lit("claude"), F.lit("generic")).alias("format"), pick(*(F.col(c).cast(TURN) for c in ("c1", "c2", "c3"))).alias("turns"))
+    found = pick(F.lit("chatgpt"), F.lit("claude"), F.lit("generic"))
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("unrecognised conversation format: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    return q.select("conv_id", found.alias("format"), pick(*(F.col(c).cast(TURN) for c in ("c1", "c2", "c3"))).alias("turns"))
 
 
 def exploded_turns(parsed: DataFrame) -> DataFrame:

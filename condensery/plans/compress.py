@@ -5,7 +5,10 @@ Each is one DataFrame plan whose stages are keyed by document; nothing is collec
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.dims import preset as preset_values
@@ -22,10 +25,15 @@ def compress(
     """One row per document of ``docs`` (doc_id, text): original_tokens, compressed_tokens, compression_ratio, chunks_total, chunks_kept,
     near_duplicates_removed, structural_lines_collapsed, content_type, compressed_text, diff_lines, notes (what each step did, in order).
 
-    ``min_accuracy_floor`` is accepted and has no effect. Empty or null texts give 0 tokens, no chunks and an empty text.
+    ``min_accuracy_floor`` is accepted and has no effect. Empty or null texts give 0 tokens, no chunks and an empty text. Rows are documents of their own whatever their doc_id: null and repeated ones too.
     """
     if preset:
         target_compression, dedup_threshold, min_accuracy_floor = preset_values(preset)
+    if not own_keys(docs, "doc_id"):
+        rows = numbered(docs.select("doc_id", "text"))
+        done = compress(rows.select(F.col("_row").alias("doc_id"), "text"), target_compression, dedup_threshold, content_type, model, extra_filler_patterns, use_code_blocks, summarize_log_blocks)
+        named = done.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row")
+        return named.select("doc_id", *(c for c in done.columns if c != "doc_id"))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     typed = own.withColumn("content_type", T.content_type(F.col("text")) if content_type == "auto" else F.lit(content_type))
     # What is worked out from whole texts is written: a narrow row for each document, and the pieces.
@@ -73,6 +81,17 @@ def compress(
     )
 
 
+def own_keys(rows: DataFrame, *keys: str) -> bool:
+    """Whether the keys tell all rows apart and none is null."""
+    missing = functools.reduce(Column.__or__, (F.col(k).isNull() for k in keys))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(missing | (F.col("_n") > 1)).isEmpty()
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with _row, a number of their own; written, so that it stays the same."""
+    return written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def compress_notes(grown: Column, use_code_blocks: bool, adaptive: bool) -> Column:
     """What each step of ``compress`` did with a document, in order; none for an empty text."""
     n = lambda c: F.coalesce(c, F.lit(0))
@@ -90,15 +109,14 @@ def compress_notes(grown: Column, use_code_blocks: bool, adaptive: bool) -> Colu
 
 
 def renumbered(lines: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1).cast("int").alias("idx"), "text")
 
 
-def compress_files(files: DataFrame, target_compression: float, model: str, touched: DataFrame | None = None) -> DataFrame:
-    """The common part of repositories and diffs over files (doc_id is the path, text). ``touched`` (doc_id, idx): blocks that stay and are charged first."""
-    blocks = written(chunking.code_blocks(files, python_only_by_name=True).withColumn("tokens", T.token_count(F.col("text"), model)), "blocks")
-    sized = files.select(F.col("doc_id").cast("string").alias("doc_id"), "text", T.token_count(F.col("text"), model).alias("original_tokens"))
+def compress_files(files: DataFrame, target_compression: float, model: str, touched: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The common part of repositories and diffs over files (scope, path, doc_id, text): a file's doc_id is its own, ends as its path does and follows the order of paths within a scope, the
+    repository or diff that references stay in. ``touched`` picks, of blocks, those that stay and are charged first."""
+    blocks = written(chunking.code_blocks(files, python_only_by_name=True).withColumn("tokens", T.token_count(F.col("text"), model)).withColumn("scope", F.split("doc_id", "\u0000")[0]), "blocks")
+    sized = files.select("scope", "path", "doc_id", "text", T.token_count(F.col("text"), model).alias("original_tokens"))
     if touched is None:
         changed = blocks.select("doc_id", "idx", "tokens").limit(0)
     else:
@@ -107,7 +125,7 @@ def compress_files(files: DataFrame, target_compression: float, model: str, touc
     budgets = sized.join(spent, "doc_id", "left").select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.coalesce("spent", F.lit(0)).alias("spent"))
     scored = similarity.density_scores(blocks.join(changed, ["doc_id", "idx"], "left_anti").select("doc_id", "idx", "text", "tokens"))
     kept = selection.select_under_budget(scored, budgets, first_always=touched is None).union(changed.select("doc_id", "idx"))
-    edges = written(graph.reference_edges(blocks, graph.symbol_table(blocks, None), None), "edges")
+    edges = written(graph.reference_edges(blocks, graph.symbol_table(blocks, "scope"), "scope"), "edges")
     reached = written(graph.dependency_closure(kept, edges), "closed")
     marked = blocks.join(reached, ["doc_id", "idx"], "left").join(changed.select("doc_id", "idx", F.lit(True).alias("changed")), ["doc_id", "idx"], "left")
     listed = marked.groupBy("doc_id").agg(
@@ -121,32 +139,64 @@ def compress_files(files: DataFrame, target_compression: float, model: str, touc
     # Where nothing shrinks the whole file stays, and a diff's blocks all count as kept.
     kept_count = F.when(grown & F.lit(touched is not None), F.col("blocks_total")).otherwise(F.col("n_kept"))
     return both.select(
-        F.col("doc_id").alias("path"), "original_tokens", F.least("after", "original_tokens").alias("compressed_tokens"), F.when(grown, F.col("text")).otherwise(F.col("body")).alias("compressed_text"),
+        "scope", "path", "original_tokens", F.least("after", "original_tokens").alias("compressed_tokens"), F.when(grown, F.col("text")).otherwise(F.col("body")).alias("compressed_text"),
         F.coalesce("n_changed", none).alias("changed_blocks_kept"), F.coalesce(kept_count - F.col("n_changed") - F.col("n_restored"), none).alias("context_blocks_kept"),
         F.coalesce("n_restored", none).alias("dependency_blocks_restored"), F.coalesce("blocks_total", none).alias("blocks_total"),
         F.coalesce(F.transform("all", lambda c: F.struct(c["text"].alias("text"), (c["kept"] | (grown & F.lit(touched is not None))).alias("kept"))), F.array(F.struct(F.col("text"), F.lit(True).alias("kept")))).alias("diff_lines"),
     )
 
 
+def file_key(scope: Column, path: Column, row: Column | None = None) -> Column:
+    """A file's id: within a scope in the order of paths, and with a path's ending. ``row`` tells repeated paths apart."""
+    empty = F.lit("")
+    return F.concat_ws("\u0000", F.coalesce(scope.cast("string"), empty), *([F.coalesce(path, empty), F.lpad(row.cast("string"), 20, "0")] if row is not None else []), F.coalesce(path, empty))
+
+
 def compress_repo(files: DataFrame, target_compression: float = 0.70, model: str = "default") -> DataFrame:
-    """One row per file (doc_id is its path): each under its share of the budget, with definitions restored across files."""
-    return compress_files(files.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), target_compression, model)
+    """One row per file (doc_id is its path; with a column repo, files of several repositories): each under its share of the budget, with definitions restored across the files of its repository.
+
+    Rows are files of their own: paths may be repeated, in one repository or in several, or null. Empty or null texts give 0 tokens. The columns are path and counts, and repo where ``files`` has it.
+    """
+    many = "repo" in files.columns
+    plain = files.select(F.col("repo") if many else F.lit("").alias("repo"), F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    if own_keys(plain, "repo", "path"):
+        keyed = plain.withColumn("doc_id", file_key(F.col("repo"), F.col("path")))
+    else:
+        keyed = numbered(plain).withColumn("doc_id", file_key(F.col("repo"), F.col("path"), F.col("_row")))
+    done = compress_files(keyed.withColumnRenamed("repo", "scope").select("scope", "path", "doc_id", "text"), target_compression, model).withColumnRenamed("scope", "repo")
+    return done if many else done.drop("repo")
 
 
 def compress_diff(hunks: DataFrame, files: DataFrame, target_compression: float = 0.70, model: str = "default") -> DataFrame:
-    """One row per changed file: touched blocks stay, context fills the budget, definitions are restored across the changed files."""
-    named = files.select(F.regexp_replace("doc_id", "^b/", "").alias("doc_id"), "text").filter(F.length("text") > 0)
-    wanted = named.join(hunks.select(F.col("path").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return compress_files(wanted, target_compression, model, lambda blocks: diffs.touched_blocks(blocks, hunks))
+    """One row per diff and changed file, with its diff_id: touched blocks stay, context fills the budget, definitions are restored across the changed files of its diff.
+
+    ``files`` (doc_id is the path, text) hold the contents of all diffs, or of each, with a column diff_id. Files without content are left out; ``diffs.skipped_files`` lists them.
+    """
+    held = diffs.contents(files)
+    wanted = hunks.select("diff_id", "path").distinct().join(held, [c for c in ("diff_id", "path") if c in held.columns])
+    keyed = wanted.select(F.col("diff_id").alias("scope"), "path", file_key(F.col("diff_id"), F.col("path")).alias("doc_id"), "text")
+    placed = hunks.withColumn("path", file_key(F.col("diff_id"), F.col("path")))
+    return compress_files(keyed, target_compression, model, lambda blocks: diffs.touched_blocks(blocks, placed)).withColumnRenamed("scope", "diff_id")
 
 
 def totals(files: DataFrame) -> DataFrame:
-    sums = files.agg(F.count(F.lit(1)).alias("files"), F.sum("original_tokens").alias("original_tokens"), F.sum("compressed_tokens").alias("compressed_tokens"), F.sum("dependency_blocks_restored").alias("restored"))
+    """Sums over files: of all, or of each repository or diff where ``files`` has such a column."""
+    sums = files.groupBy(*(c for c in ("repo", "diff_id") if c in files.columns)).agg(F.count(F.lit(1)).alias("files"), F.sum("original_tokens").alias("original_tokens"), F.sum("compressed_tokens").alias("compressed_tokens"), F.sum("dependency_blocks_restored").alias("restored"))
     return sums.withColumn("compression_ratio", T.ratio(F.col("original_tokens"), F.col("compressed_tokens")))
 
 
 def compress_session(turns: DataFrame, protect_recent: int = 4, target_compression: float = 0.70, model: str = "default", dedup_threshold: float | None = 0.9, min_turn_tokens: int = 20) -> DataFrame:
-    """One row per turn (conv_id, turn): role, action, original_tokens, compressed_tokens, content. Older turns are compressed as prose."""
+    """One row per turn (conv_id, turn): role, action, original_tokens, compressed_tokens, content. Older turns are compressed as prose.
+
+    Rows are turns of their own: null conversations are one, and repeated turn numbers follow each other."""
+    if not own_keys(turns, "conv_id", "turn"):
+        # Turns that the keys do not tell apart: each goes on under its place among its conversation's.
+        rows = numbered(turns.select("conv_id", "turn", "role", "content"))
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "_row")) - 1
+        rows = written(rows.select(F.to_json(F.struct(F.col("conv_id").alias("c"))).alias("_conv"), place.alias("_place"), "conv_id", "turn", "role", "content"), "placed")
+        done = compress_session(rows.select(F.col("_conv").alias("conv_id"), F.col("_place").alias("turn"), "role", "content"), protect_recent, target_compression, model, dedup_threshold, min_turn_tokens)
+        named = done.withColumnsRenamed({"conv_id": "_conv", "turn": "_place"}).join(rows.select("_conv", "_place", "conv_id", "turn"), ["_conv", "_place"])
+        return named.select("conv_id", "turn", *(c for c in done.columns if c not in ("conv_id", "turn")))
     acted = written(sessions.turn_actions(turns, protect_recent, dedup_threshold, min_turn_tokens), "turns")
     key = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")))
     squeezed = compress(acted.filter("compress").select(key.alias("doc_id"), F.col("content").alias("text")), target_compression, 0.85, "prose", model).select(F.col("doc_id").alias("_key"), "compressed_tokens", "compressed_text")

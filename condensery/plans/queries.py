@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -466,6 +467,12 @@ def compress_session(spark, d):
     return C.compress_session(turns(spark, d))
 
 
+@registered(f"WITH RECURSIVE {REPO.replace('SEMI JOIN blocks ON b = k)', 'WHERE EXISTS (SELECT 1 FROM blocks x, blocks y WHERE x.k = a AND y.k = b AND split_part(x.path, chr(47), 1) = split_part(y.path, chr(47), 1)))')} SELECT split_part(path, '/', 1) AS repo, * FROM repo")
+def compress_repos(spark, d):
+    """Each brand's files are a repository of their own: references lead nowhere else."""
+    return C.compress_repo(code_files(spark, d).withColumn("repo", F.split("doc_id", "/")[0])).drop("diff_lines")
+
+
 @registered(f"""WITH {TURNS}, {SESSION} SELECT *, greatest(0.0, CASE WHEN original_tokens > 0 THEN 1 - compressed_tokens / original_tokens ELSE 0.0 END) AS compression_ratio FROM (SELECT conv_id, count(*) AS turns_total, CAST(count_if(action <> 'dropped_duplicate') AS BIGINT) AS turns_kept,
   CAST(count_if(action = 'dropped_duplicate') AS BIGINT) AS turns_dropped_duplicate, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens FROM session GROUP BY conv_id)""")
 def session_totals(spark, d):
@@ -490,6 +497,24 @@ def parse_exports(spark, d):
     return parsed.select("conv_id", "format", F.posexplode("turns").alias("turn", "t")).select("conv_id", "format", "turn", "t.role", "t.content")
 
 
+@registered("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn, role, CASE (conv_id + turn) % 6 WHEN 1 THEN '["' || role || '"]' WHEN 2 THEN text || chr(10) || role
+  WHEN 4 THEN '[tool_use: ' || role || ']' || chr(10) || text WHEN 5 THEN '{"text": 1}' ELSE text END AS content FROM conversations WHERE length(text) > 0""")
+def export_contents(spark, d):
+    """Messages whose content is a string, a string that looks like JSON, a mixed list, an object, blocks of tools, and a string that looks like an object."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").filter(F.length("text") > 0)
+    quoted = lambda x: F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    text, role = quoted("text"), quoted("role")
+    shapes = [
+        text, F.concat(F.lit('"[\\"'), "role", F.lit('\\"]"')), F.concat(F.lit("["), text, F.lit(', "", {"type": "text", "text": '), role, F.lit("}]")), F.concat(F.lit('{"type": "text", "text": '), text, F.lit("}")),
+        F.concat(F.lit('[{"type": "tool_use", "name": '), role, F.lit('}, {"type": "image"}, {"type": "text", "text": '), text, F.lit("}]")), F.lit('"{\\"text\\": 1}"'),
+    ]
+    content = functools.reduce(lambda a, k: a.when((F.col("conv_id") + F.col("turn")) % 6 == k, shapes[k]), range(1, 6), F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, shapes[0]))
+    message = F.concat(F.lit('{"role": '), role, F.lit(', "content": '), content, F.lit("}"))
+    listed = c.select("conv_id", "turn", message.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("t"))
+    raw = F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["m"]), ","), F.lit("]"))
+    return sessions.exploded_turns(sessions.parse_exports(listed.select("conv_id", raw.alias("raw"))))
+
+
 @registered("SELECT preset, CAST(count(*) AS BIGINT) AS docs, CAST(sum(budget) AS BIGINT) AS budget FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS preset, greatest(1, round_even({tokens_sql('text')} * (1.0::DOUBLE - {v[0]}::DOUBLE), 0)) AS budget FROM documents" for n, v in PRESETS.items()) + ") GROUP BY preset")
 def preset_matrix(spark, d):
     counted = documents(spark, d).select(T.token_count(F.col("text")).alias("tokens"))
