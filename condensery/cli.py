@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .functions.dims import PRESETS, PROFILES, preset
+from .functions.storage import written
 from .operators import diffs, reports, sessions
 from .plans import compress as C
 from .sources import files as S
+from .sources.mirror import write_mirror
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="condensery")
     p.add_argument("path", nargs="?")
     p.add_argument("--repo")
+    p.add_argument("--max-files", type=int, default=500, help="files of a repository that are taken, by path; the number left out is told")
     p.add_argument("--diff", nargs="?", const="HEAD")
     p.add_argument("--diff-target-ref")
     p.add_argument("--diff-file")
@@ -27,31 +32,72 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--content-type", choices=["auto", "code", "logs", "prose"], default="auto")
     p.add_argument("--preset", choices=sorted(PRESETS))
     p.add_argument("--model", choices=sorted(PROFILES), default="default")
-    p.add_argument("--dedup-threshold", type=float, help="fixed similarity of near duplicates; without it and a preset each document takes its own")
-    p.add_argument("--out", help="folder for the compressed texts")
+    p.add_argument("--dedup-threshold", type=float, help="similarity of near duplicates; 0.85 for files, and for sessions what fits each role's turns")
+    p.add_argument("--out", help="folder for the compressed texts, each at its own relative path")
     p.add_argument("--report", help="folder for reports; Markdown if it ends in .md, else HTML")
-    p.add_argument("--quiet", action="store_true", help="no summary line on stderr")
+    p.add_argument("--quiet", action="store_true", help="no summary and notes on stderr")
     return p
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+@dataclass
+class Outcome:
+    """A run's rows, with the relative path and the banner of each, and one-row or small tables of its summary and notes."""
+
+    rows: DataFrame
+    path: Column
+    text: str = "compressed_text"
+    banner: Column | None = None
+    told: list[DataFrame] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
+
+
+def banner(*counts: Column) -> Column:
+    """The line above a file's text."""
+    inside = F.concat(F.format_string("%d -> %d tokens", "original_tokens", "compressed_tokens"), *counts)
+    return F.concat(F.lit("----- "), F.col("path"), F.lit(" ("), inside, F.lit(") -----"))
+
+
+def outcome(spark: SparkSession, args: argparse.Namespace) -> Outcome:
     target = args.target if args.target is not None else preset(args.preset)[0] if args.preset else 0.70
-    if sum(x is not None for x in (args.path, args.repo, args.diff_file, args.session)) + (args.diff is not None and args.repo is None) != 1:
+    if sum(x is not None for x in (args.path, args.diff_file, args.session)) + (args.repo is not None and args.diff is None and args.diff_file is None) + (args.diff is not None) != 1:
         raise ValueError("give one of: a path, --repo, --diff, --diff-file, --session")
     if args.session:
-        parsed = sessions.parse_exports(S.read_texts(spark, args.session).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("raw")))
-        return C.session_messages(C.compress_session(sessions.exploded_turns(parsed), args.protect_recent, target, args.model, args.dedup_threshold)).withColumnRenamed("messages", "compressed_text")
-    if args.repo and args.diff is None:
-        return C.compress_repo(S.read_code(spark, args.repo), target, args.model)
+        parsed = sessions.parse_exports(S.read_texts(spark, args.session).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("raw")), strict=True)
+        parsed = written(parsed, "parsed")
+        turns = written(C.compress_session(sessions.exploded_turns(parsed), args.protect_recent, target, args.model, args.dedup_threshold), "turns")
+        told = reports.session_summary(C.session_totals(turns)).join(reports.session_notes(turns.join(parsed.select("conv_id", "format"), "conv_id")), "conv_id")
+        messages = C.session_messages(turns).withColumnRenamed("messages", "compressed_text")
+        return Outcome(messages, F.concat(relative(F.col("conv_id"), args.session), F.lit(".json")), told=[told])
+    if args.repo and args.diff is None and args.diff_file is None:
+        files, left_out = S.code_files(spark, args.repo, max_files=args.max_files)
+        done = written(C.compress_repo(files, target, args.model), "repo")
+        told = reports.repo_notes(reports.repo_summary(C.totals(done)), args.repo)
+        notes = [f"left out {left_out} file(s) beyond the first {args.max_files}"] if left_out else []
+        return Outcome(done, relative(F.col("path"), args.repo), banner=banner(), told=[told], notes=notes)
     if args.diff is not None or args.diff_file:
         root = args.repo or "."
         diff = S.read_texts(spark, args.diff_file).withColumnRenamed("doc_id", "diff_id") if args.diff_file else S.git_diff(spark, root, args.diff, args.diff_target_ref)
-        hunks = diffs.parse_hunks(diff)
-        # A diff's paths are few: their contents come from the work tree on the driver.
-        found = [(r["path"], S.file_at(root, args.diff_target_ref, r["path"])) for r in hunks.select("path").distinct().collect()]
-        return C.compress_diff(hunks, spark.createDataFrame(found, "doc_id string, text string"), target, args.model)
-    threshold = args.dedup_threshold if args.dedup_threshold is not None else preset(args.preset)[1] if args.preset else None
-    return C.compress(S.read_texts(spark, args.path), target, threshold, args.content_type, args.model)
+        hunks = written(diffs.parse_hunks(diff), "hunks")
+        contents = written(S.files_at(hunks.select("path").distinct(), root, args.diff_target_ref), "contents")
+        done = written(C.compress_diff(hunks, contents, target, args.model), "diff")
+        told = reports.diff_notes(reports.diff_summary(C.totals(done.drop("diff_id"))), hunks, diffs.skipped_files(hunks, contents))
+        counts = F.format_string(", %d changed block(s) kept, %d dependency block(s) restored", "changed_blocks_kept", "dependency_blocks_restored")
+        return Outcome(done, F.col("path"), banner=banner(counts), told=[told])
+    threshold = args.dedup_threshold if args.dedup_threshold is not None else preset(args.preset)[1] if args.preset else 0.85
+    done = written(C.compress(S.read_texts(spark, args.path), target, threshold, args.content_type, args.model), "texts")
+    return Outcome(done, relative(F.col("doc_id"), args.path))
+
+
+def relative(path: Column, root: str) -> Column:
+    """``path`` below ``root``; of a single file its name."""
+    plain = lambda c: F.regexp_replace(c, r"^\w+:/*", "/")
+    base = root.split("://")[-1].rstrip("/")
+    below = F.substring_index(plain(path), base.lstrip("./") + "/", -1)
+    return F.when(F.endswith(plain(path), F.lit(base)), F.substring_index(path, "/", -1)).otherwise(below)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    return outcome(spark, args).rows
 
 
 def summary_line(result: DataFrame) -> str | None:
@@ -78,20 +124,45 @@ def row_notes(result: DataFrame) -> Column:
     return F.array_compact(F.array(F.concat(F.lit("file: "), "path"), F.when(restored > 0, F.format_string("cross-file dependency closure restored %d block(s)", restored))))
 
 
-def main() -> None:
-    args = parser().parse_args()
+def printed(done: Outcome) -> Iterator[str]:
+    """Every text, in order, a partition at a time: with its banner and a blank line behind it where texts are files."""
+    rows = done.rows.select(done.path.alias("_path"), F.col(done.text).alias("_text"), (done.banner if done.banner is not None else F.lit(None).cast("string")).alias("_banner"))
+    for row in rows.orderBy("_path").toLocalIterator():
+        yield f"{row['_banner']}\n{row['_text']}\n" if row["_banner"] is not None else row["_text"] or ""
+
+
+def told(done: Outcome) -> Iterator[str]:
+    """The summary, and notes below it."""
+    if not done.told:
+        yield summary_line(done.rows)
+    for table in done.told:
+        for row in table.toLocalIterator():
+            yield row["summary"]
+            yield from (f"  {note}" for note in row["notes"])
+    yield from (f"  {note}" for note in done.notes)
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("condensery").getOrCreate()
-    result = run(spark, args).persist()
-    if args.report and "diff_lines" in result.columns:
-        text = reports.report(F.lit(args.report), F.lit("Compression report"), row_summary(result), row_notes(result), F.col("diff_lines"))
-        S.write_texts(result.select(text.alias("text")), args.report)
+    try:
+        done = outcome(spark, args)
+    except ValueError as error:
+        print(f"error: {error}", file=sys.stderr)
+        return 1
+    if args.report and "diff_lines" in done.rows.columns:
+        text = reports.report(F.lit(args.report), F.lit("Compression report"), row_summary(done.rows), row_notes(done.rows), F.col("diff_lines"))
+        S.write_texts(done.rows.select(text.alias("text")), args.report)
     if args.out:
-        S.write_texts(result, args.out, "compressed_text")
+        write_mirror(done.rows.select(done.path.alias("path"), F.col(done.text).alias("text")), args.out)
     else:
-        result.select("compressed_text").show(20, False)
-    if not args.quiet and (line := summary_line(result)):
-        print(line, file=sys.stderr)
+        for text in printed(done):
+            print(text)
+    if not args.quiet:
+        for line in told(done):
+            print(line, file=sys.stderr)
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())
