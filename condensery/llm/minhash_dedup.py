@@ -27,8 +27,8 @@ from .suffix_dedup import numbered
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
 BANDS, ROWS = 36, 7
-#: Bands of the second signature: a pair at 0.8 misses all of them once in 250, one at 0.7 shares a given band once in 1,250.
-FINE_BANDS, FINE_ROWS = 480, 20
+#: Bands of the second signature and its registers, of which each band is a drawn subset: a pair at 0.8 misses all bands about once in 150, one at 0.7 shares a given band once in 1,250.
+FINE_BANDS, FINE_ROWS, FINE_REGISTERS = 480, 20, 1_200
 #: Members of a bucket, at most, that a round compares with the others.
 SLOTS = 8
 #: Members of a bucket, at most, whose members of different components are all compared.
@@ -156,8 +156,9 @@ def verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def finely_banded(bagged: DataFrame, bands: int, rows: int) -> DataFrame:
-    """rep and the band hashes of its bag's second signature."""
+def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FINE_REGISTERS) -> DataFrame:
+    """rep and the band hashes of its bag's second signature. Bands share registers: a signature's cost grows with its registers, while its power to tell bags apart comes from many long bands."""
+    drawn = np.argsort(np.random.default_rng(rows).random((bands, registers)), axis=1)[:, :rows].reshape(-1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,27 +177,27 @@ def finely_banded(bagged: DataFrame, bands: int, rows: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     # Other arrivals than those of the first signature.
                     elements = mix64(np.concatenate(held) ^ np.uint64(0xA0761D6478BD642F))
-                keys = band_keys(signatures(owner, elements, weights, len(held), bands * rows), bands, rows)
+                keys = band_keys(signatures(owner, elements, weights, len(held), registers)[:, drawn], bands, rows)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], key_lists(keys)], ["rep", "bands"])
 
     return bagged.select("doc_id", "bag", "counts").mapInArrow(sign, "rep long, bands array<long>")
 
 
-def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
     """(a, b) of further links between members (key, rep, root) of a bucket that are in different components.
 
     A round compares a few members of each bucket, of its smallest components, with those of its other components, but for pairs seen before; they have
-    then met all of them and leave the bucket. Buckets close when one component is left, so comparisons grow with members and rounds and no
-    round makes all pairs of a bucket.
+    then met all of them and leave the bucket. A bucket with ``small`` members left is compared at once. Buckets close when one component is left, so comparisons grow with members and
+    rounds and no round makes all pairs of a large bucket.
     """
     open_, found, held, turn = members, None, [], 0
     while True:
         turn += 1
         sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")), "sizes")
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key")
+        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("left")).filter("roots > 1").select("key", (F.col("left") <= small).alias("few"))
         # The smallest components first: some at once, one of each slot.
         slot = F.pmod(F.xxhash64("least"), F.lit(SLOTS))
-        turns = written(sizes.join(mixed, "key").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct(F.col("least").alias("hub"), F.col("root").alias("own")), F.struct("n", "least")).alias("x")).select("key", "x.hub", "x.own"), "turns")
+        turns = written(sizes.join(mixed, "key").groupBy("key", "few", slot.alias("slot")).agg(F.min_by(F.struct(F.col("least").alias("hub"), F.col("root").alias("own")), F.struct("n", "least")).alias("x")).select("key", "few", "x.hub", "x.own"), "turns")
         if turns.isEmpty():
             forget(sizes, turns)
             return found
@@ -206,14 +207,17 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
             found = written(found, "found") if found is not None else None
             forget(*held)
             held = [seen]
-        now = written(open_.join(turns.select("key").distinct(), "key"), "now")
-        pairs = now.join(turns, "key").filter("root <> own").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
+        now = written(open_.join(turns.select("key", "few").distinct(), "key"), "now")
+        few = now.filter("few")
+        at_once = few.select("key", F.col("rep").alias("hub"), F.col("root").alias("own")).join(few.select("key", "rep", "root"), "key").filter("hub > rep AND own <> root")
+        pairs = now.filter("NOT few").join(turns.filter("NOT few").select("key", "hub", "own"), "key").filter("root <> own").select("hub", "rep").union(at_once.select("hub", "rep"))
+        pairs = pairs.select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
         near = written(verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
-        links = near.filter(F.col("similarity") >= similarity).select("a", "b")
+        links = near.filter(F.col("similarity") >= similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         found = links if found is None else found.union(links)
         seen = seen.select("a", "b").union(near.select("a", "b"))
         held.append(near)
-        left = now.join(turns.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        left = now.filter("NOT few").select("key", "rep", "root").join(turns.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
         if not links.isEmpty():
             # Components that have met go on as one; links of a round are between roots that the round knows.
             roots = now.select(F.col("rep").alias("id"), "root").distinct()
@@ -279,7 +283,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     dealt = written(open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1), "fine-members").select("key", "rep")
     near, links = few_left(dealt, roots, near, links, bagged, similarity, small)
     roots = written(components(links), "roots")
-    more = settled(written(open_members(dealt, roots, small), "fine-open"), bagged, near, similarity)
+    more = settled(written(open_members(dealt, roots, small), "fine-open"), bagged, near, similarity, small)
     every = links if more is None else links.union(more)
     every = written(every.distinct(), "every")
     final = components(every)
