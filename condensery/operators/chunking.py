@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from . import prefix
 
 BLOCKS = "doc_id string, idx int, text string, start_line int, end_line int, defines array<string>, strategy string"
 
@@ -41,14 +42,12 @@ def typed_chunks(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "content_type", F.posexplode_outer(chunks).alias("idx", "text")).filter("idx IS NOT NULL")
 
 
-def records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
     """``lines`` (doc_id, idx, text) with record_id: a record begins at a marked line or a blank one, and after a blank one."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("idx")
     blank = T.is_blank(F.col("text"))
-    begins = blank | T.starts_record(F.col("text")) | F.coalesce(F.lag(blank).over(w), F.lit(True))
-    return lines.withColumn("_begins", begins.cast("int")).withColumn("record_id", F.sum("_begins").over(w).cast("int")).drop("_begins")
+    begins = blank | T.starts_record(F.col("text")) | F.coalesce("_after_blank", F.lit(True))
+    counted = prefix.running(prefix.previous(lines, block, _after_blank=blank), "record_id", begins.cast("int"), block)
+    return counted.drop("_after_blank").withColumn("record_id", F.col("record_id").cast("int"))
 
 
 def joined_chunks(chunks: DataFrame, separator: str) -> DataFrame:

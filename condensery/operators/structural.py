@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from . import prefix
 from .chunking import records
 
 
-def in_order(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy("idx")
-
-
-def collapse_blank_runs(lines: DataFrame) -> DataFrame:
+def collapse_blank_runs(lines: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
     """The first line of each run of blank ones stays."""
     blank = T.is_blank(F.col("text"))
-    again = blank & F.coalesce(F.lag(blank).over(in_order("doc_id")), F.lit(False))
-    return lines.withColumn("_again", again).filter(~F.col("_again")).drop("_again")
+    return prefix.previous(lines, block, _after_blank=blank).filter(~(blank & F.coalesce("_after_blank", F.lit(False)))).drop("_after_blank")
 
 
 def collapse_similar_lines(lines: DataFrame) -> DataFrame:
@@ -34,11 +30,10 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     return counts.select("doc_id", F.col("_first.idx").alias("idx"), F.col("_first.text").alias("text"), "n_similar")
 
 
-def summarize_repeated_blocks(lines: DataFrame, min_block_lines: int = 2, min_repeats: int = 3) -> DataFrame:
+def summarize_repeated_blocks(lines: DataFrame, min_block_lines: int = 2, min_repeats: int = 3, block: int = prefix.BLOCK) -> DataFrame:
     """Runs of equal records of several lines become their first record, with a note on its last line. Adds n_blocks: records left out behind that line, and block_head: the record's first line."""
-    timestamp = F.regexp_extract("head", T.TIMESTAMP, 0)
     per_record = (
-        records(lines).groupBy("doc_id", "record_id")
+        records(lines, block).groupBy("doc_id", "record_id")
         .agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("body"), F.min("idx").alias("idx"))
         .withColumns({
             "head": F.col("body")[0]["text"],
@@ -46,11 +41,15 @@ def summarize_repeated_blocks(lines: DataFrame, min_block_lines: int = 2, min_re
             "long": (F.size("body") >= min_block_lines) & F.exists("body", lambda b: ~T.is_blank(b["text"])),
         })
     )
-    w = in_order("doc_id")
-    new = ~(F.col("long") & F.coalesce((F.lag("key").over(w) == F.col("key")) & F.lag("long").over(w), F.lit(False)))
-    islands = per_record.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w))
-    runs = islands.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "island")), "k": F.row_number().over(in_order("doc_id", "island")), "first": timestamp, "last": F.last(timestamp).over(in_order("doc_id", "island").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    kept = runs.filter((F.col("n") < min_repeats) | (F.col("k") == 1))
+    # Of the record before, whether it is of several lines and which.
+    before = prefix.previous(per_record, block, _key=F.when(F.col("long"), F.col("key")))
+    new = ~(F.col("long") & F.coalesce(F.col("_key") == F.col("key"), F.lit(False)))
+    islands = prefix.running(before, "island", new.cast("int"), block).drop("_key")
+    # A run of any length is a sum, not a group that meets in one task.
+    timestamp = F.regexp_extract("head", T.TIMESTAMP, 0)
+    sums = islands.groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("begins"), F.min_by(timestamp, "idx").alias("first"), F.max_by(timestamp, "idx").alias("last"))
+    runs = islands.withColumnRenamed("island", "_own").join(sums.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("island"))).drop("_doc", "_own")
+    kept = runs.filter((F.col("n") < min_repeats) | (F.col("idx") == F.col("begins")))
     span = F.when(F.col("first") != "", F.concat(F.lit(", "), F.col("first"), F.lit(" .. "), F.when(F.col("last") != "", F.col("last")).otherwise(F.col("first")))).otherwise("")
     note = F.when(F.col("n") >= min_repeats, F.concat(F.format_string("  [repeated block x%d", F.col("n")), span, F.lit("]"))).otherwise("")
     size = F.size("body")
