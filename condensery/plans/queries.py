@@ -411,7 +411,19 @@ def touched_blocks(spark, d):
     return diffs.touched_blocks(chunking.code_blocks(code_files(spark, d), True), diffs.parse_hunks(diff_texts(spark, d))).select("doc_id", "idx", "start_line", "end_line")
 
 
-@registered()
+DIFF = f"""{BLOCKS}, {HUNKS}, touched AS MATERIALIZED (SELECT DISTINCT b.path, idx, k, text FROM placed b JOIN hunks h ON b.path = h.path AND start_line <= new_end AND new_start <= end_line),
+  own AS MATERIALIZED (SELECT * FROM blocks SEMI JOIN hunks USING (path)), chunks AS MATERIALIZED (SELECT path AS doc_id, idx, text FROM own ANTI JOIN touched USING (k)),
+  texts AS (SELECT path AS doc_id, string_agg(text || chr(10), chr(10) ORDER BY idx) AS text FROM own GROUP BY path), spent AS (SELECT path AS doc_id, sum({tokens_sql("text")}) AS spent FROM touched GROUP BY path),
+  {put(SCORES, chunks="chunks")}, {put(SELECTED, docs="texts", target=0.7).replace(" OR len(a.keep) = 0", "").replace("JOIN budgets USING", "JOIN (SELECT doc_id, budget - coalesce(spent, 0) AS budget FROM budgets LEFT JOIN spent USING (doc_id)) USING")},
+  edges AS (SELECT k AS a, CASE WHEN k % 3 = 0 THEN prior WHEN k % 3 = 1 THEN k + 1 END AS b, path FROM (SELECT k, path, lag(k) OVER (PARTITION BY path ORDER BY k) AS prior FROM own)), known AS (SELECT a, b FROM edges e SEMI JOIN own o ON e.b = o.k AND e.path = o.path),
+  chosen AS MATERIALIZED (SELECT k FROM own b JOIN kept s ON b.path = s.doc_id AND b.idx = s.idx UNION SELECT k FROM touched), reached AS (SELECT k FROM chosen UNION SELECT b FROM reached JOIN known ON a = k),
+  files AS (SELECT b.path, string_agg(b.text, chr(10) || chr(10) ORDER BY b.idx) FILTER (r.k IS NOT NULL) AS body, count(*) AS n, count(r.k) AS n_kept, count(t.k) AS n_changed, count(r.k) - count(c.k) AS n_restored
+    FROM own b LEFT JOIN reached r ON r.k = b.k LEFT JOIN chosen c ON c.k = b.k LEFT JOIN touched t ON t.k = b.k GROUP BY b.path)"""
+
+
+@registered(f"""WITH RECURSIVE {DIFF} SELECT path AS diff_id, path, original_tokens, CAST(least(after, original_tokens) AS INTEGER) AS compressed_tokens, CASE WHEN after >= original_tokens THEN whole ELSE coalesce(body, '') END AS compressed_text, CAST(n_changed AS INTEGER) AS changed_blocks_kept,
+  CAST(CASE WHEN after >= original_tokens THEN n ELSE n_kept END - n_changed - n_restored AS INTEGER) AS context_blocks_kept, CAST(n_restored AS INTEGER) AS dependency_blocks_restored, CAST(n AS INTEGER) AS blocks_total
+  FROM (SELECT *, {tokens_sql("coalesce(body, '')")} AS after FROM files) JOIN budgets ON doc_id = path""")
 def compress_diff(spark, d):
     return C.compress_diff(diffs.parse_hunks(diff_texts(spark, d)), code_files(spark, d)).drop("diff_lines")
 
