@@ -29,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Bands of the second signature and its registers, of which each band is a drawn subset: a pair at 0.8 misses all bands about once in 150, one at 0.7 shares a given band once in 1,250.
 FINE_BANDS, FINE_ROWS, FINE_REGISTERS = 480, 20, 1_200
-#: Members of a bucket, at most, that a round compares with the others.
+#: Members of a bucket, at most, that the first round compares with the others; twice as many in each later one, as fewer are left.
 SLOTS = 8
 #: Members of a bucket, at most, whose members of different components are all compared.
 SMALL = 32
@@ -196,7 +196,7 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
         sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")), "sizes")
         mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("left")).filter("roots > 1").select("key", (F.col("left") <= small).alias("few"))
         # The smallest components first: some at once, one of each slot.
-        slot = F.pmod(F.xxhash64("least"), F.lit(SLOTS))
+        slot = F.pmod(F.xxhash64("least"), F.lit(SLOTS << min(turn - 1, 6)))
         turns = written(sizes.join(mixed, "key").groupBy("key", "few", slot.alias("slot")).agg(F.min_by(F.struct(F.col("least").alias("hub"), F.col("root").alias("own")), F.struct("n", "least")).alias("x")).select("key", "few", "x.hub", "x.own"), "turns")
         if turns.isEmpty():
             forget(sizes, turns)
