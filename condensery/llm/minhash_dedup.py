@@ -184,7 +184,7 @@ def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FIN
 
 
 def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
-    """(a, b) of further links between members (key, rep, root) of a bucket that are in different components.
+    """(a, b) of further links between members (key, rep, root) of a bucket that are in different components; each bucket has several, and more than ``small`` members.
 
     A round compares a few members of each bucket, of its smallest components, with those of its other components, but for pairs seen before; they have
     then met all of them and leave the bucket. A bucket with ``small`` members left is compared at once. Buckets close when one component is left, so comparisons grow with members and
@@ -207,7 +207,8 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
             found = written(found, "found") if found is not None else None
             forget(*held)
             held = [seen]
-        now = written(open_.join(turns.select("key", "few").distinct(), "key"), "now")
+        # At first all members are of open buckets.
+        now = open_.withColumn("few", F.lit(False)) if turn == 1 else written(open_.join(turns.select("key", "few").distinct(), "key"), "now")
         few = now.filter("few")
         at_once = few.select("key", F.col("rep").alias("hub"), F.col("root").alias("own")).join(few.select("key", "rep", "root"), "key").filter("hub > rep AND own <> root")
         pairs = now.filter("NOT few").join(turns.filter("NOT few").select("key", "hub", "own"), "key").filter("root <> own").select("hub", "rep").union(at_once.select("hub", "rep"))
@@ -225,7 +226,7 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
             merged = written(merged.select(F.col("id").alias("root"), F.col("root").alias("into")), "merged")
             left = left.join(merged, "root", "left").select("key", "rep", F.coalesce("into", "root").alias("root"))
         open_, before = written(left, "open"), open_
-        forget(sizes, turns, now, *([before] if before is not members else []))
+        forget(sizes, turns, *([now, before] if turn > 1 else []))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -274,16 +275,19 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     links = near.filter(F.col("similarity") >= similarity).select("a", "b")
     entries = written(members.select("key", "rep"), "bucket-members")
     roots = written(components(links), "roots")
-    near, links = few_left(entries, roots, near, links, bagged, similarity, small)
+    # With two members the hub has met the other.
+    first = open_members(entries, roots, 2)
+    near, links = few_left(first, near, links, bagged, similarity, small)
     roots = written(components(links), "roots")
     # Members of large buckets that hold several components.
-    inside = written(open_members(entries, roots, small).select("rep", "root").distinct(), "inside")
+    large = open_members(first.filter(F.col("n") > small).select("key", "rep"), roots, small)
+    inside = written(large.select("rep").distinct(), "inside")
     fine = written(finely_banded(bagged.join(inside.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), fine_bands, fine_rows), "fine")
-    # Buckets of one member have nothing to compare.
-    dealt = written(open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1), "fine-members").select("key", "rep")
-    near, links = few_left(dealt, roots, near, links, bagged, similarity, small)
+    second = open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1)
+    near, links = few_left(second, near, links, bagged, similarity, small)
     roots = written(components(links), "roots")
-    more = settled(written(open_members(dealt, roots, small), "fine-open"), bagged, near, similarity, small)
+    last = open_members(second.filter(F.col("n") > small).select("key", "rep"), roots, small)
+    more = settled(last.drop("n"), bagged, near, similarity, small)
     every = links if more is None else links.union(more)
     every = written(every.distinct(), "every")
     final = components(every)
@@ -292,7 +296,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
     sized = written(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     sizes = written(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
-    forget(signed, reps, members, entries, hubs, stars, wanted, bagged, inside, fine, every, classes)
+    forget(signed, reps, members, entries, hubs, stars, wanted, bagged, first, large, inside, fine, second, last, every, classes)
     # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
     heavy = written(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
     mapped = sized.join(F.broadcast(heavy), "group_id")
@@ -303,21 +307,18 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
 
 
 def open_members(entries: DataFrame, roots: DataFrame, above: int) -> DataFrame:
-    """(key, rep, root) of the buckets of ``entries`` (key, rep) that hold several components and more than ``above`` members."""
+    """(key, rep, root, n) of the buckets of ``entries`` (key, rep) that hold several components and more than ``above`` members, written; n: a bucket's members."""
     rooted = entries.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter((F.col("low") < F.col("high")) & (F.col("n") > above))
-    return rooted.join(written(keys.select("key"), "open-keys").hint("merge"), "key")
+    return written(rooted.join(written(keys.select("key", "n"), "open-keys").hint("merge"), "key"), "open")
 
 
-def few_left(entries: DataFrame, roots: DataFrame, near: DataFrame, links: DataFrame, bagged: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """``near`` and ``links`` with those between members of different components of a bucket with at most ``small`` members: each row meets fewer than ``small`` others."""
-    rooted = open_members(entries, roots, 2)
-    counted = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= small).select("key")
-    few = written(rooted.join(counted, "key"), "few")
+def few_left(open_: DataFrame, near: DataFrame, links: DataFrame, bagged: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """``near`` and ``links`` with those between members of different components of a bucket of ``open_`` with at most ``small`` members: each row meets fewer than ``small`` others."""
+    few = open_.filter(F.col("n") <= small)
     one, two = few.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a")), few.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
     pairs = one.join(two, "key").filter("a > b AND root_a <> root_b").select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     met = written(verified(pairs, bagged), "near")
-    forget(few)
     return near.unionByName(met), links.union(met.filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
