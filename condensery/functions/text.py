@@ -8,7 +8,12 @@ from .dims import CODE_KEYWORDS, FILLER_PATTERNS, PROFILES, STOP_WORDS
 
 #: What strip() takes away: every character that counts as white space.
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-# Patterns of terms, numbers, records, timestamps and line breaks.
+# Patterns of terms, numbers, records, timestamps and line breaks, of lines of code and logs, names, pull requests, and a judge's fallback reason.
+CODE_LINE = r"(?md)^\s*(def |class |import |function |const |let |var |#include)"
+LOG_LINE = r"(?md)^\s*\[?\d{4}-\d{2}-\d{2}|(?md)^\s*(INFO|DEBUG|WARN|ERROR)\b"
+NAME = r"\b[A-Za-z_][A-Za-z0-9_]*\b"
+PULL_ADDRESS, PULL_SHORT = r"github\.com/([^/\s]+)/([^/\s]+?)(?:\.git)?/pull/(\d+)", r"^([^/\s]+)/([^/#\s]+?)(?:\.git)?#(\d+)$"
+NO_JSON = "judge response was not valid JSON; fell back to keyword match"
 TERM = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-.]*[\p{L}\p{N}_])?"
 NUMBER = r"\b\d[\d:,.\-T]*\d\b|\b\d+\b"
 RECORD_START = r"^\s*(\[?\d{4}-\d{2}-\d{2}|(INFO|DEBUG|WARN|WARNING|ERROR|CRITICAL|Traceback)\b)"
@@ -43,8 +48,8 @@ def ratio(before: Column, after: Column) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    code = F.regexp_count(text, F.lit(r"(?md)^\s*(def |class |import |function |const |let |var |#include)"))
-    logs = F.regexp_count(text, F.lit(r"(?md)^\s*\[?\d{4}-\d{2}-\d{2}|(?md)^\s*(INFO|DEBUG|WARN|ERROR)\b"))
+    code = F.regexp_count(text, F.lit(CODE_LINE))
+    logs = F.regexp_count(text, F.lit(LOG_LINE))
     return F.when((logs > code) & (logs > 2), "logs").when(code > 2, "code").otherwise("prose")
 
 
@@ -71,7 +76,7 @@ def terms(text: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0))), F.array(*map(F.lit, CODE_KEYWORDS))))
+    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0))), F.array(*map(F.lit, CODE_KEYWORDS))))
 
 
 def is_filler(text: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -126,7 +131,7 @@ def judgement(raw: Column) -> Column:
     is_object = F.coalesce(F.startswith(F.schema_of_variant(reply), F.lit("OBJECT")), F.lit(False))
     return F.struct(
         F.when(is_object, F.coalesce(holds, F.lit(False))).otherwise(F.contains(F.left(F.lower(raw), F.lit(20)), F.lit("true"))).alias("agrees"),
-        F.when(is_object, F.coalesce(F.try_variant_get(reply, "$.reason", "string"), F.lit(""))).otherwise("judge response was not valid JSON; fell back to keyword match").alias("reason"),
+        F.when(is_object, F.coalesce(F.try_variant_get(reply, "$.reason", "string"), F.lit(""))).otherwise(NO_JSON).alias("reason"),
     )
 
 
@@ -136,6 +141,5 @@ def short_count(n: Column) -> Column:
 
 def pull_request(reference: Column) -> Column:
     """owner, repo and number of a pull-request address or ``owner/repo#n``; nulls if it is neither."""
-    url, short = r"github\.com/([^/\s]+)/([^/\s]+?)(?:\.git)?/pull/(\d+)", r"^([^/\s]+)/([^/#\s]+?)(?:\.git)?#(\d+)$"
-    part = lambda k: F.coalesce(*(F.nullif(F.regexp_extract(strip(reference), p, k), F.lit("")) for p in (url, short)))
+    part = lambda k: F.coalesce(*(F.nullif(F.regexp_extract(strip(reference), p, k), F.lit("")) for p in (PULL_ADDRESS, PULL_SHORT)))
     return F.struct(part(1).alias("owner"), part(2).alias("repo"), part(3).cast("int").alias("number"))

@@ -1,4 +1,4 @@
-"""Reports as text columns: summaries, notes, Markdown, HTML."""
+"""Reports as text columns: summaries, notes, Markdown, HTML. The wording of summaries, notes and headings is fixed values: readers of such reports expect it."""
 
 from __future__ import annotations
 
