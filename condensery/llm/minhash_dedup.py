@@ -29,8 +29,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Bands of the second signature and its registers, of which each band is a drawn subset: a pair at 0.8 misses all bands about once in 150, one at 0.7 shares a given band once in 1,250.
 FINE_BANDS, FINE_ROWS, FINE_REGISTERS = 480, 20, 1_200
-#: Members of a bucket, at most, that the first round compares with the others; twice as many in each later one, as fewer are left.
-SLOTS = 8
+#: Members of a bucket, at most, that the first round compares with the others; four times as many in each later one, as fewer are left.
+SLOTS = 4
 #: Members of a bucket, at most, whose members of different components are all compared.
 SMALL = 32
 #: Rounds after which what has been seen is written as one table.
@@ -124,11 +124,17 @@ def bags(docs: DataFrame, words: int) -> DataFrame:
 
 def probability_jaccard(x: np.ndarray, xc: np.ndarray, y: np.ndarray, yc: np.ndarray) -> float:
     """Exact J_P of two bags given as sorted hashes with counts: the sum over shared i of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
-    _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(x) or not len(y):
+        return 0.0
+    # Both are sorted: the places of y's elements in x.
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    iy = np.flatnonzero(x[at] == y)
+    ix = at[iy]
     if not len(ix):
         return 0.0
     a, b = xc[ix].astype(np.float64), yc[iy].astype(np.float64)
-    kinds, n = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    both, n = np.unique(xc[ix].astype(np.uint64) << np.uint64(32) | yc[iy].astype(np.uint64), return_counts=True)
+    kinds = np.stack([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)]).astype(np.float64)
     only_x, only_y = xc.sum() - a.sum(), yc.sum() - b.sum()
     # Elements with the same two counts give the same term.
     below = only_x / kinds[0] + only_y / kinds[1] + (np.maximum(kinds[0][None, :] / kinds[0][:, None], kinds[1][None, :] / kinds[1][:, None]) * n).sum(1)
@@ -186,18 +192,19 @@ def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FIN
 def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
     """(a, b) of further links between members (key, rep, root) of a bucket that are in different components; each bucket has several, and more than ``small`` members.
 
-    A round compares a few members of each bucket, of its smallest components, with those of its other components, but for pairs seen before; they have
+    A round compares a few members of each bucket, of all its components but the largest and from the smallest on, with those of its other components, but for pairs seen before; they have
     then met all of them and leave the bucket. A bucket with ``small`` members left is compared at once. Buckets close when one component is left, so comparisons grow with members and
     rounds and no round makes all pairs of a large bucket.
     """
     open_, found, held, turn = members, None, [], 0
     while True:
         turn += 1
-        sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")), "sizes")
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("left")).filter("roots > 1").select("key", (F.col("left") <= small).alias("few"))
-        # The smallest components first: some at once, one of each slot.
-        slot = F.pmod(F.xxhash64("least"), F.lit(SLOTS << min(turn - 1, 6)))
-        turns = written(sizes.join(mixed, "key").groupBy("key", "few", slot.alias("slot")).agg(F.min_by(F.struct(F.col("least").alias("hub"), F.col("root").alias("own")), F.struct("n", "least")).alias("x")).select("key", "few", "x.hub", "x.own"), "turns")
+        sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("left"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+        smaller = sizes.join(mixed.filter("roots > 1"), "key").filter("root <> largest").select("key", "root", "n", (F.col("left") <= small).alias("few"))
+        # The smallest components first: some members at once, one of each slot.
+        slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS << min(2 * turn - 2, 16)))
+        turns = written(open_.join(smaller, ["key", "root"]).groupBy("key", "few", slot.alias("slot")).agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("root").alias("own")), F.struct("n", "rep")).alias("x")).select("key", "few", "x.hub", "x.own"), "turns")
         if turns.isEmpty():
             forget(sizes, turns)
             return found
@@ -273,18 +280,15 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     bagged = written(bags(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "bags")
     near = written(verified(stars, bagged).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "similarity"), "near")
     links = near.filter(F.col("similarity") >= similarity).select("a", "b")
-    entries = written(members.select("key", "rep"), "bucket-members")
+    entries = members.select("key", "rep")
     roots = written(components(links), "roots")
     # With two members the hub has met the other.
     first = open_members(entries, roots, 2)
-    near, links = few_left(first, near, links, bagged, similarity, small)
-    roots = written(components(links), "roots")
     # Members of large buckets that hold several components.
-    large = open_members(first.filter(F.col("n") > small).select("key", "rep"), roots, small)
-    inside = written(large.select("rep").distinct(), "inside")
+    inside = written(first.filter(F.col("n") > small).select("rep").distinct(), "inside")
     fine = written(finely_banded(bagged.join(inside.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), fine_bands, fine_rows), "fine")
     second = open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1)
-    near, links = few_left(second, near, links, bagged, similarity, small)
+    near, links = few_left(first.unionByName(second), near, links, bagged, similarity, small)
     roots = written(components(links), "roots")
     last = open_members(second.filter(F.col("n") > small).select("key", "rep"), roots, small)
     more = settled(last.drop("n"), bagged, near, similarity, small)
@@ -296,7 +300,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
     sized = written(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     sizes = written(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
-    forget(signed, reps, members, entries, hubs, stars, wanted, bagged, first, large, inside, fine, second, last, every, classes)
+    forget(signed, reps, members, hubs, stars, wanted, bagged, first, inside, fine, second, last, every, classes)
     # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
     heavy = written(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
     mapped = sized.join(F.broadcast(heavy), "group_id")
