@@ -63,6 +63,17 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "block"))), lambda b: b["block"]), "\n").alias("text"))
 
 
+def outline_files(spark: SparkSession, d: str) -> DataFrame:
+    """One outline, not Python, for each customer: a line for each order, its items below it, and a deeper line below each returned item."""
+    order = F.concat(F.lit("order_"), "o_orderkey", F.lit(":"))
+    item = F.concat(F.lit("  part_"), "l_partkey", F.lit(": "), F.col("l_quantity").cast("int"), F.when(F.col("l_returnflag") == "R", "\n    returned").otherwise(""))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    items = o.join(spark.read.parquet(f"{d}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
+    x = o.select("o_custkey", "o_orderkey", F.lit(0).alias("n"), order.alias("text")).union(items.select("o_custkey", "o_orderkey", "l_linenumber", item))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "n", "text"))), lambda b: b["text"]), "\n")
+    return x.groupBy("o_custkey").agg(text.alias("text")).select(F.concat(F.lit("customers/"), "o_custkey", F.lit(".yaml")).alias("doc_id"), "text")
+
+
 def diff_texts(spark: SparkSession, d: str) -> DataFrame:
     """A diff that touches a few lines of every third code file and deletes every seventh; h is the least part of a file."""
     p = spark.read.parquet(f"{d}/part.parquet")
@@ -384,6 +395,16 @@ def code_blocks(spark, d):
     return chunking.code_blocks(code_files(spark, d), True).select("doc_id", "idx", "text", "start_line", "end_line", F.array_join("defines", ",").alias("defines"), "strategy")
 
 
+# An order's line begins a block if an item's line is right before it: orders without items go on in one block.
+@registered("""WITH entries AS (SELECT o_custkey AS c, o_orderkey AS o, 0 AS n, 'order_' || o_orderkey || ':' AS text FROM orders
+    UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, '  part_' || l_partkey || ': ' || CAST(floor(l_quantity) AS INTEGER) || CASE WHEN l_returnflag = 'R' THEN chr(10) || '    returned' ELSE '' END FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+  placed AS (SELECT *, len(string_split(text, chr(10))) AS height, sum(len(string_split(text, chr(10)))) OVER w AS last, row_number() OVER w AS i, lag(n) OVER w AS before FROM entries WINDOW w AS (PARTITION BY c ORDER BY o, n, text ROWS UNBOUNDED PRECEDING)),
+  dealt AS (SELECT *, sum(CASE WHEN n = 0 AND before > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS idx FROM placed)
+  SELECT 'customers/' || c || '.yaml' AS doc_id, CAST(idx AS INTEGER) AS idx, string_agg(text, chr(10) ORDER BY i) AS text, CAST(min(last - height + 1) AS INTEGER) AS start_line, CAST(max(last) AS INTEGER) AS end_line, 'indentation' AS strategy FROM dealt GROUP BY c, idx""")
+def indentation_blocks(spark, d):
+    return chunking.code_blocks(outline_files(spark, d), True).select("doc_id", "idx", "text", "start_line", "end_line", "strategy")
+
+
 @registered("""SELECT 'part_' || p_partkey AS name, regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '/size_' || p_size || '.py' AS path FROM part""")
 def symbol_table(spark, d):
     return graph.symbol_table(chunking.code_blocks(code_files(spark, d), True), None).select("name", F.col("doc_id").alias("path"))

@@ -56,3 +56,21 @@ def test_one_long_log_is_many_tasks_work(spark):
     # All records are equal up to numbers: one run, of which the first stays.
     kept = structural.summarize_repeated_blocks(lines, block=1000).collect()
     assert [r["idx"] for r in sorted(kept, key=lambda r: r["idx"])][:3] == [0, 1, 2] and max(r["n_blocks"] for r in kept) >= n // 3 - 2
+
+
+def test_indented_spans():
+    """Worked out by hand: a block ends where the text comes back to its first line's depth or above, after a deeper line; lines of the same depth go on."""
+    lines = ["a:", "  b", "", "  c", "d:", "e:", "    f", "  g", "h"]
+    assert chunking.indented(lines) == [(1, 4, []), (5, 8, []), (9, 9, [])]
+    assert chunking.indented(["  x", "    y", "z", "w"]) == [(1, 2, []), (3, 4, [])]
+    assert chunking.indented([]) == [] and chunking.indented(["", "a", " b", "c"]) == [(1, 3, []), (4, 4, [])]
+
+
+def test_other_files_by_indentation(spark):
+    """Files that aren't Python, or only named so, null and empty texts."""
+    docs = spark.createDataFrame([("a.yaml", "k:\n  v\nm:\n  w"), ("b.py", "x = 1\ndef f():\n    return 2"), ("c.py", "k:\n  v\nm"), ("d.txt", None), ("e.txt", "")], "doc_id string, text string")
+    got = sorted((r["doc_id"], r["idx"], r["text"], r["start_line"], r["strategy"]) for r in chunking.code_blocks(docs, True).collect())
+    assert got == [
+        ("a.yaml", 0, "k:\n  v", 1, "indentation"), ("a.yaml", 1, "m:\n  w", 3, "indentation"), ("b.py", 0, "x = 1", 1, "ast"),
+        ("b.py", 1, "def f():\n    return 2", 2, "ast"), ("c.py", 0, "k:\n  v", 1, "indentation"), ("c.py", 1, "m", 3, "indentation"),
+    ]
