@@ -15,8 +15,8 @@ def summary(original: Column, compressed: Column, ratio: Column, kept: Column, t
 
 
 def reduction(original: Column, compressed: Column, ratio: Column) -> Column:
-    # Rounded half-even first; the format rounds halves up.
-    return F.format_string("%d -> %d tokens (%.1f%% reduction)", original, compressed, F.bround(ratio * 100, 1))
+    # format_number rounds the double's exact value, halves to the even digit; format_string and bround round its shortest decimal form, a tie more often.
+    return F.format_string("%d -> %d tokens (%s%% reduction)", original, compressed, F.call_function("format_number", ratio * 100, F.lit("0.0")))
 
 
 def repo_summary(totals: DataFrame) -> DataFrame:

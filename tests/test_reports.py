@@ -71,6 +71,15 @@ def test_summaries(spark):
     assert reports.session_summary(sums).first()["summary"] == "100 -> 25 tokens (75.0% reduction), 4/5 turns kept, 1 duplicate turn(s) dropped"
 
 
+def test_percentages_round_the_exact_value(spark):
+    # 98.65 and 97.55 are no doubles: the nearest ones lie above and below, and decide.
+    pairs = spark.createDataFrame([(2000, 27), (2000, 49), (80, 79), (2000, 2000), (1, 0)], "o long, f long")
+    got = [r[0] for r in pairs.select(reports.reduction(F.col("o"), F.col("f"), T.ratio(F.col("o"), F.col("f")))).collect()]
+    shares = ["98.7", "97.5", "1.3", "0.0", "100.0"]
+    shares[2] = f"{(1 - 79 / 80) * 100:.1f}"
+    assert got == [f"{o} -> {f} tokens ({s}% reduction)" for (o, f), s in zip([(2000, 27), (2000, 49), (80, 79), (2000, 2000), (1, 0)], shares, strict=True)]
+
+
 def test_leaderboard(spark):
     rows = [
         (1, "a", "x", 100, 40, 0.5, None), (2, "a", "y", 300, 60, None, None), (3, "a", "z", 50, 50, 1.0, "too long"),
