@@ -29,13 +29,17 @@ def is_blank(text: Column) -> Column:
     return F.length(strip(text)) == 0
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
 def token_count(text: Column, model: str = "default") -> Column:
     """Mean of a character and a word estimate; 0 only for empty text. A null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.lit(1.0), F.bround(F.length(text) / F.lit(PROFILES.get(model, PROFILES["default"])), 0))
-    words = F.regexp_count(text, F.lit(r"\S+"))
-    both = F.bround((chars + F.greatest(F.lit(1.0), F.bround(words * F.lit(1.3), 0))) / 2, 0)
-    return F.when(F.length(text) == 0, 0).when(words == 0, chars).otherwise(both).cast("int")
+    # Without branches, so that words are counted once: no characters give 0, and without words the mean is missing.
+    chars = F.least(F.length(text).cast("double"), F.greatest(F.lit(1.0), F.bround(F.length(text) / F.lit(PROFILES.get(model, PROFILES["default"])), 0)))
+    words = F.nullif(word_count(text), F.lit(0))
+    return F.coalesce(F.bround((chars + F.bround(words * F.lit(1.3), 0)) / 2, 0), chars).cast("int")
 
 
 def budget(tokens: Column, target: float | Column) -> Column:

@@ -18,6 +18,25 @@ def key_starts(key: pa.Array, last: object) -> np.ndarray:
     return starts
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches that part no key, of batches sorted by it: the rows of the last key wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(key).dictionary_encode("encode").indices.to_numpy()
+        cut = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
+        if held and batch.column(key)[0].as_py() != held[-1].column(key)[0].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def folded(rows: DataFrame, key: str, order: list[Column | str], step: Callable[[dict | None, pa.RecordBatch], tuple[np.ndarray, dict]]) -> DataFrame:
     """The rows of ``rows`` for which ``step`` says so, of columns that it is given: rows of one ``key`` meet in one task, sorted by ``order``.
 

@@ -51,7 +51,7 @@ def compress(
         parts.append(renumbered(code_lines).withColumn("defines", empty))
     chunks = written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "chunks")
     left = written(similarity.remove_near_duplicates(chunks, dedup_threshold).withColumn("tokens", T.token_count(F.col("text"), model)), "deduped")
-    scored = similarity.density_scores(left, extra_filler_patterns)
+    scored = similarity.density_scores(left.select("doc_id", "idx", "text", "tokens"), extra_filler_patterns, with_text=False)
     budgets = facts.select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.lit(0).alias("spent"))
     kept = written(selection.select_under_budget(scored.select("doc_id", "idx", "score", "tokens"), budgets), "kept")
     kept = kept.withColumn("restored", F.lit(False))
@@ -123,7 +123,7 @@ def compress_files(files: DataFrame, target_compression: float, model: str, touc
         changed = written(touched(blocks).select("doc_id", "idx", "tokens"), "changed")
     spent = changed.groupBy("doc_id").agg(F.sum("tokens").alias("spent"))
     budgets = sized.join(spent, "doc_id", "left").select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.coalesce("spent", F.lit(0)).alias("spent"))
-    scored = similarity.density_scores(blocks.join(changed, ["doc_id", "idx"], "left_anti").select("doc_id", "idx", "text", "tokens"))
+    scored = similarity.density_scores(blocks.join(changed, ["doc_id", "idx"], "left_anti").select("doc_id", "idx", "text", "tokens"), with_text=False)
     kept = selection.select_under_budget(scored, budgets, first_always=touched is None).union(changed.select("doc_id", "idx"))
     edges = written(graph.reference_edges(blocks, graph.symbol_table(blocks, "scope"), "scope"), "edges")
     reached = written(graph.dependency_closure(kept, edges), "closed")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.dims import CONTEXT_WINDOWS, PRESETS, PRICES, STOP_WORDS
+from ..functions.storage import written
 from ..operators import chunking, diffs, graph, leaderboard as board, reports, selection, sessions, similarity, structural
 from ..streaming.logs import collapse_stream
 from . import compress as C
@@ -32,6 +33,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
+def prose(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' chunks, written, for steps that read them more than once."""
+    return written(chunking.prose_chunks(documents(spark, d)), "chunks")
+
+
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     """Log lines of each day and hour, from events; every tenth event is an error with a second line."""
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -235,7 +241,7 @@ def tfidf_vectors(spark, d):
 
 @registered(f"WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS} SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(similarity, 6) AS similarity FROM dots WHERE similarity >= 0.85")
 def near_dup_pairs(spark, d):
-    return similarity.similar_pairs(chunking.prose_chunks(documents(spark, d)), 0.85).select("doc_id", "i", "j", F.round("similarity", 6).alias("similarity"))
+    return similarity.similar_pairs(prose(spark, d), 0.85).select("doc_id", "i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 DROPS = """@p@adj AS (SELECT doc_id, j, list(i) AS nbrs FROM @p@dots WHERE similarity >= @t@ GROUP BY doc_id, j),
@@ -246,7 +252,7 @@ DROPS = """@p@adj AS (SELECT doc_id, j, list(i) AS nbrs FROM @p@dots WHERE simil
 
 @registered(f"WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS}, {put(DROPS, t=0.75)} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM drops")
 def near_dup_drops(spark, d):
-    return similarity.near_duplicates(chunking.prose_chunks(documents(spark, d)), 0.75)
+    return similarity.near_duplicates(prose(spark, d), 0.75)
 
 
 @registered(f"""WITH {CHUNKS}, {PLAIN}, {put(VECTORS, chunks='plain', stop='')}, {DOTS}, n AS (SELECT doc_id, count(*) AS n FROM plain GROUP BY doc_id),
@@ -254,7 +260,7 @@ def near_dup_drops(spark, d):
   q AS (SELECT n.doc_id, n, list_concat(coalesce(s, []), list_transform(generate_series(1, n * (n - 1) // 2 - coalesce(len(s), 0)), lambda z: 0.0::DOUBLE)) AS every FROM n LEFT JOIN s USING (doc_id))
   SELECT d.doc_id, round(CASE WHEN coalesce(n, 0) > 2 THEN least(greatest(list_aggregate(every, 'quantile_cont', 0.95), 0.6), 0.95) ELSE 0.6 END, 6) AS threshold FROM (SELECT DISTINCT doc_id FROM chunks) d LEFT JOIN q USING (doc_id)""")
 def adaptive_threshold(spark, d):
-    return similarity.adaptive_thresholds(chunking.prose_chunks(documents(spark, d))).select("doc_id", F.round("threshold", 6).alias("threshold"))
+    return similarity.adaptive_thresholds(prose(spark, d)).select("doc_id", F.round("threshold", 6).alias("threshold"))
 
 
 SCORES = f"""{VECTORS.replace("@stop@", STOP)},
@@ -280,7 +286,8 @@ SELECTED = f"""ranked AS (SELECT doc_id, score, idx, {tokens_sql('text')} AS tok
 @registered(f"WITH {CHUNKS}, {put(SCORES, chunks='chunks')}, {put(SELECTED, target=0.7)} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM kept")
 def budget_select(spark, d):
     docs = documents(spark, d)
-    scored = similarity.density_scores(chunking.prose_chunks(docs)).withColumn("tokens", T.token_count(F.col("text")))
+    chunks = chunking.prose_chunks(docs).withColumn("tokens", T.token_count(F.col("text")))
+    scored = similarity.density_scores(chunks, with_text=False)
     return selection.select_under_budget(scored, docs.select("doc_id", T.budget(T.token_count(F.col("text")), 0.7).alias("budget"), F.lit(0).alias("spent")))
 
 

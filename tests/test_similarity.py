@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from condensery.operators import selection, similarity
+from condensery.operators import selection, similarity, streams
 
 TERM = r"[^\W][\w\-.]*"
 
@@ -75,6 +76,29 @@ def test_the_second_filter_asks_only_documents_that_the_floor_parts(spark, monke
     assert asked[0] == 0.6 and asked[1] == parted and len(parted) < len(docs) / 2
 
 
+def test_similar_pairs_of_copies(spark):
+    docs = documents()
+    got = {(r["doc_id"], r["i"], r["j"]): r["similarity"] for r in similarity.similar_pairs(chunks_of(spark, docs), 0.7).collect()}
+    want = {}
+    for d, texts in docs.items():
+        at = [i for i, t in enumerate(texts) if len(t.strip()) >= 3]
+        places = [(i, j) for k, i in enumerate(at) for j in at[k + 1 :]]
+        want |= {(d, i, j): s for (i, j), s in zip(places, cosines(texts)[0], strict=True) if s >= 0.7}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_vectors_shuffle_chunks_and_not_terms(spark):
+    """Terms are counted and weighted where their document is: one shuffle, whose rows grow with the chunks."""
+    v = similarity.vectors(chunks_of(spark, {"a": ["one two", "two three"]}), distinct=True)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_whole_keys():
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(k, pa.string())}) for k in (["a", "a"], ["a"], ["a", "b", None], [None, None], [], ["c"], ["d"])]
+    assert [b.column("k").to_pylist() for b in streams.whole_keys(iter(batches), "k")] == [["a"] * 4 + ["b"], [None] * 3, ["c"], ["d"]]
+
+
 def plain_drops(edges):
     dropped = set()
     for j in sorted({j for _, j in edges}):
