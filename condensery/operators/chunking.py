@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from . import prefix
 
 BLOCKS = "doc_id string, idx int, text string, start_line int, end_line int, defines array<string>, strategy string"
+ROW = pa.schema([("doc_id", pa.string()), ("idx", pa.int32()), ("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("defines", pa.list_(pa.string())), ("strategy", pa.string())])
+#: Blocks that a task holds as rows before it hands them on.
+AT_ONCE = 4096
 
 
 def explode_chunks(docs: DataFrame, chunks: Column) -> DataFrame:
@@ -97,21 +101,26 @@ def indented(lines: list[str]) -> list[tuple[int, int, list[str]]]:
     return [*spans, (begin + 1, len(lines), [])] if lines else []
 
 
+def blocks_of(doc_id: str | None, source: str, python_only_by_name: bool) -> Iterator[tuple]:
+    """Rows of ``BLOCKS`` of one document."""
+    lines = source.splitlines()
+    spans = top_level(source, lines) if not python_only_by_name or str(doc_id).endswith(".py") else None
+    strategy = "ast"
+    if spans is None:
+        spans, strategy = indented(lines), "indentation"
+    for i, (a, b, names) in enumerate(spans):
+        yield doc_id, i, "\n".join(lines[a - 1 : b]), a, b, names, strategy
+
+
 def code_blocks(docs: DataFrame, python_only_by_name: bool = False) -> DataFrame:
     """Blocks of code documents: top-level Python statements, else indentation, else lines. ``python_only_by_name``: only documents whose id ends
-    in .py are tried as Python (repository and diff modes). Parsing is the one step that needs Python on the executors."""
+    in .py are tried as Python (repository and diff modes). Parsing is the one step that needs Python on the executors; of a batch's documents one is parsed at a time, and its
+    blocks leave in batches of ``AT_ONCE``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, source in zip(batch["doc_id"], batch["text"], strict=True):
-                source = source or ""
-                lines = source.splitlines()
-                spans = top_level(source, lines) if not python_only_by_name or str(doc_id).endswith(".py") else None
-                strategy = "ast"
-                if spans is None:
-                    spans, strategy = indented(lines), "indentation"
-                rows += [(doc_id, i, "\n".join(lines[a - 1 : b]), a, b, names, strategy) for i, (a, b, names) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "text", "start_line", "end_line", "defines", "strategy"])
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, BLOCKS)
+            blocks = (block for doc_id, source in zip(batch.column("doc_id"), batch.column("text"), strict=True) for block in blocks_of(doc_id.as_py(), source.as_py() or "", python_only_by_name))
+            while rows := list(itertools.islice(blocks, AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ROW.types, strict=True)], schema=ROW)
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(cut, BLOCKS)

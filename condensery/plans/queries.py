@@ -423,9 +423,10 @@ EDGES = """p AS (SELECT p_partkey AS k, regexp_replace(lower(p_brand), '[^a-z0-9
 
 @registered(f"WITH RECURSIVE {EDGES}, r AS (SELECT k AS a FROM p WHERE k % 10 = 0 UNION SELECT b FROM r JOIN known USING (a)) SELECT 'part_' || a AS name FROM r")
 def dependency_closure(spark, d):
-    blocks = chunking.code_blocks(code_files(spark, d), True)
+    # Files are parsed once and references looked up once, however many rounds follow.
+    blocks = written(chunking.code_blocks(code_files(spark, d), True), "blocks")
     kept = blocks.select("doc_id", "idx", F.explode("defines").alias("name")).filter(F.regexp_extract("name", r"(\d+)$", 1).cast("long") % 10 == 0).select("doc_id", "idx")
-    reached = graph.dependency_closure(kept, graph.reference_edges(blocks, graph.symbol_table(blocks, None), None))
+    reached = graph.dependency_closure(kept, written(graph.reference_edges(blocks, graph.symbol_table(blocks, None), None), "edges"))
     return reached.join(blocks, ["doc_id", "idx"]).select(F.explode("defines").alias("name"))
 
 

@@ -171,3 +171,18 @@ def test_command_line(spark, tmp_path):
     assert cli.parser().parse_args(["x", "--quiet"]).quiet
     with pytest.raises(ValueError):
         cli.run(spark, cli.parser().parse_args([]))
+
+
+def test_blocks_leave_in_bounded_batches(spark, monkeypatch):
+    """Of a batch of files, however many, no more blocks are rows at once than are handed on."""
+    import pyarrow as pa
+
+    from condensery.operators import chunking
+
+    docs = spark.createDataFrame([("a.py", "")], "doc_id string, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    cut = chunking.code_blocks(docs)
+    source = "".join(f"def f{k}():\n    return {k}\n\n" for k in range(1500))
+    batches = list(cut(iter([pa.RecordBatch.from_pydict({"doc_id": ["a.py", "b.py", "c.py", "d.txt"], "text": [source, source, source, None]})])))
+    assert [b.num_rows for b in batches] == [4096, 404]
+    assert batches[1].column("text")[403].as_py() == "def f1499():\n    return 1499" and batches[1].column("defines")[403].as_py() == ["f1499"]
