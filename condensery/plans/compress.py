@@ -61,12 +61,15 @@ def compress(
         edges = written(graph.reference_edges(left.join(facts.filter("content_type = 'code'").select("doc_id"), "doc_id"), graph.symbol_table(with_names)), "edges")
         if not edges.isEmpty():
             kept = graph.dependency_closure(kept.select("doc_id", "idx"), edges).select("doc_id", "idx", "restored")
-    marked = chunks.join(left.select("doc_id", "idx", F.lit(True).alias("left")), ["doc_id", "idx"], "left").join(kept.withColumn("kept", F.lit(True)), ["doc_id", "idx"], "left")
-    listed = marked.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "text", F.coalesce("kept", F.lit(False)).alias("kept")))).alias("all"), F.count(F.lit(1)).cast("int").alias("chunks_total"),
-        F.count("kept").cast("int").alias("n_kept"), F.count(F.when(F.col("left").isNull(), 1)).cast("int").alias("n_near"), F.count_if("restored").cast("int").alias("n_restored"),
+    # Texts are gathered once a document; what is known of each chunk is narrow, and meets them by place.
+    facts_of = chunks.select("doc_id", "idx").join(kept.select("doc_id", "idx", "restored", F.lit(True).alias("kept")), ["doc_id", "idx"], "left").groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("kept", F.lit(False)).alias("kept")))), lambda c: c["kept"]).alias("flags"), F.count(F.lit(1)).cast("int").alias("chunks_total"),
+        F.count("kept").cast("int").alias("n_kept"), F.count_if("restored").cast("int").alias("n_restored"),
     )
-    joined = own.join(facts, "doc_id").join(listed, "doc_id", "left").join(log_collapsed.union(code_collapsed), "doc_id", "left")
+    stayed = left.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_left"))
+    texts = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda c: c["text"]).alias("texts"))
+    joined = own.join(facts, "doc_id").join(texts, "doc_id", "left").join(facts_of, "doc_id", "left").join(stayed, "doc_id", "left").join(log_collapsed.union(code_collapsed), "doc_id", "left")
+    joined = joined.withColumn("all", F.zip_with("texts", "flags", lambda t, k: F.struct(t.alias("text"), k.alias("kept")))).withColumn("n_near", F.col("chunks_total") - F.coalesce("n_left", F.lit(0)))
     separator = F.when(F.col("content_type") == "prose", " ").otherwise("\n")
     body = F.coalesce(F.array_join(F.transform(F.filter("all", lambda c: c["kept"]), lambda c: c["text"]), "\u0000"), F.lit(""))
     joined = joined.withColumn("body", F.replace(body, F.lit("\u0000"), separator)).withColumn("after", T.token_count(F.col("body"), model))
