@@ -10,6 +10,8 @@ buckets with others) instead of with every other member, and links are verified
 further comparison. Where a bucket still holds several components, what is left is compared at once if it has few members (each then meets a bounded number of others). Members of
 larger ones are dealt anew by a second signature, of more and longer bands, whose buckets hold few that are far apart; its small buckets are compared in the same way, and in
 its large ones one member after the other, from the smallest component on, is compared with those of other components, until none is left.
+
+What a bucket has in common (its size, its hub, its components) comes from windows over its ids: one shuffle, and as many rows as there are members.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import forget, hashed_words, mix64, shingles, slices, texts_of, written
+from .common import forget, hashed_words, mix64, shingles, slices, texts_of, written, written_ids
 from .components import components
 from .suffix_dedup import numbered
 
@@ -29,6 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
 #: Bands of the second signature and its registers, of which each band is a drawn subset: a pair at 0.8 misses all bands about once in 150, one at 0.7 shares a given band once in 1,250.
 FINE_BANDS, FINE_ROWS, FINE_REGISTERS = 480, 20, 1_200
+#: Arrivals that a signature takes at once, and of one shingle at most.
+ARRIVALS, MOST_STEPS = 1 << 14, 64
 #: Members of a bucket, at most, that the first round compares with the others; four times as many in each later one, as fewer are left.
 SLOTS = 4
 #: Members of a bucket, at most, whose members of different components are all compared.
@@ -47,17 +51,21 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_ro
     scale = 1.0 / weights.astype(np.float64)
     with np.errstate(over="ignore"):
         while len(live):
-            k += 1
-            r = mix64(elements[live] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+            # Small bags need many arrivals of each shingle: the fewer shingles are left, the more arrivals of each are taken at once.
+            steps = np.arange(k + 1, k + 1 + max(1, min(MOST_STEPS, ARRIVALS // len(live))), dtype=np.uint64)
+            k += len(steps)
+            r = mix64(elements[live, None] + steps * np.uint64(0x9E3779B97F4A7C15))
             # Upper bits give the time that passes to the next arrival, a remix gives its register.
-            clock = clock - np.log1p(-(r >> np.uint64(11)).astype(np.float64) * 2.0**-53) * scale[live]
-            on_time = clock < latest[rows[live]]
-            live, clock, r = live[on_time], clock[on_time], r[on_time]
-            if not len(live):
-                break
-            slot = rows[live] * registers + (mix64(r ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(registers)).astype(np.int64)
-            better = clock < times[slot]
-            s, t, e = slot[better], clock[better], elements[live[better]]
+            at = -np.log1p(-(r >> np.uint64(11)).astype(np.float64) * 2.0**-53) * scale[live, None]
+            at[:, 0] += clock
+            at = np.cumsum(at, axis=1)
+            on_time = at < latest[rows[live], None]
+            which, _ = np.nonzero(on_time)
+            r, arrived, owner = r[on_time], at[on_time], live[which]
+            live, clock = live[on_time[:, -1]], at[on_time[:, -1], -1]
+            slot = rows[owner] * registers + (mix64(r ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(registers)).astype(np.int64)
+            better = arrived < times[slot]
+            s, t, e = slot[better], arrived[better], elements[owner[better]]
             np.minimum.at(times, s, t)
             won = t == times[s]
             winners[s[won]] = e[won]
@@ -122,13 +130,18 @@ def bags(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(collect, "doc_id long, bag binary, counts binary")
 
 
-def probability_jaccard(x: np.ndarray, xc: np.ndarray, y: np.ndarray, yc: np.ndarray) -> float:
-    """Exact J_P of two bags given as sorted hashes with counts: the sum over shared i of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
+def probability_jaccard(x: np.ndarray, xc: np.ndarray | None, y: np.ndarray, yc: np.ndarray | None) -> float:
+    """Exact J_P of two bags given as sorted hashes with counts, or None where all are 1: the sum over shared i of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
     if not len(x) or not len(y):
         return 0.0
     # Both are sorted: the places of y's elements in x.
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    iy = np.flatnonzero(x[at] == y)
+    same = x[at] == y
+    if xc is None and yc is None:
+        shared = int(np.count_nonzero(same))
+        return shared / (len(x) + len(y) - shared)
+    xc, yc = (np.ones(len(v), np.uint32) if c is None else c for v, c in ((x, xc), (y, yc)))
+    iy = np.flatnonzero(same)
     ix = at[iy]
     if not len(ix):
         return 0.0
@@ -142,28 +155,29 @@ def probability_jaccard(x: np.ndarray, xc: np.ndarray, y: np.ndarray, yc: np.nda
 
 
 def verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
-    """a, b, similarity of the given pairs, on whole bags. ``a`` is the hub: its bag comes by the last join."""
+    """The given pairs (a, b and further columns) with their similarity, on whole bags. ``a`` is the hub: its bag comes by the last join."""
+    own = pairs.columns
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(bag: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-            x = np.frombuffer(bag, np.uint64)
-            return x, np.frombuffer(counts, np.uint32) if counts else np.ones(len(x), np.uint32)
+        def read(batch: pa.RecordBatch, side: str) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+            for bag, counts in zip(batch[f"bag_{side}"], batch[f"counts_{side}"], strict=True):
+                counts = counts.as_buffer()
+                yield np.frombuffer(bag.as_buffer(), np.uint64), np.frombuffer(counts, np.uint32) if counts.size else None
 
         for batch in batches:
-            near = []
-            for k in range(batch.num_rows):
-                x, xc = read(batch["bag_a"][k].as_py(), batch["counts_a"][k].as_py())
-                y, yc = read(batch["bag_b"][k].as_py(), batch["counts_b"][k].as_py())
-                near.append(probability_jaccard(x, xc, y, yc))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(near, pa.float64())], ["a", "b", "similarity"])
+            near = [probability_jaccard(*x, *y) for x, y in zip(read(batch, "a"), read(batch, "b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(near, pa.float64())], [*own, "similarity"])
 
     left = bagged.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"), F.col("counts").alias("counts_a"))
     right = bagged.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"), F.col("counts").alias("counts_b"))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInArrow(compare, "a long, b long, similarity double")
+    # Few pairs are left of a partition: some partitions, and parts of those that AQE has split, are one task.
+    spark = pairs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select(*own, "bag_a", "counts_a", "bag_b", "counts_b").coalesce(tasks).mapInArrow(compare, ", ".join(f"{c} long" for c in own) + ", similarity double")
 
 
 def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FINE_REGISTERS) -> DataFrame:
-    """rep and the band hashes of its bag's second signature. Bands share registers: a signature's cost grows with its registers, while its power to tell bags apart comes from many long bands."""
+    """rep, root and the band hashes of the second signature of each bag (doc_id, root, bag, counts). Bands share registers: a signature's cost grows with its registers, while its power to tell bags apart comes from many long bands."""
     drawn = np.argsort(np.random.default_rng(rows).random((bands, registers)), axis=1)[:, :rows].reshape(-1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +198,24 @@ def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FIN
                     # Other arrivals than those of the first signature.
                     elements = mix64(np.concatenate(held) ^ np.uint64(0xA0761D6478BD642F))
                 keys = band_keys(signatures(owner, elements, weights, len(held), registers)[:, drawn], bands, rows)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], key_lists(keys)], ["rep", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["root"], key_lists(keys)], ["rep", "root", "bands"])
 
-    return bagged.select("doc_id", "bag", "counts").mapInArrow(sign, "rep long, bands array<long>")
+    return bagged.select("doc_id", "root", "bag", "counts").mapInArrow(sign, "rep long, root long, bands array<long>")
 
 
 def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
-    """(a, b) of further links between members (key, rep, root) of a bucket that are in different components; each bucket has several, and more than ``small`` members.
+    """(a, b) of further links between members (key, rep, root) of a bucket that are in different components.
 
-    A round compares a few members of each bucket, of all its components but the largest and from the smallest on, with those of its other components, but for pairs seen before; they have
-    then met all of them and leave the bucket. A bucket with ``small`` members left is compared at once. Buckets close when one component is left, so comparisons grow with members and
+    A bucket with at most ``small`` members is compared at once. A round compares a few members of each larger one, of all its components but the largest and from the smallest on, with those
+    of its other components, but for pairs seen before; they have then met all of them and leave the bucket. Buckets close when one component is left, so comparisons grow with members and
     rounds and no round makes all pairs of a large bucket.
     """
     open_, found, held, turn = members, None, [], 0
     while True:
         turn += 1
-        sizes = written(open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("left"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-        smaller = sizes.join(mixed.filter("roots > 1"), "key").filter("root <> largest").select("key", "root", "n", (F.col("left") <= small).alias("few"))
-        # The smallest components first: some members at once, one of each slot.
-        slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS << min(2 * turn - 2, 16)))
-        turns = written(open_.join(smaller, ["key", "root"]).groupBy("key", "few", slot.alias("slot")).agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("root").alias("own")), F.struct("n", "rep")).alias("x")).select("key", "few", "x.hub", "x.own"), "turns")
-        if turns.isEmpty():
-            forget(sizes, turns)
+        now = written_ids(on_turn(open_, small, SLOTS << min(2 * turn - 2, 16)), "now")
+        if now.isEmpty():
+            forget(now)
             return found
         if turn % COMPACT == 0:
             # What earlier rounds have compared and found as one table each: a round's plan doesn't grow with the number of rounds.
@@ -214,26 +223,32 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
             found = written(found, "found") if found is not None else None
             forget(*held)
             held = [seen]
-        # At first all members are of open buckets.
-        now = open_.withColumn("few", F.lit(False)) if turn == 1 else written(open_.join(turns.select("key", "few").distinct(), "key"), "now")
-        few = now.filter("few")
-        at_once = few.select("key", F.col("rep").alias("hub"), F.col("root").alias("own")).join(few.select("key", "rep", "root"), "key").filter("hub > rep AND own <> root")
-        pairs = now.filter("NOT few").join(turns.filter("NOT few").select("key", "hub", "own"), "key").filter("root <> own").select("hub", "rep").union(at_once.select("hub", "rep"))
-        pairs = pairs.select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
-        near = written(verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
-        links = near.filter(F.col("similarity") >= similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        found = links if found is None else found.union(links)
+        one, two = (now.select("key", F.struct("rep", "root").alias(k), (F.col("few") | F.col("turn")).alias(f"meets_{k}")) for k in ("one", "two"))
+        met = one.filter("meets_one").join(two, "key").filter("one.root <> two.root AND (one.rep > two.rep OR NOT meets_two)")
+        # A pair comes once, whichever side's turn it is: with its roots, links need no look-up.
+        met = met.select(F.greatest("one", "two").alias("x"), F.least("one", "two").alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
+        near = written(verified(met.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
+        links = near.filter(F.col("similarity") >= similarity)
+        found = links.select("a", "b") if found is None else found.union(links.select("a", "b"))
         seen = seen.select("a", "b").union(near.select("a", "b"))
         held.append(near)
-        left = now.filter("NOT few").select("key", "rep", "root").join(turns.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        open_ = now.filter("NOT few AND NOT turn").select("key", "rep", "root")
         if not links.isEmpty():
-            # Components that have met go on as one; links of a round are between roots that the round knows.
-            roots = now.select(F.col("rep").alias("id"), "root").distinct()
-            merged = components(links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            merged = written(merged.select(F.col("id").alias("root"), F.col("root").alias("into")), "merged")
-            left = left.join(merged, "root", "left").select("key", "rep", F.coalesce("into", "root").alias("root"))
-        open_, before = written(left, "open"), open_
-        forget(sizes, turns, *([now, before] if turn > 1 else []))
+            # Components that have met go on as one.
+            merged = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("into"))
+            open_ = open_.join(merged, "root", "left").select("key", "rep", F.coalesce("into", "root").alias("root"))
+
+
+def on_turn(members: DataFrame, small: int, slots: int) -> DataFrame:
+    """(key, rep, root, few, turn) of the buckets of ``members`` with several components. few: the bucket has at most ``small`` members; turn: of each of so many slots, the member of the smallest component but for the largest one."""
+    bucket = Window.partitionBy("key")
+    sized = members.withColumns({"left": F.count(F.lit(1)).over(bucket), "low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low < high")
+    sized = sized.withColumn("size", F.struct(F.count(F.lit(1)).over(Window.partitionBy("key", "root")).alias("n"), "root")).withColumn("largest", F.max("size").over(bucket)["root"])
+    slot = F.pmod(F.xxhash64("rep"), F.lit(slots))
+    rank = F.row_number().over(Window.partitionBy("key", "slot").orderBy(F.col("root") == F.col("largest"), "size.n", "rep"))
+    ranked = sized.withColumn("slot", slot).withColumn("rank", rank)
+    few = F.col("left") <= small
+    return ranked.select("key", "rep", "root", few.alias("few"), (~few & (F.col("rank") == 1) & (F.col("root") != F.col("largest"))).alias("turn"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -272,37 +287,31 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     equal = signed.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = written(equal, "classes")
     members = members_of(reps)
-    # What is joined to the members of a bucket is a table of its own: a large bucket's side is then split where it is skewed.
-    hubs = written(members.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub")), "hubs")
-    stars = written(members.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    stars = written_ids(starred(members), "stars")
     # The candidates grow with the corpus: shuffled at every size, so that costs follow the input.
-    bagged = written(bags(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "bags")
+    bagged = written(bags(docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "bags")
     near = written(verified(stars, bagged).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "similarity"), "near")
     links = near.filter(F.col("similarity") >= similarity).select("a", "b")
-    entries = members.select("key", "rep")
-    roots = written(components(links), "roots")
+    roots = components(links).select(F.col("id").alias("rep"), "root")
     # With two members the hub has met the other.
-    first = open_members(entries, roots, 2)
+    first = written_ids(open_members(members.select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), 2), "open")
     # Members of large buckets that hold several components.
-    inside = written(first.filter(F.col("n") > small).select("rep").distinct(), "inside")
-    fine = written(finely_banded(bagged.join(inside.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), fine_bands, fine_rows), "fine")
-    second = open_members(fine.select("rep", F.explode_outer("bands").alias("key")), roots, 1)
-    near, links = few_left(first.unionByName(second), near, links, bagged, similarity, small)
-    roots = written(components(links), "roots")
-    last = open_members(second.filter(F.col("n") > small).select("key", "rep"), roots, small)
-    more = settled(last.drop("n"), bagged, near, similarity, small)
+    inside = first.filter(F.col("n") > small).select(F.col("rep").alias("doc_id"), "root").distinct()
+    fine = written(finely_banded(bagged.join(inside.hint("merge"), "doc_id"), fine_bands, fine_rows), "fine")
+    second = open_members(fine.select("rep", "root", F.explode_outer("bands").alias("key")), 1)
+    last = written_ids(first.filter(F.col("n") <= small).unionByName(second).drop("n"), "open")
+    more = settled(last, bagged, near, similarity, small)
     every = links if more is None else links.union(more)
-    every = written(every.distinct(), "every")
+    every = written_ids(every.distinct(), "every")
     final = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = written(reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"), "named")
+    classes = (reps.drop("bands").join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").select("one", "two", F.coalesce("root", "rep").alias("root"), "n_links"))
     named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
-    sized = written(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
-    sizes = written(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
-    forget(signed, reps, members, hubs, stars, wanted, bagged, first, inside, fine, second, last, every, classes)
+    sized = written_ids(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
+    sizes = written_ids(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
+    forget(signed, reps, members, stars, bagged, first, fine, last, every)
     # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
-    heavy = written(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
+    heavy = written_ids(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
     mapped = sized.join(F.broadcast(heavy), "group_id")
     rest = sized.join(F.broadcast(heavy.select("group_id")), "group_id", "left_anti").join(sizes, "group_id", "left")
     return mapped.unionByName(rest).select(
@@ -310,31 +319,24 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     )
 
 
-def open_members(entries: DataFrame, roots: DataFrame, above: int) -> DataFrame:
-    """(key, rep, root, n) of the buckets of ``entries`` (key, rep) that hold several components and more than ``above`` members, written; n: a bucket's members."""
-    rooted = entries.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter((F.col("low") < F.col("high")) & (F.col("n") > above))
-    return written(rooted.join(written(keys.select("key", "n"), "open-keys").hint("merge"), "key"), "open")
-
-
-def few_left(open_: DataFrame, near: DataFrame, links: DataFrame, bagged: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """``near`` and ``links`` with those between members of different components of a bucket of ``open_`` with at most ``small`` members: each row meets fewer than ``small`` others."""
-    few = open_.filter(F.col("n") <= small)
-    one, two = few.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a")), few.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = one.join(two, "key").filter("a > b AND root_a <> root_b").select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-    met = written(verified(pairs, bagged), "near")
-    return near.unionByName(met), links.union(met.filter(F.col("similarity") >= similarity).select("a", "b"))
+def open_members(rooted: DataFrame, above: int) -> DataFrame:
+    """(key, rep, root, n) of the buckets of ``rooted`` (key, rep, root) that hold several components and more than ``above`` members; n: a bucket's members. Buckets of the same members are one, under another key."""
+    bucket = Window.partitionBy("key")
+    counted = rooted.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+    counted = counted.withColumn("set", F.bit_xor(F.xxhash64("rep")).over(bucket))
+    return counted.filter((F.col("low") < F.col("high")) & (F.col("n") > above)).select(F.xxhash64("set", "n").alias("key"), "rep", "root", "n").distinct()
 
 
 def members_of(reps: DataFrame) -> DataFrame:
     """(key, rep, score) of the buckets of (rep, bands) with two members or more; score: the members of all of a document's buckets, how central it is."""
-    entries = reps.select("rep", F.explode_outer("bands").alias("key"))
-    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    crowded = written(entries.join(shared.hint("merge"), "key"), "entries")
-    central = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
-    members = written(crowded.join(central, "rep").select("key", "rep", "score"), "members")
-    forget(shared, crowded)
-    return members
+    crowded = reps.select("rep", F.explode_outer("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    return written_ids(crowded.select("key", "rep", F.sum("n").over(Window.partitionBy("rep")).alias("score")), "members")
+
+
+def starred(members: DataFrame) -> DataFrame:
+    """(a, b) of each bucket's hub, its most central member, and its other ones."""
+    hub = F.first("rep").over(Window.partitionBy("key").orderBy(F.desc("score"), "rep"))
+    return members.select(hub.alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from condensery.llm import minhash_dedup
@@ -69,3 +70,27 @@ def test_recall_of_planted_pairs(spark):
     got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
     found = sum(got[2 * k] == got[2 * k + 1] for k in range(300))
     assert found >= 299 and len(set(got.values())) == 600 - found
+
+
+def test_small_bags_take_few_steps(monkeypatch):
+    """Three shingles fill 1,200 registers with some 3,000 arrivals each; one after the other they took as many steps. Signatures are the same however many are taken at once."""
+    calls, mix64 = [], minhash_dedup.mix64
+    monkeypatch.setattr(minhash_dedup, "mix64", lambda x: calls.append(len(x)) or mix64(x))
+    sizes = [3, 0, 40, 7]
+    rows, rnd = np.repeat(np.arange(4), sizes), np.random.default_rng(3)
+    bag, count = rnd.integers(0, 2**63, len(rows)).astype(np.uint64), rnd.integers(1, 4, len(rows)).astype(np.uint32)
+    got = minhash_dedup.signatures(rows, bag, count, 4, 1_200)
+    assert len(calls) < 300
+    monkeypatch.setattr(minhash_dedup, "ARRIVALS", 1)
+    assert (got == minhash_dedup.signatures(rows, bag, count, 4, 1_200)).all() and not got[1].any() and got[0].all()
+
+
+def test_steps_make_rows_by_members(spark):
+    """What a bucket has in common comes without a join of its members, which were as many rows again for each step."""
+    members = spark.createDataFrame([(k % 3, k, k % 5) for k in range(60)], "key long, rep long, root long")
+    for made in (minhash_dedup.open_members(members, 2), minhash_dedup.on_turn(members, 4, 4), minhash_dedup.starred(members.withColumnRenamed("root", "score"))):
+        assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert minhash_dedup.open_members(members, 20).count() == 0 and minhash_dedup.open_members(members, 2).count() == 60
+    turns = minhash_dedup.on_turn(members, 4, 4)
+    # Roots have four members in each bucket: the largest of equal ones, 4, has no turn.
+    assert turns.count() == 60 and turns.filter("few").count() == 0 and 0 < turns.filter("turn").count() <= 12 and turns.filter("turn AND root = 4").count() == 0
