@@ -362,3 +362,19 @@ def test_null_ids_and_empty_tables(spark, texts):
         assert f(empty).count() == 0
         assert f(docs).count() == 4
     assert exact_dedup.drop_exact(docs).filter("doc_id IS NOT NULL").count() == 1
+
+
+def test_lattice_cuts_no_strings_to_look_up():
+    """A word's edges come character by character: a string cut and hashed for every place and length was most of the search's time."""
+
+    class Whole(str):
+        def __getitem__(self, k):
+            assert isinstance(k, int), "a string was cut"
+            return str.__getitem__(self, k)
+
+    search = piece_lattice.lattice(P.path("piece_bpe_32k.model"))
+    for word in ("▁information", "▁x", "▁日本語͸", "▁▁tionthe"):
+        edges, best, _ = search.forward(Whole(word))
+        every = [(i, j, search.scores.get(word[i:j])) for i in range(len(word)) for j in range(i + 1, len(word) + 1)]
+        assert sorted(edges) == sorted((i, j, search.unknown if s is None else s) for i, j, s in every if s is not None or j == i + 1)
+        assert best[-1] == max(score for score, _ in search.n_best(word, 1))
