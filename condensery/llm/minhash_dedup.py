@@ -7,9 +7,9 @@ similarity J_P of their weights, which is the plain Jaccard similarity when all
 
 Equal signatures of ``rows`` registers make a bucket. In a bucket every member is compared with the hub (the member that shares most
 buckets with others) instead of with every other member, and links are verified on the whole bags. What is in one component of the links so far needs no
-further comparison. Where a bucket still holds several components, what is left is compared at once if it has few members (each then meets a bounded number of others). Members of
-larger ones are dealt anew by a second signature, of more and longer bands, whose buckets hold few that are far apart; its small buckets are compared in the same way, and in
-its large ones one member after the other, from the smallest component on, is compared with those of other components, until none is left.
+further comparison. Where a bucket still holds several components, what is left is compared at once if it has few members (each then meets a bounded number of others). In
+larger ones some members after the other, from the smallest component on, are compared with those of other components, until none is left. Pairs of different components that are too
+far apart are told, without loss, by the parities of their bags (``may_link``) while they meet: they never become rows, and bags are only read for what is near the threshold.
 
 What a bucket has in common (its size, its hub, its components) comes from windows over its ids: one shuffle, and as many rows as there are members.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import forget, hashed_words, mix64, shingles, slices, texts_of, written, written_ids
 from .components import components
@@ -29,14 +29,18 @@ from .suffix_dedup import numbered
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of registers: a pair at 0.8 misses all of them once in 5,000.
 BANDS, ROWS = 36, 7
-#: Bands of the second signature and its registers, of which each band is a drawn subset: a pair at 0.8 misses all bands about once in 150, one at 0.7 shares a given band once in 1,250.
-FINE_BANDS, FINE_ROWS, FINE_REGISTERS = 480, 20, 1_200
+#: Words of 64 parities that outline a bag: they tell bags of up to some 2,500 shingles apart, and pass pairs of longer ones on to be compared.
+PARITIES = [f"p{k}" for k in range(32)]
+#: Bags that are outlined at once.
+DRAWN = 128
 #: Arrivals that a signature takes at once, and of one shingle at most.
 ARRIVALS, MOST_STEPS = 1 << 14, 64
 #: Members of a bucket, at most, that the first round compares with the others; four times as many in each later one, as fewer are left.
-SLOTS = 4
+SLOTS = 64
 #: Members of a bucket, at most, whose members of different components are all compared.
 SMALL = 32
+#: More than what rounding can move a similarity or a number of parities.
+MARGIN = 1e-6
 #: Rounds after which what has been seen is written as one table.
 COMPACT = 4
 #: Groups, the largest ones, whose sizes are broadcast, so that no shuffled group has more than a small share of the rows.
@@ -176,46 +180,49 @@ def verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select(*own, "bag_a", "counts_a", "bag_b", "counts_b").coalesce(tasks).mapInArrow(compare, ", ".join(f"{c} long" for c in own) + ", similarity double")
 
 
-def finely_banded(bagged: DataFrame, bands: int, rows: int, registers: int = FINE_REGISTERS) -> DataFrame:
-    """rep, root and the band hashes of the second signature of each bag (doc_id, root, bag, counts). Bands share registers: a signature's cost grows with its registers, while its power to tell bags apart comes from many long bands."""
-    drawn = np.argsort(np.random.default_rng(rows).random((bands, registers)), axis=1)[:, :rows].reshape(-1)
+def outlined(bagged: DataFrame) -> DataFrame:
+    """doc_id, weight (shingles with repeats) and ``PARITIES`` of each bag (doc_id, bag, counts): each bit tells whether an odd number of the distinct shingles hash to it."""
+    bits = 64 * len(PARITIES)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            at = 0
-            while at < whole.num_rows:
-                # Some documents at once: so many shingles, and so many registers, fit in memory.
-                held, size = [], 0
-                while at + len(held) < whole.num_rows and len(held) < 32 and size < 1 << 17:
-                    held.append(np.frombuffer(whole["bag"][at + len(held)].as_py(), np.uint64))
-                    size += len(held[-1])
-                batch = whole.slice(at, len(held))
-                at += len(held)
-                raw = batch["counts"].to_pylist()
-                weights = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x), np.uint32) for x, c in zip(held, raw, strict=True)])
-                owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-                with np.errstate(over="ignore"):
-                    # Other arrivals than those of the first signature.
-                    elements = mix64(np.concatenate(held) ^ np.uint64(0xA0761D6478BD642F))
-                keys = band_keys(signatures(owner, elements, weights, len(held), registers)[:, drawn], bands, rows)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["root"], key_lists(keys)], ["rep", "root", "bands"])
+            for at in range(0, whole.num_rows, DRAWN):
+                batch = whole.slice(at, DRAWN)
+                held = [np.frombuffer(b.as_buffer(), np.uint64) for b in batch["bag"]]
+                weight = [int(np.frombuffer(c.as_buffer(), np.uint32).sum()) if c.as_buffer().size else len(x) for c, x in zip(batch["counts"], held, strict=True)]
+                place = np.repeat(np.arange(len(held)), [len(x) for x in held]) * bits + (np.concatenate(held) % np.uint64(bits)).astype(np.int64)
+                odd = (np.bincount(place, minlength=len(held) * bits) & 1).astype(np.uint8).reshape(len(held), bits)
+                words = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(weight, pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["doc_id", "weight", *PARITIES])
+
+    return bagged.select("doc_id", "bag", "counts").mapInArrow(draw, ", ".join(f"{c} long" for c in ("doc_id", "weight", *PARITIES)))
 
-    return bagged.select("doc_id", "root", "bag", "counts").mapInArrow(sign, "rep long, root long, bands array<long>")
+
+def may_link(one: str, two: str, similarity: float) -> Column:
+    """False only for pairs of outlines (weight and ``PARITIES``) whose J_P is below ``similarity``.
+
+    A shingle that one bag alone has flips one parity at most, so at least as many shingles as parities differ are in one bag alone. If these have the shares f and g of the two weights, J_P is at
+    most 1 / (1 + f / (1 - f) + g / (1 - g)): a term of J_P is at most 1 / (1 / p + g / q) for its shares p and q, which is concave and homogeneous, so its sum is at most its value at the
+    sums 1 - f and 1 - g. A shingle weighs 1 at least, thus f + g is at least the number that differ over the larger weight; the bound is loosest with f = g.
+    """
+    apart = sum((F.bit_count(F.col(f"{one}.{p}").bitwiseXOR(F.col(f"{two}.{p}"))) for p in PARITIES[1:]), F.bit_count(F.col(f"{one}.{PARITIES[0]}").bitwiseXOR(F.col(f"{two}.{PARITIES[0]}"))))
+    return apart <= 2 * (1 - similarity) / (1 + similarity) * F.greatest(f"{one}.weight", f"{two}.weight") + MARGIN
 
 
 def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity: float, small: int = SMALL) -> DataFrame | None:
     """(a, b) of further links between members (key, rep, root) of a bucket that are in different components.
 
     A bucket with at most ``small`` members is compared at once. A round compares a few members of each larger one, of all its components but the largest and from the smallest on, with those
-    of its other components, but for pairs seen before; they have then met all of them and leave the bucket. Buckets close when one component is left, so comparisons grow with members and
-    rounds and no round makes all pairs of a large bucket.
+    of its other components, but for pairs seen before and pairs whose outlines are too far apart; they have then met all of them and leave the bucket. Buckets close when one component is
+    left, so comparisons grow with members and rounds and no round makes all pairs of a large bucket.
     """
+    outlines = written(outlined(bagged.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")), "outlines")
     open_, found, held, turn = members, None, [], 0
     while True:
         turn += 1
-        now = written_ids(on_turn(open_, small, SLOTS << min(2 * turn - 2, 16)), "now")
+        now = written_ids(on_turn(open_, small, SLOTS << min(2 * turn - 2, 16)).join(outlines.withColumnRenamed("doc_id", "rep"), "rep"), "now")
         if now.isEmpty():
-            forget(now)
+            forget(now, outlines)
             return found
         if turn % COMPACT == 0:
             # What earlier rounds have compared and found as one table each: a round's plan doesn't grow with the number of rounds.
@@ -223,8 +230,8 @@ def settled(members: DataFrame, bagged: DataFrame, seen: DataFrame, similarity:
             found = written(found, "found") if found is not None else None
             forget(*held)
             held = [seen]
-        one, two = (now.select("key", F.struct("rep", "root").alias(k), (F.col("few") | F.col("turn")).alias(f"meets_{k}")) for k in ("one", "two"))
-        met = one.filter("meets_one").join(two, "key").filter("one.root <> two.root AND (one.rep > two.rep OR NOT meets_two)")
+        one, two = (now.select("key", F.struct("rep", "root").alias(k), (F.col("few") | F.col("turn")).alias(f"meets_{k}"), F.struct("weight", *PARITIES).alias(f"outline_{k}")) for k in ("one", "two"))
+        met = one.filter("meets_one").join(two, "key").filter("one.root <> two.root AND (one.rep > two.rep OR NOT meets_two)").filter(may_link("outline_one", "outline_two", similarity))
         # A pair comes once, whichever side's turn it is: with its roots, links need no look-up.
         met = met.select(F.greatest("one", "two").alias("x"), F.least("one", "two").alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
         near = written(verified(met.join(seen.select("a", "b"), ["a", "b"], "left_anti"), bagged), "near")
@@ -280,7 +287,7 @@ def by_row(texts: DataFrame, **options) -> DataFrame:
     return named.join(least, "root").select("row", "doc_id", "group_id", "group_size", "n_links", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
-def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, fine_bands: int = FINE_BANDS, fine_rows: int = FINE_ROWS, small: int = SMALL) -> DataFrame:
+def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """``near_duplicates`` of documents with ids of their own."""
     signed = written(digested(docs, words, bands, rows), "signatures")
     # Equal bags are one class: only its smallest doc_id goes on. A partial aggregate, so a huge class costs little.
@@ -294,12 +301,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     links = near.filter(F.col("similarity") >= similarity).select("a", "b")
     roots = components(links).select(F.col("id").alias("rep"), "root")
     # With two members the hub has met the other.
-    first = written_ids(open_members(members.select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), 2), "open")
-    # Members of large buckets that hold several components.
-    inside = first.filter(F.col("n") > small).select(F.col("rep").alias("doc_id"), "root").distinct()
-    fine = written(finely_banded(bagged.join(inside.hint("merge"), "doc_id"), fine_bands, fine_rows), "fine")
-    second = open_members(fine.select("rep", "root", F.explode_outer("bands").alias("key")), 1)
-    last = written_ids(first.filter(F.col("n") <= small).unionByName(second).drop("n"), "open")
+    last = written_ids(open_members(members.select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), 2).drop("n"), "open")
     more = settled(last, bagged, near, similarity, small)
     every = links if more is None else links.union(more)
     every = written_ids(every.distinct(), "every")
@@ -309,7 +311,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     named = signed.select("doc_id", "one", "two").join(classes, ["one", "two"], "left")
     sized = written_ids(named.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     sizes = written_ids(sized.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "group-sizes")
-    forget(signed, reps, members, stars, bagged, first, fine, last, every)
+    forget(signed, reps, members, stars, bagged, last, every)
     # The largest groups, a bounded number, are resolved where their rows are; no group that is shuffled has more than a small share of the rows.
     heavy = written_ids(sizes.orderBy(F.desc("group_size"), "group_id").limit(HEAVY_GROUPS), "heavy-groups")
     mapped = sized.join(F.broadcast(heavy), "group_id")

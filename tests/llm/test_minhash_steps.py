@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from condensery.llm import minhash_dedup
 
@@ -94,3 +95,38 @@ def test_steps_make_rows_by_members(spark):
     turns = minhash_dedup.on_turn(members, 4, 4)
     # Roots have four members in each bucket: the largest of equal ones, 4, has no turn.
     assert turns.count() == 60 and turns.filter("few").count() == 0 and 0 < turns.filter("turn").count() <= 12 and turns.filter("turn AND root = 4").count() == 0
+
+
+def test_outlines_lose_no_link(spark):
+    """Bags about the threshold, a third of them with counts: every pair at 0.8 may link, and what is far apart may not."""
+    rnd = random.Random(2)
+    texts = []
+    for f in range(4):
+        base = " ".join(f"f{f}w{rnd.randrange(90 if f % 2 else 10**6)}" for _ in range(120))
+        texts += [changed(base + " " + base if f == 3 and k % 3 else base, rnd.randint(1, 16), rnd) for k in range(12)]
+    bags = [bag(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = minhash_dedup.outlined(minhash_dedup.bags(docs, 5))
+    one, two = (drawn.select(F.col("doc_id").alias(k), F.struct("weight", *minhash_dedup.PARITIES).alias(f"outline_{k}")) for k in ("a", "b"))
+    told = {(r["a"], r["b"]): r["may"] for r in one.crossJoin(two).filter("a < b").select("a", "b", minhash_dedup.may_link("outline_a", "outline_b", 0.8).alias("may")).collect()}
+    near = {p: similarity(bags[p[0]], bags[p[1]]) for p in told}
+    assert sum(s >= 0.8 for s in near.values()) > 20 and all(told[p] for p, s in near.items() if s >= 0.8)
+    plain = [p for p, s in near.items() if s < 0.7 and max(bags[p[0]].values()) == max(bags[p[1]].values()) == 1]
+    assert len(plain) > 20 and not any(told[p] for p in plain)
+
+
+def test_large_group_compares_few(spark, monkeypatch):
+    """Copies of one text with changes of their own, each at about 0.7 from the others: they share buckets, but only what is near the threshold is compared, without a signature more."""
+    rnd = random.Random(8)
+    base = " ".join(f"w{k}" for k in range(150))
+    texts = [base] + [changed(changed(base, 1 + k % 9, rnd), 1 + k % 7, rnd) for k in range(200)]
+    # No shingle comes twice.
+    bags = [bag(t).keys() for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    compared, verified = [], minhash_dedup.verified
+    monkeypatch.setattr(minhash_dedup, "verified", lambda pairs, bagged: compared.append(pairs.count()) or verified(pairs, bagged))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.classes_of(docs).collect()}
+    want = roots_of(range(len(texts)), links)
+    assert got == want and len(set(want.values())) > 10
+    assert sum(compared[1:]) < 1_000
