@@ -36,9 +36,14 @@ def word_count(text: Column) -> Column:
 def token_count(text: Column, model: str = "default") -> Column:
     """Mean of a character and a word estimate; 0 only for empty text. A null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
+    return tokens_of(text, word_count(text), model)
+
+
+def tokens_of(text: Column, n_words: Column, model: str = "default") -> Column:
+    """``token_count`` of a text that is not null and whose words are counted."""
     # Without branches, so that words are counted once: no characters give 0, and without words the mean is missing.
     chars = F.least(F.length(text).cast("double"), F.greatest(F.lit(1.0), F.bround(F.length(text) / F.lit(PROFILES.get(model, PROFILES["default"])), 0)))
-    words = F.nullif(word_count(text), F.lit(0))
+    words = F.nullif(n_words, F.lit(0))
     return F.coalesce(F.bround((chars + F.bround(words * F.lit(1.3), 0)) / 2, 0), chars).cast("int")
 
 

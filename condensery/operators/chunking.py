@@ -46,6 +46,13 @@ def typed_chunks(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "content_type", F.posexplode_outer(chunks).alias("idx", "text")).filter("idx IS NOT NULL")
 
 
+def with_prose_chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` with texts, the chunks of their texts as prose in order, see ``typed_chunks``."""
+    split = docs.withColumn("_sentences", T.split_sentences(F.col("text")))
+    split = split.withColumn("_lines", F.when(F.size("_sentences") <= 1, F.filter(T.split_lines(F.col("text")), lambda s: ~T.is_blank(s))))
+    return split.withColumn("texts", F.when(F.size("_lines") > 1, F.col("_lines")).otherwise(F.col("_sentences"))).drop("_sentences", "_lines")
+
+
 def records(lines: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
     """``lines`` (doc_id, idx, text) with record_id: a record begins at a marked line or a blank one, and after a blank one."""
     blank = T.is_blank(F.col("text"))

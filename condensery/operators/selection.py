@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from .streams import folded
 
 
-def select_under_budget(scored: DataFrame, budgets: DataFrame, first_always: bool = True) -> DataFrame:
-    """(doc_id, idx) of kept chunks of ``scored`` (doc_id, idx, score, tokens) under ``budgets`` (doc_id, budget, spent).
+def select_under_budget(scored: DataFrame, budgets: DataFrame | None, first_always: bool = True) -> DataFrame:
+    """(doc_id, idx) of kept chunks of ``scored`` (doc_id, idx, score, tokens) under ``budgets`` (doc_id, budget, spent); None: ``scored`` has them.
 
     A document's chunks pass by falling score, ties in order, and only the running total is remembered. ``first_always``: the best chunk stays even if it alone is too large.
     """
@@ -35,5 +35,8 @@ def select_under_budget(scored: DataFrame, budgets: DataFrame, first_always: boo
             at += int(small[0])
         return kept, {"run": run, "any": any_kept or bool(kept.any())}
 
-    both = scored.select("doc_id", "idx", "score", "tokens").join(budgets.select("doc_id", "budget", F.col("spent").cast("long").alias("spent")), "doc_id")
+    if budgets is None:
+        both = scored.select("doc_id", "idx", "score", "tokens", "budget", F.col("spent").cast("long").alias("spent"))
+    else:
+        both = scored.select("doc_id", "idx", "score", "tokens").join(budgets.select("doc_id", "budget", F.col("spent").cast("long").alias("spent")), "doc_id")
     return folded(both, "doc_id", [F.desc("score"), "idx"], step).select("doc_id", "idx")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.storage import written
 from . import similarity
 
 TREE = "struct<current_node:string,mapping:map<string,struct<parent:string,children:array<string>,message:struct<author:struct<role:string>,content:variant>>>>"
@@ -102,15 +103,17 @@ def exploded_turns(parsed: DataFrame) -> DataFrame:
 
 
 def turn_actions(turns: DataFrame, protect_recent: int = 4, dedup_threshold: float | None = 0.9, min_turn_tokens: int = 20) -> DataFrame:
-    """``turns`` with tokens, action and compress (whether its text is to be compressed). Duplicates are looked for per role, among turns that are not protected;
+    """``turns`` with tokens, action, compress (whether its text is to be compressed) and _row, a number of its own. Duplicates are looked for per role, among turns that are not protected;
     ``dedup_threshold`` None takes the threshold that fits each role's turns."""
     system = F.col("role") == "system"
     w = Window.partitionBy("conv_id", system).orderBy(F.desc("turn"))
-    marked = turns.withColumn("_recent", ~system & (F.row_number().over(w) <= protect_recent)).withColumn("tokens", T.token_count(F.col("content")))
+    marked = turns.withColumn("_recent", ~system & (F.row_number().over(w) <= protect_recent)).withColumns({"tokens": T.token_count(F.col("content")), "_row": F.monotonically_increasing_id()})
+    marked = written(marked, "marked")
     group = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("role").alias("r")))
     old = marked.filter(~system & ~F.col("_recent")).select(group.alias("doc_id"), F.col("turn").cast("int").alias("idx"), F.col("content").alias("text"), "conv_id")
     drops = similarity.near_duplicates(old.select("doc_id", "idx", "text"), dedup_threshold)
-    dropped = old.join(drops, ["doc_id", "idx"]).select("conv_id", F.col("idx").alias("turn"), F.lit(True).alias("_dropped"))
+    # Written, so that its size is known: where it is small, the turns needn't be shuffled to meet it.
+    dropped = written(old.join(drops, ["doc_id", "idx"]).select("conv_id", F.col("idx").alias("turn"), F.lit(True).alias("_dropped")), "dropped")
     both = marked.join(dropped, ["conv_id", "turn"], "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
     action = F.when(system, "protected_system").when(F.col("_dropped"), "dropped_duplicate").when(F.col("_recent"), "protected_recent").otherwise("compressed")
     return both.withColumn("action", action).withColumn("compress", (F.col("action") == "compressed") & (F.col("tokens") >= min_turn_tokens)).drop("_recent", "_dropped")

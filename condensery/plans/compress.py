@@ -35,6 +35,8 @@ def compress(
         named = done.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row")
         return named.select("doc_id", *(c for c in done.columns if c != "doc_id"))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if content_type == "prose" and dedup_threshold is not None:
+        return compress_prose(own.withColumn("original_tokens", T.token_count(F.col("text"), model)), target_compression, dedup_threshold, model, extra_filler_patterns, use_code_blocks)
     typed = own.withColumn("content_type", T.content_type(F.col("text")) if content_type == "auto" else F.lit(content_type))
     # What is worked out from whole texts is written: a narrow row for each document, and the pieces.
     facts = written(typed.select("doc_id", "content_type", T.token_count(F.col("text"), model).alias("original_tokens")), "facts")
@@ -72,7 +74,43 @@ def compress(
     joined = joined.withColumn("all", F.zip_with("texts", "flags", lambda t, k: F.struct(t.alias("text"), k.alias("kept")))).withColumn("n_near", F.col("chunks_total") - F.coalesce("n_left", F.lit(0)))
     separator = F.when(F.col("content_type") == "prose", " ").otherwise("\n")
     body = F.coalesce(F.array_join(F.transform(F.filter("all", lambda c: c["kept"]), lambda c: c["text"]), "\u0000"), F.lit(""))
-    joined = joined.withColumn("body", F.replace(body, F.lit("\u0000"), separator)).withColumn("after", T.token_count(F.col("body"), model))
+    return outcome(joined.withColumn("body", F.replace(body, F.lit("\u0000"), separator)), model, use_code_blocks, dedup_threshold is None)
+
+
+def compress_prose(docs: DataFrame, target_compression: float, dedup_threshold: float, model: str, extra_filler_patterns: tuple[str, ...], use_code_blocks: bool) -> DataFrame:
+    """``compress`` of documents (doc_id, text, original_tokens) that are all prose; their ids are their own.
+
+    Each is a row with its chunks, so that those come together wherever they are looked at, and terms are looked for once: only a document that loses a chunk to another is scored again.
+    """
+    whole = written(chunking.with_prose_chunks(docs), "whole")
+
+    def pieces(of: DataFrame) -> DataFrame:
+        cut = of.select("doc_id", T.budget(F.col("original_tokens"), target_compression).alias("budget"), F.lit(0).alias("spent"), F.posexplode("texts").alias("idx", "text")).withColumn("words", T.word_count(F.col("text")))
+        return cut.withColumn("tokens", T.tokens_of(F.col("text"), F.col("words"), model))
+
+    seen = written(similarity.appraised(pieces(whole), dedup_threshold, extra_filler_patterns), "appraised")
+    near = similarity.pairs_above(seen.select("doc_id", "idx", "copies", "heads", "terms"), dedup_threshold)
+    drops = written(similarity.near_drops(near, seen, dedup_threshold), "drops")
+    lost = drops.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_near"))
+    again = pieces(whole.join(lost.select("doc_id"), "doc_id", "left_semi")).drop("words").join(drops, ["doc_id", "idx"], "left_anti")
+    columns = ["doc_id", "idx", "score", "tokens", "budget", "spent"]
+    scored = seen.join(lost, "doc_id", "left_anti").select(columns).union(similarity.density_scores(again, extra_filler_patterns, with_text=False).select(columns))
+    kept = selection.select_under_budget(scored, None).groupBy("doc_id").agg(F.sort_array(F.collect_list("idx")).alias("kept"), F.count(F.lit(1)).cast("int").alias("n_kept"))
+    joined = whole.join(kept, "doc_id", "left").join(lost, "doc_id", "left").withColumns({"content_type": F.lit("prose"), "n_restored": F.lit(0), "collapsed": F.lit(0), "blank_runs": F.lit(0)})
+    some = F.size("texts") > 0
+    body = F.array_join(F.transform("kept", lambda i: F.get("texts", i)), " ")
+    flag = lambda kept: lambda i: F.struct(i.alias("idx"), F.lit(kept).alias("kept"))
+    stays = F.coalesce("kept", F.array().cast("array<int>"))
+    goes = F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), stays)
+    flags = F.array_sort(F.concat(F.transform(stays, flag(True)), F.transform(goes, flag(False))))
+    told = F.when(some, F.zip_with("texts", flags, lambda t, k: F.struct(t.alias("text"), k["kept"].alias("kept"))))
+    joined = joined.withColumns({"chunks_total": F.when(some, F.size("texts")), "all": told, "body": F.coalesce(body, F.lit(""))})
+    return outcome(joined, model, use_code_blocks, False)
+
+
+def outcome(joined: DataFrame, model: str, use_code_blocks: bool, adaptive: bool) -> DataFrame:
+    """The rows of ``compress`` from each document's facts, chunks and what is left of it."""
+    joined = joined.withColumn("after", T.token_count(F.col("body"), model))
     grown = (F.col("after") >= F.col("original_tokens")) & (F.coalesce("chunks_total", F.lit(0)) > 0)
     out = F.when(grown, F.col("original_tokens")).otherwise(F.col("after"))
     return joined.select(
@@ -80,7 +118,7 @@ def compress(
         F.coalesce("chunks_total", F.lit(0)).alias("chunks_total"), F.when(grown, F.col("chunks_total")).otherwise(F.coalesce("n_kept", F.lit(0))).alias("chunks_kept"),
         (F.coalesce("n_near", F.lit(0)) + F.coalesce("collapsed", F.lit(0))).alias("near_duplicates_removed"), F.coalesce("collapsed", F.lit(0)).alias("structural_lines_collapsed"),
         F.when(grown, F.col("text")).otherwise(F.col("body")).alias("compressed_text"),
-        F.transform("all", lambda c: F.struct(c["text"].alias("text"), (c["kept"] | grown).alias("kept"))).alias("diff_lines"), compress_notes(grown, use_code_blocks, dedup_threshold is None).alias("notes"),
+        F.transform("all", lambda c: F.struct(c["text"].alias("text"), (c["kept"] | grown).alias("kept"))).alias("diff_lines"), compress_notes(grown, use_code_blocks, adaptive).alias("notes"),
     )
 
 
@@ -200,10 +238,12 @@ def compress_session(turns: DataFrame, protect_recent: int = 4, target_compressi
         done = compress_session(rows.select(F.col("_conv").alias("conv_id"), F.col("_place").alias("turn"), "role", "content"), protect_recent, target_compression, model, dedup_threshold, min_turn_tokens)
         named = done.withColumnsRenamed({"conv_id": "_conv", "turn": "_place"}).join(rows.select("_conv", "_place", "conv_id", "turn"), ["_conv", "_place"])
         return named.select("conv_id", "turn", *(c for c in done.columns if c not in ("conv_id", "turn")))
-    acted = written(sessions.turn_actions(turns, protect_recent, dedup_threshold, min_turn_tokens), "turns")
-    key = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")))
-    squeezed = compress(acted.filter("compress").select(key.alias("doc_id"), F.col("content").alias("text")), target_compression, 0.85, "prose", model).select(F.col("doc_id").alias("_key"), "compressed_tokens", "compressed_text")
-    both = acted.withColumn("_key", key).join(squeezed, "_key", "left")
+    # A turn goes on as a document under its number.
+    acted = sessions.turn_actions(turns, protect_recent, dedup_threshold, min_turn_tokens)
+    tokens = F.col("tokens") if model == "default" else T.token_count(F.col("content"), model)
+    older = acted.filter("compress").select(F.col("_row").alias("doc_id"), F.coalesce("content", F.lit("")).alias("text"), tokens.alias("original_tokens"))
+    squeezed = compress_prose(older, target_compression, 0.85, model, (), True).select(F.col("doc_id").alias("_row"), "compressed_tokens", "compressed_text")
+    both = acted.join(squeezed, "_row", "left")
     gone = F.col("action") == "dropped_duplicate"
     return both.select(
         "conv_id", "turn", "role", "action", F.col("tokens").alias("original_tokens"), F.when(gone, 0).otherwise(F.coalesce("compressed_tokens", "tokens")).alias("compressed_tokens"),

@@ -186,3 +186,43 @@ def test_blocks_leave_in_bounded_batches(spark, monkeypatch):
     batches = list(cut(iter([pa.RecordBatch.from_pydict({"doc_id": ["a.py", "b.py", "c.py", "d.txt"], "text": [source, source, source, None]})])))
     assert [b.num_rows for b in batches] == [4096, 404]
     assert batches[1].column("text")[403].as_py() == "def f1499():\n    return 1499" and batches[1].column("defines")[403].as_py() == ["f1499"]
+
+
+def test_prose_in_one_pass_equals_the_general_way(spark):
+    """Copies, near copies, fillers, trivial and single chunks, empty texts and documents longer than a batch."""
+    import random
+
+    rng = random.Random(7)
+    words = "red fox hill lamp stone river is the of and to cloud seven iron".split()
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(4, 12))).capitalize() + "."
+    texts = ["", None, "Ok.", "One two three four five six.", "# first\n# second line\nthird of them\n\nthird of them"]
+    for n in (2, 5, 9, 40):
+        own = [sentence() for _ in range(n)]
+        own += [rng.choice(own) for _ in range(n // 2)] + ["No.", "A.", "Import os now.", "... -."] + [s.replace("fox", "fox fox", 1) for s in own[: n // 3]]
+        rng.shuffle(own)
+        texts += [" ".join(own)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for threshold in (0.7, 2.0):
+            rows = [{r["doc_id"]: r for r in C.compress(docs(spark, *texts), dedup_threshold=threshold, content_type=kind).collect()} for kind in ("prose", "auto")]
+            assert rows[0] == rows[1] and len(rows[0]) == len(texts)
+            assert (sum(r["near_duplicates_removed"] for r in rows[0].values()) > 0) == (threshold < 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sessions_take_few_jobs_and_only_vectors_that_meet(spark):
+    """Prose has no line pass, blocks or closure, and a chunk without a partner no vector."""
+    q = "What is the meaning of the quarterly revenue report for the northern region? "
+    rows = [(c, t, ("user", "assistant")[t % 2], q + f"Answer {t} of {c} is {'low' if t % 3 else 'high'}.") for c in range(3) for t in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, content string").coalesce(1)
+    context = spark.sparkContext
+    context.setJobGroup("session-jobs", "totals")
+    try:
+        totals = C.session_totals(C.compress_session(turns)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["conv_id"] for r in totals) == [0, 1, 2] and all(r["turns_total"] == 9 for r in totals)
+    assert len(context.statusTracker().getJobIdsForGroup("session-jobs")) <= 40
+    alone = similarity.compared_chunks(rows_of(spark, "Red fox runs home.", "Blue sky over bays.", "Ten green lamps."), 0.85)
+    assert alone.count() == 0
